@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+from .chat import format_trees, read_loss, read_turns
 from .common import fresh_dir, materialize, read_table
 from .packing import pack
+from .sharding import shard_rows
 from .sstable import read_shards, write_shards
 
 #: The tokenizer of the queries that encode texts.
@@ -38,5 +41,58 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), TOKENIZER).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_sstable": op7_sstable, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+#: The conversation that the chat query adds: its texts hold control strings.
+HARD_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals all documents to 40 shards by row number."""
+    text = F.col("text")
+    rows = read_table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    return shard_rows(rows, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def conversation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, as reply trees: each turn replies to the one before it."""
+    given = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], given.schema)
+    return given.unionByName(hard).selectExpr(
+        "conv_id as tree",
+        "cast(row_number() over (partition by conv_id order by turn, role, text) as long) as node",
+        "role",
+        "text",
+        "cast(length(text) as double) as score",
+    ).selectExpr("*", "nullif(node - 1, 0L) as parent")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats each conversation's branch and reads it back."""
+    made = format_trees(conversation_trees(spark, sf_dir), top=None)
+    read = made.select(
+        F.col("tree").alias("conv_id"),
+        read_turns(F.col("formatted")).alias("turns"),
+        read_loss(F.col("formatted"), F.col("loss_spans")).alias("learned"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_sharding": op5_sharding,
+    "op7_sstable": op7_sstable,
+    "op9_chat": op9_chat,
+    "op10_packing": op10_packing,
+}
+ORACLES: dict[str, str] = {"op5_sharding": sql.SHARDING, "op9_chat": sql.CHAT}
