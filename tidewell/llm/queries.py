@@ -12,6 +12,7 @@ from . import sql
 from .chat import format_trees, read_loss, read_turns
 from .common import fresh_dir, materialize, read_table
 from .packing import pack
+from .quality import COUNTS, quality
 from .sharding import shard_rows
 from .sstable import read_shards, write_shards
 
@@ -45,6 +46,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 HARD_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict by its language's and source's thresholds."""
+    rows = quality(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", *[F.col(f"_tw_{c}").alias(c) for c in [*COUNTS, "base_failed", "kept"]])
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deals all documents to 40 shards by row number."""
     text = F.col("text")
@@ -90,9 +97,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op7_sstable": op7_sstable,
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op5_sharding": sql.SHARDING, "op9_chat": sql.CHAT}
+ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_sharding": sql.SHARDING, "op9_chat": sql.CHAT}

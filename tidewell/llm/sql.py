@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from .sharding import BUCKETS, ROUNDS, RUN  # noqa: F401
+from . import quality as q
+from .sharding import RUN
 
 _ROUND = "('0x' || substr(md5('0/{i}/' || {half}), 1, 13))::BIGINT"
 
@@ -52,3 +53,61 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+def _bucket(v: str) -> str:
+    return f"(length(bin({v})) * {1 << q.BITS} + ({v} >> greatest(length(bin({v})) - {q.BITS}, 0)))"
+
+
+def _quartiles(name: str, source: str, groups: str) -> str:
+    by = f"{groups}, " if groups else ""
+    floor = f"((bucket % {1 << q.BITS}) << greatest(bucket // {1 << q.BITS} - {q.BITS}, 0))"
+    return f"""{name} AS (
+  SELECT {by}measure, min({floor}) FILTER (upto * 4 >= total) AS q1, min({floor}) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS total
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS total
+        FROM (SELECT {by}measure, bucket, sum(n) AS n FROM {source} GROUP BY ALL)) GROUP BY ALL
+)"""
+
+
+_LEAST = " ".join(f"WHEN '{m}' THEN {v}" for m, v in q.LEAST_RANGE.items())
+_LIMIT = f"{q.FENCE} * greatest(q3 - q1, CASE measure {_LEAST} END)"
+_PICK = "CASE WHEN s.total >= {n} THEN s.q{k} WHEN l.total >= {n} THEN l.q{k} ELSE a.q{k} END"
+
+QUALITY = rf"""
+WITH tokens AS (
+  SELECT doc_id, text, lang, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), spots AS (
+  SELECT doc_id, unnest(range(1, greatest(len(w) - 1, 1))) AS pos, w FROM tokens WHERE len(w) >= 3
+), repeated AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, w[pos], w[pos + 1], w[pos + 2]) AS k FROM spots) WHERE k > 1
+), hit AS (
+  SELECT doc_id, count(DISTINCT pos + j) AS n FROM repeated, range(3) r(j) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, sum(k - 1) AS n FROM (
+    SELECT doc_id, line, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id
+), counts AS (
+  SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words
+  FROM tokens t LEFT JOIN lines USING (doc_id) LEFT JOIN hit USING (doc_id)
+), ruled AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    {{'m_words': n_words, 'm_word_len': word_chars * 1000 // greatest(n_words, 1), 'm_symbols': n_symbols * 1000 // greatest(word_chars, 1),
+      'm_dup_lines': n_dup_lines * 1000 // greatest(n_words, 1), 'm_repeats': n_repeat_words * 1000 // greatest(n_words, 1)}} AS m
+  FROM counts
+), long AS (
+  SELECT lang, source, measure, {_bucket("value")} AS bucket, 1 AS n FROM (
+    {" UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, m.{m} AS value FROM ruled WHERE NOT base_failed" for m in q.MEASURES)})
+), {_quartiles("own", "long", "lang, source")}, {_quartiles("by_lang", "long", "lang")}, {_quartiles("by_all", "long", "")},
+picked AS (
+  SELECT s.lang, s.source, measure, {_PICK.format(n=q.LEAST_ROWS, k=1)} AS q1, {_PICK.format(n=q.LEAST_ROWS, k=3)} AS q3
+  FROM own s JOIN by_lang l USING (measure) JOIN by_all a USING (measure) WHERE s.lang IS NOT DISTINCT FROM l.lang
+), limits AS (
+  SELECT lang, source, {", ".join(f"max({'q1 - ' if s < 0 else 'q3 + '}{_LIMIT}) FILTER (measure = '{m}') AS {m}_limit" for m, s in q.MEASURES.items())} FROM picked GROUP BY ALL
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce({" OR ".join(f"m.{m} {'<' if s < 0 else '>'} {m}_limit" for m, s in q.MEASURES.items())}, false) AS kept
+FROM ruled r LEFT JOIN limits t ON r.lang IS NOT DISTINCT FROM t.lang AND r.source IS NOT DISTINCT FROM t.source
+"""
