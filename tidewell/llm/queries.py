@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .chat import format_trees, read_loss, read_turns
 from .common import fresh_dir, materialize, read_table
+from .decontaminate import contaminated, contamination
 from .packing import pack
 from .quality import COUNTS, quality
 from .sharding import shard_rows
@@ -20,6 +21,19 @@ from .sstable import read_shards, write_shards
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items each document holds, and the verdict."""
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents as sorted-string-table shards and reads them back."""
     out = fresh_dir(spark, "sstable")
@@ -99,8 +113,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_sstable": op7_sstable,
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_sharding": sql.SHARDING, "op9_chat": sql.CHAT}
+ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_sharding": sql.SHARDING, "op6_decontamination": sql.DECONTAMINATION, "op9_chat": sql.CHAT}
