@@ -12,6 +12,7 @@ from . import sql
 from .chat import format_trees, read_loss, read_turns
 from .common import fresh_dir, materialize, read_table
 from .decontaminate import contaminated, contamination
+from .jaccard import near_duplicates
 from .packing import pack
 from .quality import COUNTS, quality
 from .sharding import shard_rows
@@ -90,6 +91,11 @@ def conversation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).selectExpr("*", "nullif(node - 1, 0L) as parent")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by links of 0.9 over three-word shingles."""
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats each conversation's branch and reads it back."""
     made = format_trees(conversation_trees(spark, sf_dir), top=None)
@@ -115,7 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_sstable": op7_sstable,
+    "op8_jaccard": op8_jaccard,
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_sharding": sql.SHARDING, "op6_decontamination": sql.DECONTAMINATION, "op9_chat": sql.CHAT}
+ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_sharding": sql.SHARDING, "op6_decontamination": sql.DECONTAMINATION, "op8_jaccard": sql.JACCARD, "op9_chat": sql.CHAT}
