@@ -13,6 +13,7 @@ from .chat import format_trees, read_loss, read_turns
 from .common import fresh_dir, materialize, read_table
 from .decontaminate import contaminated, contamination
 from .jaccard import near_duplicates
+from .lm import interpolation_scores
 from .packing import pack
 from .quality import COUNTS, quality
 from .sharding import shard_rows
@@ -61,6 +62,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 HARD_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op2_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by deleted interpolation."""
+    return interpolation_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and the verdict by its language's and source's thresholds."""
     rows = quality(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -117,6 +123,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_interpolation": op2_interpolation,
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
