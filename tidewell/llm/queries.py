@@ -15,6 +15,7 @@ from .decontaminate import contaminated, contamination
 from .jaccard import near_duplicates
 from .lm import interpolation_scores
 from .packing import pack
+from .pii import KINDS, personal_data
 from .quality import COUNTS, quality
 from .sharding import shard_rows
 from .sstable import read_shards, write_shards
@@ -67,6 +68,14 @@ def op2_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: counts and digest of the base spans, and all spans."""
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    found = personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and the verdict by its language's and source's thresholds."""
     rows = quality(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -124,6 +133,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_interpolation": op2_interpolation,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
