@@ -17,6 +17,7 @@ from .lm import interpolation_scores
 from .packing import pack
 from .pii import KINDS, personal_data
 from .quality import COUNTS, quality
+from .secrets import scan
 from .sharding import shard_rows
 from .sstable import read_shards, write_shards
 
@@ -63,6 +64,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 HARD_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in all documents and the forest's verdict on each."""
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op2_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by deleted interpolation."""
     return interpolation_scores(read_table(spark, sf_dir, "documents"))
@@ -132,6 +138,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_interpolation": op2_interpolation,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,

@@ -94,8 +94,8 @@ WITH tokens AS (
   FROM tokens t LEFT JOIN lines USING (doc_id) LEFT JOIN hit USING (doc_id)
 ), ruled AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    {{'m_words': n_words, 'm_word_len': word_chars * 1000 // greatest(n_words, 1), 'm_symbols': n_symbols * 1000 // greatest(word_chars, 1),
-      'm_dup_lines': n_dup_lines * 1000 // greatest(n_words, 1), 'm_repeats': n_repeat_words * 1000 // greatest(n_words, 1)}} AS m
+    {{'_tw_m_words': n_words, '_tw_m_word_len': word_chars * 1000 // greatest(n_words, 1), '_tw_m_symbols': n_symbols * 1000 // greatest(word_chars, 1),
+      '_tw_m_dup_lines': n_dup_lines * 1000 // greatest(n_words, 1), '_tw_m_repeats': n_repeat_words * 1000 // greatest(n_words, 1)}} AS m
   FROM counts
 ), long AS (
   SELECT lang, source, measure, {_bucket("value")} AS bucket, 1 AS n FROM (
