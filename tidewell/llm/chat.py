@@ -8,6 +8,8 @@ assistant's text. DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def branches(messages: DataFrame) -> DataFrame:
     ``messages`` has tree, node and parent; a parent that isn't in the tree, or
     none, makes a root. After round k the pairs reach 2**k - 1 messages up, and
     the jump table leads 2**k up, so a tree of depth d needs log2(d) rounds.
-    Rounds are written to the shared folder. Messages on a cycle have no root
+    Each round's new pairs are written to the shared folder once. Messages on a cycle have no root
     and give no branch.
     """
     same_tree = lambda a, b: a["tree"].eqNullSafe(b["tree"])
@@ -48,18 +50,15 @@ def branches(messages: DataFrame) -> DataFrame:
     jump = materialize(edges, "jump")
     inner = jump.select(F.col("tree").alias("_t"), F.col("up").alias("_n"))
     leaves = nodes.join(inner, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left_anti")
-    pairs = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
+    rounds = [materialize(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist")), "pairs")]
+    pairs = rounds[0]
     most = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     reach = 1
-    while reach < most:
-        if jump.isEmpty():
-            break
+    while reach < most and not jump.isEmpty():
         j = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
-        met = pairs.join(j, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left")
-        here = F.struct("node", "dist")
-        there = F.struct(F.col("up").alias("node"), (F.col("dist") + reach).alias("dist"))
-        both = F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there)))
-        pairs = materialize(met.select("tree", "leaf", both.alias("at")).select("tree", "leaf", "at.node", "at.dist"), "pairs")
+        further = pairs.join(j, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
+        rounds.append(materialize(further.select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist")), "pairs"))
+        pairs = reduce(DataFrame.unionByName, rounds)
         a, b = jump.alias("a"), jump.select("tree", "node", "up").alias("b")
         jump = materialize(a.join(b, F.expr("a.tree <=> b.tree and a.up = b.node")).selectExpr("a.tree", "a.node", "b.up"), "jump")
         reach *= 2
