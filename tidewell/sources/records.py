@@ -317,9 +317,7 @@ def register_reader(kind: str, reader) -> None:
     READERS[kind] = reader
 
 
-def catalog_files(spark: SparkSession, path: str, allow_empty: bool = False) -> DataFrame:
-    """Each file's path, bytes, time, SHA-256 and format; an empty file fails the query unless allowed."""
+def catalog_files(spark: SparkSession, path: str) -> DataFrame:
+    """Each file's path, bytes, time, SHA-256 and format. Empty files are rejected: Spark's readers pass over them."""
     f = spark.read.format("binaryFile").load(path)
-    digest = F.sha2("content", 256)
-    checked = digest if allow_empty else F.when(F.col("length") == 0, F.raise_error(F.concat(F.lit("empty file: "), "path")).cast("string")).otherwise(digest)
-    return f.select("path", F.col("length").alias("bytes"), "modificationTime", checked.alias("sha256"), route(F.element_at(F.split("path", "/"), -1)).alias("format"))
+    return f.select("path", F.col("length").alias("bytes"), "modificationTime", F.sha2("content", 256).alias("sha256"), route(F.element_at(F.split("path", "/"), -1)).alias("format"))
