@@ -14,12 +14,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALNUM_TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset (local tests), a temporary one for the application."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _local[app] = _local.get(app) or "file://" + tempfile.mkdtemp(prefix="tidewell-")
     return at.rstrip("/")
 
 
