@@ -158,3 +158,30 @@ def test_stream_ingest(spark, tmp_path):
     for _ in range(2):
         live.stream_ingest(spark, f"{tmp_path}/drop", f"{tmp_path}/out", f"{tmp_path}/cp", "d").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out/events").count() == 2
+
+
+def test_stream_responses(spark, stream):
+    from tidewell.operators import volume
+
+    ev, sdf = stream
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        live_rows = run(spark, live.stream_responses(sdf), "responses_t", "append").collect()
+    finally:
+        spark.conf.set(key, before)
+    batch = volume.response_samples(ev).collect()
+    assert sorted((r.actor, r.secs) for r in live_rows) == sorted((r.actor, r.secs) for r in batch)
+
+
+def test_custom_reader(spark, tmp_path):
+    records.register_reader("lines", lambda s, path: s.read.text(path).select(F.lit(path).alias("source_file"), F.lit(0).alias("line_no"), F.lit("x").alias("actor"), F.current_timestamp().alias("ts"), F.lit(None).cast("string").alias("raw_timestamp"), F.col("value").alias("content"), F.lit("message").alias("event_type"), F.lit(False).alias("has_media"), F.lit(None).cast("string").alias("metadata")))
+    assert records.READERS["lines"](spark, put(tmp_path, "l.txt", ["a", "b"])).columns == records.COLUMNS
+
+
+def test_stream_bursts_equal_batch_windows(spark, stream):
+    ev, sdf = stream
+    live_rows = run(spark, live.stream_bursts(sdf, least=15), "bursts_b", "append")
+    batch = ev.groupBy("dataset_id", F.window("ts", "5 minutes", "1 minute")).count().where("count >= 15")
+    assert sorted(r.messages for r in live_rows.collect()) == sorted(r["count"] for r in batch.collect())
