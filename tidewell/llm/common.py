@@ -38,6 +38,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Writes ``df`` to the shared folder in hash buckets of ``key``, so that joins on it read the table without a shuffle."""
+    spark, name = df.sparkSession, f"tidewell_{label}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", fresh_dir(spark, label)).bucketBy(buckets, key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry alone; the files stay
+    return table
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,7 +68,7 @@ def alnum_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """64-bit hashes by word, kept for the words seen last; two generations of ``entries``."""
 
-    def __init__(self, entries: int = 400_000):
+    def __init__(self, entries: int = 200_000):
         from xxhash import xxh3_64_intdigest
 
         self.digest, self.entries, self.old = xxh3_64_intdigest, entries, {}

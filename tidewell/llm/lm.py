@@ -10,7 +10,8 @@ cut the corpus into blocks of about a million tokens. A block asks for each of
 its distinct words and bigrams once, sorted and cut by ranges of their hashes;
 a range's task adds up what all blocks counted and answers each block in its
 own order. So a frequent word is one number a block, no range is hot, and
-memory is that of a block or a range.
+memory is that of a block or a range. Blocks are written once in buckets and
+meet their answers where they lie.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, word_bytes, word_hash
+from .common import bucketed, materialize, mix, word_bytes, word_hash
 
 BLOCK_TOKENS = 1 << 20
+#: Bits of a bigram's hash: fewer make the questions shorter. Of n bigrams, each meets another with a chance of n / 2**56.
+BIGRAM_BITS = 56
 FOLDS, EVAL_FOLD, WEIGHT_FOLD = 5, 1, 2
 #: Contexts seen 2**(b-1) to 2**b - 1 times share bucket b; bucket 0 is for unseen ones.
 BUCKETS = 48
@@ -105,9 +108,9 @@ class Grams:
         predicted = np.ones(len(spots), bool)
         predicted[starts] = False
         self.at = np.flatnonzero(predicted)  # all tokens but the marks before texts
-        self.doc = np.repeat(np.arange(len(self.lens)), self.lens - 1)
+        self.doc = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens - 1)
         codes, pairs = np.unique(self.words[self.at - 1] << 32 | self.words[self.at], return_inverse=True)
-        keys2 = mix(self.keys1[codes >> 32] * np.uint64(0x100000001B3) + self.keys1[codes & 0xFFFFFFFF], 2)
+        keys2 = mix(self.keys1[codes >> 32] * np.uint64(0x100000001B3) + self.keys1[codes & 0xFFFFFFFF], 2) >> np.uint64(64 - BIGRAM_BITS)
         order = np.argsort(keys2)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -121,8 +124,8 @@ class Grams:
         return one, two
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    step = (1 << 64) // parts
+def _cuts(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    step = (1 << bits) // parts
     return np.concatenate([[0], np.searchsorted(keys, np.array([step * p for p in range(1, parts)], np.uint64)), [len(keys)]])
 
 
@@ -136,12 +139,12 @@ def questions(cut: DataFrame, parts: int) -> DataFrame:
                 held = g.folds == WEIGHT_FOLD
                 fit1, fit2 = g.counts((g.folds != EVAL_FOLD) & ~held)
                 held1, held2 = g.counts(held)
-                a, b = _cuts(g.keys1, parts), _cuts(g.keys2, parts)
+                a, b = _cuts(g.keys1, parts, 64), _cuts(g.keys2, parts, BIGRAM_BITS)
                 out = []
                 for p in range(parts):
                     x, y = slice(a[p], a[p + 1]), slice(b[p], b[p + 1])
                     if a[p] < a[p + 1] or b[p] < b[p + 1]:
-                        out.append((p, block, pack_sorted(g.keys1[x]), fit1[x].tobytes(), held1[x].tobytes(), pack_sorted(g.keys2[y]), fit2[y].tobytes(), held2[y].tobytes()))
+                        out.append((p, block, pack_sorted(g.keys1[x]), _planes(fit1[x]), _planes(held1[x]), pack_sorted(g.keys2[y]), _planes(fit2[y]), _planes(held2[y])))
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in _ASK.split(", ")])
 
@@ -161,7 +164,7 @@ def answers(asked: DataFrame) -> DataFrame:
             ends = np.cumsum([len(k) for k in keys])[:-1]
             found, where = np.unique(np.concatenate(keys), return_inverse=True)
             for what in ("fit", "held"):
-                own = np.frombuffer(b"".join(table.column(what + n).to_pylist()), np.uint32)
+                own = np.concatenate([_unplanes(x, np.uint32) for x in table.column(what + n).to_pylist()])
                 total = np.bincount(where, weights=own, minlength=len(found)).astype(np.int64)
                 cells[what + n] = [x.tobytes() for x in np.split(total[where], ends)]
                 totals[what + n] = total
@@ -261,7 +264,7 @@ def interpolation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = materialize(blocks(docs, id_col, text_col), "blocks")
+    cut = bucketed(blocks(docs, id_col, text_col), "blocks", "block", max(1, parts // 4))
     answered = materialize(answers(questions(cut, parts)), "answers")
     stats = answered.where("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types_fit", "types", "tokens_fit", "tokens")]).first()
     answered = answered.where("block is not null").drop("types_fit", "types", "tokens_fit", "tokens")
