@@ -151,26 +151,32 @@ def random_event(ev: DataFrame, seed: int = 0) -> DataFrame:
     return ev.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """The ``k`` vectors most similar to each of a bounded set of query vectors, itself left out: query, id, similarity, rank.
+def _blocks(df: DataFrame, size: int, id_col: str, col: str, name: str) -> DataFrame:
+    """Rows of a vector table in blocks of about ``size``: arrays of identifiers and vectors."""
+    n = max(1, -(-df.count() // size))
+    rows = df.where(F.col(col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(col).cast("array<float>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("_b"))
+    return rows.groupBy("_b").agg(F.collect_list("i").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vectors")).drop("_b")
 
-    All vectors meet each query in blocks; a partition keeps k candidates a query.
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", col: str = "embedding", block: int = 2048) -> DataFrame:
+    """The ``k`` vectors most similar to each query vector, itself left out: query, id, similarity, rank.
+
+    Blocks of queries meet blocks of vectors, a matrix product each; a pair of
+    blocks leaves k candidates a query. Null vectors are left out.
     """
-    q = queries.select(F.col(id_col).alias("q"), F.col(col).alias("v")).toPandas()
-    if q.empty:
-        return vectors.sparkSession.createDataFrame([], "query long, id long, similarity double, rank int")
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    at, m = q["q"].to_numpy(), unit(np.stack(q["v"].to_numpy()).astype(np.float64))
 
     def run(frames):
         for f in frames:
-            if len(f):
-                ids, s = f["id"].to_numpy(), m @ unit(np.stack(f["v"].to_numpy()).astype(np.float64)).T
+            for ids, vs, at, qs in zip(f["v_ids"], f["v_vectors"], f["q_ids"], f["q_vectors"]):
+                ids, at = np.asarray(ids), np.asarray(at)
+                s = unit(np.stack(qs).astype(np.float64)) @ unit(np.stack(vs).astype(np.float64)).T
                 s[at[:, None] == ids[None, :]] = -np.inf
                 n = min(k, len(ids))
                 best = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 yield pd.DataFrame({"query": np.repeat(at, n), "id": ids[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
 
-    near = vectors.select(F.col(id_col).alias("id"), F.col(col).alias("v")).mapInPandas(run, "query long, id long, similarity double")
+    pairs = _blocks(vectors, block, id_col, col, "v").crossJoin(_blocks(queries, block, id_col, col, "q"))
+    near = pairs.mapInPandas(run, "query long, id long, similarity double").where(F.col("similarity") >= -2)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc("id"))
-    return near.where(~F.isnan("similarity") & (F.col("similarity") > -2)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

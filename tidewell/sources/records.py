@@ -221,7 +221,8 @@ def detect_delimiter(header: str) -> str:
 def rows_to_events(df: DataFrame, order: list[str], sheet: str | None = None, base: str = "2024-01-01 08:00:00", actor_in_content: bool = True) -> DataFrame:
     """Any table's rows as records: roles by column names, text as ``column: value`` of all filled cells.
 
-    ``order`` numbers the rows, from 1; without a time a row comes an hour after the one before.
+    ``order`` numbers the rows of each file, from 1; without a time a row comes
+    an hour after the one before. A file's rows are numbered in one task.
     """
     names = [c for c in df.columns if not c.startswith("_tw_")]
     actor, when = detect_roles(names)
