@@ -1,22 +1,24 @@
 """A Jaccard self-join of shingle sets by PartEnum signatures.
 
-Sizes are cut into bands whose ends differ by the threshold, so linked sets lie
-in one band or in two that follow each other. Within a band, linked sets differ
+Sizes are cut into bands whose ends differ by the threshold twice over, so linked
+sets lie in one band or in two that follow each other. Within a band, linked sets differ
 by k elements at most. The domain is cut into n1 parts and each of them into
 n2: some part then holds k2 = k // n1 differences at most, so the two sets are
 equal over some n2 - k2 of its n2 pieces. A signature stands for one such choice
 of pieces and the set's elements there, and linked sets share one at least. A
-set signs for its own band and for the next.
+set signs for its own band, and for the next if that can hold a larger partner.
 
 Equal sets are one node from the start. A signature's nodes are first compared
-with the smallest of them; components of those links are merged; then nodes
-that share a signature and are still apart are compared. So a group of copies
-costs a comparison for each node, and no link between two components is lost.
+with one of them, its hub. Links merge nodes into components, and only nodes that
+are still apart are compared further: in a small signature all pairs; in a large
+one first with a few other hubs, and what then is apart in blocks of nodes, by a
+matrix product in a task that returns links alone. So a group of copies costs a few
+comparisons for each node, and no link between two components is lost.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +39,7 @@ def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
     first, last, at = [], [], 1
     while at < 1 << 31:
         first.append(at)
-        last.append(at * 100 // percent)
+        last.append(at * 10_000 // percent**2)
         at = last[-1] + 1
     return np.array(first), np.array(last)
 
@@ -60,11 +62,11 @@ def distinct_shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All signatures of a sorted set of hashes, for its own band and the next."""
+    """All signatures of a sorted set of hashes, for its own band and, if a larger set of it can be linked, the next."""
     first, last = bands(percent)
     own = int(np.searchsorted(last, len(s)))
     out = []
-    for band in (own, own + 1):
+    for band in (own, own + 1) if 100 * len(s) >= percent * first[own + 1] else (own,):
         k = int(2 * last[band] * (100 - percent) // (100 + percent))
         n1, n2, choices = scheme(k)
         piece = (mix(s, 2 * band + 1) % np.uint64(n1 * n2)).astype(np.int64)
@@ -161,6 +163,104 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return met.where(near).where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
 
 
+#: More hubs of large signatures; nodes of a signature beyond which blocks are compared; nodes of a block.
+HUBS, SMALL, BLOCK = 3, 24, 512
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Adds comp, a node's component so far, or itself."""
+    met = rows.join(label.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left")
+    return met.select(*rows.columns, F.coalesce("label", "node").alias("comp"))
+
+
+def _open(members: DataFrame, label: DataFrame, least: int) -> DataFrame:
+    """Members (sig, node, m, comp) of signatures with more than ``least`` nodes, of several components; one signature of those with equal nodes."""
+    at = materialize(_labelled(members, label), "labelled")
+    facts = at.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
+    left = facts.where((F.col("c1") < F.col("c2")) & (F.col("m") > least)).groupBy("m", "h").agg(F.min("sig").alias("_s")).select("_s", F.col("m"))
+    return materialize(at.join(left, F.col("sig") == F.col("_s")).select("sig", "node", "m", "comp"), "open")
+
+
+def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Each open signature's nodes with the one that the turn picks, where their components differ."""
+    pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "comp")
+    hubs = rows.groupBy("sig").agg(F.min(pick).alias("h")).select(F.col("sig").alias("_s"), F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"))
+    met = rows.join(hubs, F.col("sig") == F.col("_s")).where(F.col("comp") != F.col("hub_comp"))
+    return met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+
+
+def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in a small signature."""
+    near = f"x.sig = y.sig and x.comp < y.comp and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}"
+    return rows.alias("x").join(rows.alias("y"), F.expr(near)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components in large signatures: a, b.
+
+    Nodes that share large signatures are a family, so that each is sent once
+    for each pair of blocks, not once for each signature. Nodes of one large
+    component fill blocks of their own; a block of it isn't compared with others
+    of it. A task holds two blocks, counts common elements by a matrix product
+    and returns no more links than join its components.
+    """
+    hubs = rows.groupBy("sig").agg(F.min("node").alias("hub")).withColumnRenamed("sig", "_s")
+    star = rows.join(hubs, F.col("sig") == F.col("_s")).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    family = components(star).select(F.col("node").alias("_f"), F.col("label").alias("family"))
+    nodes = rows.select("node", "comp").distinct().join(family, F.col("node") == F.col("_f")).select("family", "node", "comp")
+    sizes = nodes.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"))
+    bulk = F.col("k") >= BLOCK // 2
+    total = sizes.groupBy("family").agg(F.sum(F.when(~bulk, F.col("k"))).alias("loose"))
+    parts = sizes.join(total, "family").select("family", "comp", F.when(bulk, F.col("comp")).alias("own"), F.ceil(F.when(bulk, F.col("k")).otherwise(F.col("loose")) / BLOCK).alias("blocks"))
+    placed = nodes.join(parts, ["family", "comp"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
+    placed = materialize(placed.select("family", "node", "comp", "own", "block"), "placed-blocks")
+    blocks = placed.select("family", "own", "block").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    key = lambda t: f"struct({t}.own, {t}.block)"
+    pairs = x.join(y, F.expr(f"x.family = y.family and {key('x')} <= {key('y')} and not coalesce(x.own = y.own, false)"))
+    pairs = pairs.selectExpr("x.family as family", "x.own as own1", "x.block as block1", "y.own as own2", "y.block as block2").withColumn("pair", F.xxhash64("family", "own1", "block1", "own2", "block2"))
+    sides = pairs.select("pair", "family", F.explode(F.array_distinct(F.array(F.struct(F.col("own1").alias("own"), F.col("block1").alias("block")), F.struct(F.col("own2").alias("own"), F.col("block2").alias("block"))))).alias("s"))
+    sides = sides.select("pair", F.col("family").alias("_f"), F.col("s.own").alias("_o"), F.col("s.block").alias("_b"))
+    sent = placed.join(sides, (F.col("family") == F.col("_f")) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("block") == F.col("_b"))).select("pair", "node", "comp")
+    full = sent.join(sets.select(F.col("node").alias("_n"), "set"), F.col("node") == F.col("_n")).select("pair", "node", "comp", "set")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        lists = table.column("set").combine_chunks()
+        flat, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(n)), n)
+        values, where, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times > 1
+        col = (np.cumsum(shared) - 1)[where]
+        ok = shared[where]
+        common = np.zeros((len(n), len(n)), np.float32)
+        for lo in range(0, int(shared.sum()), 4096):  # a few thousand elements at a time
+            m = np.zeros((len(n), 4096), np.float32)
+            now = ok & (col >= lo) & (col < lo + 4096)
+            m[row[now], col[now] - lo] = 1
+            common += m @ m.T
+        common = common.astype(np.int64)
+        link = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (comp[:, None] < comp[None, :])
+        root = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(link)):
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b:
+                root[a] = b
+                out.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return full.groupBy("pair").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_key, n_shingles, node, component (a node) and component_id.
 
@@ -175,26 +275,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """
     signed = materialize(sign(docs, width, percent, id_col, text_col), "signed")
     members = materialize(shared(signed), "members")
-    stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = materialize(stars, "stars")
+    stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     sets = sets_of(docs, signed, stars, width, id_col, text_col)
-    links = materialize(verified(stars, sets, percent), "links")
-    label = materialize(components(links), "labels")
-    # Members that the hubs' links don't join yet are compared with each other.
-    at = members.join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("sig", "node", F.coalesce("label", "node").alias("comp"))
-    at = materialize(at, "apart")
-    open_ = at.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select(F.col("sig").alias("_s"))
-    rest = materialize(at.join(open_, F.col("sig") == F.col("_s"), "left_semi"), "rest")
+    links = [materialize(verified(stars, sets, percent), "links")]
+    label = components(links[0])
+    open_ = _open(members.select("sig", "node"), label, 2)
+    large = open_.where(F.col("m") > SMALL)
     sized = sets.select(F.col("node").alias("_n"), F.size("set").alias("n"))
-    rest = rest.join(sized, F.col("node") == F.col("_n")).select("sig", "node", "comp", "n")
-    x, y = rest.alias("x"), rest.alias("y")
-    near = "x.sig = y.sig and x.comp < y.comp and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * " + str(percent)
-    pairs = x.join(y, F.expr(near)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    done = stars.select(F.greatest("a", "b").alias("_a"), F.least("a", "b").alias("_b"))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-    more = materialize(verified(pairs, sets, percent), "more")
-    if not more.isEmpty():
-        label = materialize(components(links.unionByName(more)), "labels")
+    small = open_.where(F.col("m") <= SMALL).join(sized, F.col("node") == F.col("_n")).select("sig", "node", "comp", "n")
+    pairs = reduce(DataFrame.unionByName, [_small_pairs(small, percent), *[_hub_pairs(large, turn) for turn in range(HUBS)]]).distinct()
+    seen = stars.select(F.greatest("a", "b").alias("_a"), F.least("a", "b").alias("_b"))
+    pairs = materialize(pairs.join(seen, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "pairs")
+    links.append(materialize(verified(pairs, sets, percent), "pair-links"))
+    if not links[-1].isEmpty():
+        label = components(reduce(DataFrame.unionByName, links))
+    if not large.isEmpty():
+        large = _open(large.select("sig", "node"), label, SMALL)
+        links.append(materialize(_block_links(large, sets, percent), "block-links"))
+        if not links[-1].isEmpty():
+            label = components(reduce(DataFrame.unionByName, links))
     return _result(signed, label)
 
 
