@@ -1,0 +1,379 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import json
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import pairwise
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell.llm import chat, decontaminate, jaccard, lm, packing, pii, quality, secrets, sharding, sstable
+from tidewell.llm.encode import TextEncoder
+from tidewell.llm.queries import TOKENIZER
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, label string, shard int, _n string, text_key string, words int"
+WORDS = "alpha beta gamma delta omega sigma kappa river stone cloud".split()
+
+
+def some_text(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + r.choice(["", "", "s", "x"]) for _ in range(n))
+
+
+def rows():
+    long = some_text(1, 30_000)
+    return [
+        (1, some_text(2, 80), "en", "src0"),
+        (2, some_text(2, 80), "en", "src0"),
+        (3, None, "en", "src1"),
+        (4, "", None, None),
+        (5, " \n\t ", "en", None),
+        (6, "one", None, "src1"),
+        (7, "one two", "de", "src1"),
+        (8, long, "en", "src2"),
+        (9, some_text(3, 120), "en", "src2"),
+        (9, some_text(3, 120), "en", "src2"),
+        (None, some_text(4, 60), "en", "src2"),
+        (None, some_text(5, 60), None, "src2"),
+        (10, "Mail x.19@mail5.example.com or +1 (743) 555-3824 é now", "en", "src0"),
+        (11, some_text(2, 80) + " extra", "en", "src0"),
+    ]
+
+
+def table(spark, data=None):
+    data = rows() if data is None else data
+    return spark.createDataFrame([(*r, None, 1, "x", 2, "n", "k", 3) for r in data], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_encoder_equals_the_library():
+    enc, r = TextEncoder(TOKENIZER, entries=300), random.Random(5)
+    chars = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(161, 256)]] + list("  \n'stavlx") * 12
+    texts = ["".join(r.choices(chars, k=r.randint(0, 80))) for _ in range(3000)]
+    texts += ["a\xa0b", "x\x1c y", "é　z", "<|endoftext|> a", "y" * 5000, "漢字 と​かな", None, ""]
+    want = enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [x.ids for x in want]
+
+
+def test_secrets(spark, docs, none):
+    held_out = list(secrets._rows(300, 77))
+    model = secrets.train_forest(spark)
+    from pyspark.ml.functions import array_to_vector
+
+    scored = model.transform(spark.createDataFrame(held_out, "x array<double>, label int").withColumn("features", array_to_vector("x")))
+    right = scored.where("label = prediction").count()
+    assert right >= 0.95 * len(held_out)
+    key = "0123456789abcdef0a1b2c3d4e5f60718293a4b5"
+    text = f'é token = "{key}" and commit {key}'
+    found = secrets.scan(table(spark, [(1, text, "en", "src/a.py"), (2, None, None, None), (3, "", "en", "x")])).collect()
+    assert [(r.doc_id, text[r.start : r.end], r.is_secret) for r in sorted(found, key=lambda r: r.start)] == [(1, key, True), (1, key, False)]
+    assert secrets.scan(docs).where("doc_id = 3").count() == 0 and secrets.scan(none).count() == 0
+
+
+def test_language_model_equals_brute_force(spark, docs, none):
+    data = rows()
+    got = lm.interpolation_scores(docs, parts=3).collect()
+    assert lm.interpolation_scores(none).count() == 0
+    toks = [(d, zlib.crc32(("" if d is None else str(d)).encode()) % 5, ["<s>", *(t or "").encode().lower().split(), "</s>"]) for d, t, *_ in data]
+    count = {f: (Counter(), Counter()) for f in range(5)}
+    for _, f, w in toks:
+        count[f][0].update(w), count[f][1].update(pairwise(w))
+    total = lambda folds: [sum((count[f][i] for f in folds), Counter()) for i in (0, 1)]
+    fit, both = total([0, 3, 4]), total([0, 2, 3, 4])
+    size = lambda c: (sum(v for k, v in c[0].items() if k != "<s>"), sum(k != "<s>" for k in c[0]))
+    (n_fit, v_fit), (n, v) = size(fit), size(both)
+    bins = Counter()
+    for _, f, w in toks:
+        if f == 2:
+            for a, b in pairwise(w):
+                p2, p1 = fit[1][a, b] / max(fit[0][a], 1), fit[0][b] / max(n_fit, 1)
+                bins[int((lm.context_bucket(np.array([fit[0][a]]))[0] * lm.BINS + lm._bin(np.array([p2]))[0]) * lm.BINS + lm._bin(np.array([p1]))[0])] += 1
+    weights = lm.learn_weights(np.array(sorted(bins)), np.array([bins[k] for k in sorted(bins)]), v_fit)
+    assert np.allclose(weights.sum(1), 1) and (weights > 0).all()
+    want = []
+    for d, f, w in toks:
+        s = base = known = 0.0
+        for a, b in pairwise(w):
+            x = weights[lm.context_bucket(np.array([both[0][a]]))[0]]
+            s += np.log10(x[0] * both[1][a, b] / max(both[0][a], 1) + x[1] * both[0][b] / n + x[2] / (v + 1))
+            base += np.log10((both[0][b] + 0.5) / (n + 0.5 * (v + 1)))
+            known += both[0][b] > 0
+        want.append((-1 if d is None else d, f == 1, len(w) - 1, int(known), n, round(base, 6), round(s, 6)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_base(text):
+    found = [(k, m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, text or "") if pii.holds(k, m[0])]
+    return sorted(found, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_personal_data(spark, docs, none):
+    r = random.Random(9)
+    noisy = ["".join(r.choices("0123456789.@+-() aZ_%é\n", k=r.randint(0, 60))) for _ in range(3000)]
+    noisy += ["a@b.c@d.e", "x" * 3000 + "@", "1.2.3.4.5", "4111 1111-1111 1111", "+1 (743) 555-3824.", "256.1.1.1", "00000001.2.3.4", "@a.b", "a@@b.c"]
+    for t in noisy:
+        assert pii.base_spans(t) == plain_base(t), t
+    got = {(r.doc_id, t): (r.base, r.spans) for r, t in zip(pii.personal_data(docs).collect(), [x.text for x in docs.select("text").collect()])}
+    for (_, text), (base, spans) in got.items():
+        assert [tuple(x) for x in base] == plain_base(text) and {tuple(x) for x in base} <= {tuple(x) for x in spans}
+    extra = "call (743) 555-3824 today\nwrite name (at) host (dot) com soon\n4111.1111.1111.1111 is new, 4111.1111.1111.1112 is not"
+    (_, spans), = pii.all_spans([extra], pii.field())
+    assert [(k, extra[a:b]) for k, a, b in spans] == [("phone", "(743) 555-3824"), ("email", "name (at) host (dot) com"), ("card", "4111.1111.1111.1111")]
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(rows()) and pii.personal_data(none).count() == pii.redact(none).count() == 0
+    assert clean.where("doc_id = 10").first().text == "Mail [EMAIL] or [PHONE] é now" and clean.where("doc_id = 3").first().text is None
+    tested = pii.labelled_table(160, 123)
+    labels = [pii.viterbi([pii.field().scores([pii.shape(x) for x in t])], pii.field().move)[0].tolist() for t, _ in tested if t]
+    right = sum([pii.LABELS[i] for i in got] == want for got, (_, want) in zip(labels, [x for x in tested if x[0]]))
+    assert right >= 0.9 * len(labels)
+
+
+def plain_counts(text):
+    w, text = re.findall("[^\x20\x09-\x0d]+", text or ""), text or ""
+    seen = Counter(zip(w, w[1:], w[2:]))
+    hit = {i + j for i in range(len(w) - 2) if seen[w[i], w[i + 1], w[i + 2]] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality(spark, docs, none):
+    r = random.Random(3)
+    for t in [*("".join(r.choices("ab \n\t#é\x1c\x85", k=r.randint(0, 60))) for _ in range(3000)), None, ""]:
+        assert quality.text_counts(t) == plain_counts(t)
+    got = quality.quality(docs)
+    assert got.columns[: len(docs.columns)] == docs.columns and got.count() == len(rows()) and quality.quality(none).count() == 0
+    for x in got.collect():
+        assert x._tw_base_failed == (x._tw_n_words < 50 or 100 * x._tw_n_repeat_words > 50 * x._tw_n_words) and not (x._tw_base_failed and x._tw_kept)
+    many = [(i, some_text(i, 100), "en", "hot" if i % 3 else f"s{i % 7}") for i in range(300)] + [(999, " ".join(f"{w}###" for w in some_text(5, 90).split()), "en", "hot")]
+    kept = {x.doc_id: x._tw_kept for x in quality.quality(table(spark, many)).collect()}
+    assert not kept[999] and all(kept[i] for i in range(300))
+
+
+def test_sketches_merge_and_bound_the_error(spark):
+    v = spark.range(5000).selectExpr(*[f"id * 7 as {m}" for m in quality.MEASURES], "id % 3 as g")
+    whole = quality.sketches(v, []).groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    parts = quality.sketches(v, ["g"]).groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    assert whole.exceptAll(parts).count() == parts.exceptAll(whole).count() == 0
+    for x in quality.quartiles(whole, []).collect():
+        assert x.q1 <= 8750 <= x.q1 * (1 + 2 / 2**5) and x.q3 <= 26250 <= x.q3 * (1 + 2 / 2**5)
+
+
+def test_sharding(spark, docs, none):
+    slim = docs.select("doc_id", F.length("text").alias("size"))
+    a = sharding.shard_rows(slim, 4, seed=1)
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(a) == key(sharding.shard_rows(slim.repartition(7, "size"), 4, seed=1)) and key(a) != key(sharding.shard_rows(slim, 4, seed=2))
+    slots = defaultdict(list)
+    for x in a.collect():
+        slots[x.shard].append(x.slot)
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.shard_rows(none.select("doc_id"), 4).count() == 0
+    for n in (1, 2, 3, 17, 1000):
+        got = spark.range(n).select(sharding.feistel(F.col("id"), F.lit(n).cast("long"), 3).alias("p")).collect()
+        assert sorted(x.p for x in got) == list(range(n))
+    same = spark.range(25_000).select(F.lit(5).alias("k"))
+    assert sharding.number_rows(same).agg(F.countDistinct("row_number"), F.max("row_number")).first() == (25_000, 24_999)
+
+
+def alnum(t):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def test_decontamination(spark, docs, none):
+    r = random.Random(2)
+    text = lambda n: " ".join(r.choice("ab") + r.choice("cde") for _ in range(n))
+    items = [(1, text(30)), (2, text(13)), (3, "short item"), (4, None), (5, "!!"), (6, "one"), (7, text(14)), (7, text(14))]
+    data = [(i, text(r.randint(0, 60)) + r.choice(["", " ", ", "]) + (items[r.randint(0, 1)][1] if i % 3 == 0 else "")) for i in range(60)]
+    data += [(100, None), (101, ""), (102, "Short, ITEM!"), (None, items[1][1]), (None, items[0][1]), (103, "x short item y"), (103, "x short item y")]
+    d = table(spark, [(*x, "en", "s") for x in data]).repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(x.doc_id), x.n_words, x.n_hit, tuple(x["items"])) for x in decontaminate.contamination(d, bench).collect())
+    want = []
+    for doc_id, t in data:
+        w, hit, held = alnum(t), set(), set()
+        for item, it in items:
+            v = alnum(it)
+            n = min(13, len(v))
+            for i in range(len(v) - n + 1 if n else 0):
+                for j in range(len(w) - n + 1):
+                    if w[j : j + n] == v[i : i + n]:
+                        hit |= set(range(j, j + n))
+                        held.add(str(item))
+        want.append((str(doc_id), len(w), len(hit), tuple(sorted(held))))
+    assert got == sorted(want)
+    left = decontaminate.drop_contaminated(d, bench)
+    bad = Counter(str(x[0]) for x in want if x[2] and 20 * x[2] >= x[1])
+    assert left.columns == d.columns and left.count() == len(data) - sum(bad.values())
+    empty = bench.limit(0)
+    assert decontaminate.contamination(d, empty).where("n_hit > 0").count() == 0 and decontaminate.drop_contaminated(none, bench).count() == 0
+
+
+def plain_components(data, width=3, percent=90):
+    sets = []
+    for _, t in data:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(data)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(data):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted((str(d), len(sets[i]), str(least.get(find(i)))) for i, (d, _) in enumerate(data))
+
+
+@pytest.mark.parametrize("small", [24, 3])
+def test_jaccard_equals_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "HUBS", 1 if small == 3 else 3)
+    r = random.Random(small)
+    base = [[r.choice(WORDS) + str(r.randint(0, 400)) for _ in range(n)] for n in (12, 60, 60, 200)]
+    data = []
+    for i in range(150):
+        w = list(base[i % 4])
+        for _ in range(r.randint(0, 3 if i % 4 != 3 else 6)):
+            w[r.randrange(len(w))] = str(r.random())
+        data.append((i * 3 % 151, " ".join(w).upper() if i % 9 == 0 else " ".join(w)))
+    data += [(d, t) for d, t, *_ in rows()]
+    d = table(spark, [(*x, "en", "s") for x in data]).repartition(5)
+    got = jaccard.near_duplicates(d)
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got.collect()) == plain_components(data)
+
+
+def test_signatures_are_shared_by_all_linked_sets():
+    r = np.random.default_rng(4)
+    for n in [1, 2, 5, 9, 10, 11, 19, 20, 40, 80, 200, 1000]:
+        for _ in range(30):
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            gone = int(r.integers(0, n // 10 + 1))
+            b = np.unique(np.concatenate([a[gone:], r.integers(0, 1 << 63, int(r.integers(0, n // 10 + 1))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= 90 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
+
+
+def test_keep_one(spark, docs, none):
+    left = jaccard.keep_one(docs)
+    assert left.columns == docs.columns and jaccard.keep_one(none).count() == 0
+    ids = sorted(str(x.doc_id) for x in left.collect())
+    assert ids == sorted(["1", "3", "4", "5", "6", "7", "8", "9", "None", "None", "10"])
+
+
+def test_chat(spark):
+    hard = r"</s>[INST] a <\/s> [\INST] <s>[/SYS][ROLE] \ < ["
+    data = [
+        ("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "low", 0.1), ("t", 3, 1, "assistant", hard, 0.9), ("t", 4, 3, "user", hard, 0.9), ("t", 5, 4, "tool</s>", None, 0.9),
+        (None, 1, None, "user", "", None), ("c", 1, 2, "user", "cycle", 1.0), ("c", 2, 1, "user", "cycle", 1.0), ("c", 3, 2, "user", "hangs on it", 1.0), ("o", 7, 99, None, "orphan", None),
+    ]
+    m = spark.createDataFrame([(*x, "z") for x in data], "tree string, node long, parent long, role string, text string, score double, leaf string")
+    got = chat.format_trees(m).select("tree", "leaf", "branch_rank", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    by = {x.tree: ([tuple(t) for t in x.turns], x.loss) for x in got}
+    assert by == {"t": ([("user", "q"), ("assistant", hard), ("user", hard), ("tool</s>", "")], hard), None: ([("user", "")], ""), "o": ([("", "orphan")], "")}
+    assert chat.format_trees(m, top=None).where("tree = 't'").count() == 2 and chat.format_trees(m.limit(0)).count() == 0
+    deep = spark.range(1, 301).selectExpr("1L as tree", "id as node", "nullif(id - 1, 0L) as parent", "if(id % 2 = 1, 'user', 'assistant') as role", "cast(id as string) as text", "1D as score")
+    (x,) = chat.format_trees(deep).select(chat.read_turns(F.col("formatted")).alias("t")).collect()
+    assert [t.text for t in x.t] == [str(i) for i in range(1, 301)]
+
+
+def plain_ids(data):
+    enc = TextEncoder(TOKENIZER)
+    return [(d, enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for d, t, *_ in data]
+
+
+def test_shards(spark, docs, none, tmp_path):
+    out = f"file://{tmp_path}/t"
+    manifest = sstable.write_shards(docs, out, TOKENIZER, shard_bytes=20_000).collect()
+    got = [(x.shard, x.start, x.doc_id, np.frombuffer(x.ids, "<u4").tolist()) for x in sstable.read_shards(spark, out).collect()]
+    names = [m.shard for m in sorted(manifest, key=lambda m: (m.part, m.seq))]
+    got.sort(key=lambda x: (names.index(x[0]), x[1]))
+    want = plain_ids(rows())
+    assert [x[2] for x in got] == sorted([d for d, _ in want], key=lambda d: (d is not None, d or 0))
+    assert sorted(map(str, ((d, i) for *_, d, i in got))) == sorted(map(str, want)) and sum(m.n_docs for m in manifest) == len(want)
+    shard = sstable.Shard((tmp_path / "t" / got[-1][0]).read_bytes())
+    for _, _, d, ids in [g for g in got if g[0] == got[-1][0]]:
+        assert ids in [x.tolist() for x in shard.get(sstable.key_of(d))]
+    assert shard.get(sstable.key_of(12345)) == [] and shard.get(sstable.key_of(-5)) == []
+    broken = bytearray((tmp_path / "t" / got[-1][0]).read_bytes())
+    broken[3] ^= 255
+    with pytest.raises(ValueError):
+        list(sstable.Shard(bytes(broken)))
+    assert sstable.write_shards(none, f"file://{tmp_path}/e", TOKENIZER).count() == 0
+
+
+def test_shard_lookup_over_many_blocks():
+    import io
+
+    out = io.BytesIO()
+    w = sstable.ShardWriter(out, 2, block_bytes=100)
+    ids = sorted(random.Random(1).sample(range(-5000, 5000), 2000))
+    for i in ids:
+        w.add(sstable.key_of(i), np.array([i & 1023, 7], np.uint32))
+    w.close()
+    s = sstable.Shard(out.getvalue())
+    assert [sstable.id_of(k) for k, _ in s] == ids and len(s.index) > 50
+    assert all((s.get(sstable.key_of(i))[0].tolist() == [i & 1023, 7]) for i in ids)
+    missing = [i for i in range(-5000, 5000) if i not in set(ids)]
+    assert not any(s.get(sstable.key_of(i)) for i in missing) and sum(s.may_have(sstable.key_of(i)) for i in missing) < 0.05 * len(missing)
+
+
+def test_packing(spark, docs, none):
+    pieces = packing.pack(docs, TOKENIZER, window=64, slots=3).collect()
+    assert packing.pack(none, TOKENIZER).count() == 0
+    by_seq, by_doc = defaultdict(list), Counter()
+    want = Counter((str(d), tuple(ids)) for d, ids in plain_ids(rows()))
+    for p in pieces:
+        by_seq[p.sequence_id].append(p)
+        by_doc[str(p.doc_id)] += p.length
+        assert any(d == str(p.doc_id) and len(i) == p.doc_tokens and list(i[p.start : p.start + p.length]) == np.frombuffer(p.ids, "<u4").tolist() for d, i in want)
+    for group in by_seq.values():
+        at = 0
+        for p in sorted(group, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 64
+    lengths = Counter()
+    for (d, i), n in want.items():
+        lengths[d] += n * len(i)
+    assert by_doc == lengths
+    partly = sorted(n for g in by_seq.values() if (n := sum(p.length for p in g)) < 64)
+    assert len(partly) <= 9 and (len(partly) < 2 or sum(partly[:2]) > 64)  # three windows a task at most, and no two fit into one
+
+
+def test_queries_are_named_and_registered():
+    from tidewell.llm import queries
+
+    assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 11)] == [1] * 10
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
+    json.dumps(queries.ORACLES)
