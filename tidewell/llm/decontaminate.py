@@ -163,5 +163,6 @@ def contaminated() -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the rule rejects."""
     bad = contamination(docs, items, id_col=id_col, text_col=text_col).where(contaminated()).select(F.col("doc_id").alias("_tw_d"), F.col("text_key").alias("_tw_k")).distinct()
+    bad = materialize(bad, "contaminated")  # its size decides whether texts are shuffled
     same = docs[id_col].cast("long").eqNullSafe(bad["_tw_d"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_tw_k"])
     return docs.join(bad, same, "left_anti")
