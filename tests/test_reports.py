@@ -165,3 +165,26 @@ def test_entry_and_queries(spark):
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 80
     assert entry.entry(spark).columns == ["dataset_id", "actor", "avg_secs", "median_secs", "samples"]
+
+
+def test_event_view_has_all_events_and_whole_texts(spark, tmp_path):
+    import duckdb
+
+    from tidewell.plans.testbed import WITH_EV, testbed
+
+    texts = ["a" * 700 + " end", None, "b", "twice", "twice", "no id"]
+    docs = list(zip([70, -3, 5_000_000_000, 12, 12, None], texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = [(i, i, ("click", "signup", "view")[i % 3], T0 + dt.timedelta(days=i)) for i in range(-2, 40)]
+    spark.createDataFrame(made, "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id: r.content for r in testbed(spark, str(tmp_path)).collect()}
+    by_number = ["", "twice", "twice", texts[0], "b", "no id"]
+    assert set(got) == {i for i, *_ in made}
+    assert all(c.startswith(by_number[i % 6]) and c[len(by_number[i % 6])] == " " for i, c in got.items())
+    con = duckdb.connect()
+    for name in ("events", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert dict(con.execute(WITH_EV + "z AS (SELECT 1) SELECT id, content FROM ev").fetchall()) == got
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/e/documents.parquet")
+    spark.createDataFrame(made, "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/e/events.parquet")
+    assert testbed(spark, f"{tmp_path}/e").count() == len(made)
