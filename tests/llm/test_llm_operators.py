@@ -68,6 +68,15 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [x.ids for x in want]
 
 
+def test_encoder_reads_added_tokens_as_an_untouched_library_does():
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "é <|endoftext|><|endoftext|> x", "<|endoftext|", "漢<|endoftext|>", "plain text"]
+    want = [Tokenizer.from_file(TOKENIZER).encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    assert [np.frombuffer(x, "<u4").tolist() for x in TextEncoder(TOKENIZER).encode(texts)] == want
+
+
 def test_secrets(spark, docs, none):
     held_out = list(secrets._rows(300, 77))
     model = secrets.train_forest(spark)

@@ -54,7 +54,7 @@ class _Ids(dict):
 
 
 class TextEncoder:
-    """Encodes texts; equal to ``Tokenizer.encode_batch(add_special_tokens=False)`` with special strings as plain text."""
+    """Encodes texts; equal to ``Tokenizer.encode_batch(add_special_tokens=False)``, added tokens in texts included."""
 
     def __init__(self, path: str, entries: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,11 +63,13 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         told = json.loads(self.tokenizer.to_str())
         kind = told.get("pre_tokenizer") or {}
         plain = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
         self.by_word = bool(plain and not told.get("normalizer"))
+        added = [t["content"] for t in told.get("added_tokens") or [] if t["content"]]
+        #: None where no text can hold an added token.
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.ids = _Ids(self.tokenizer, entries)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -76,7 +78,7 @@ class TextEncoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif self.by_word and (text.isascii() and not _CONTROL.search(text) or not OUTSIDE.search(text)):
+            elif self.by_word and not (self.added and self.added.search(text)) and (text.isascii() and not _CONTROL.search(text) or not OUTSIDE.search(text)):
                 out.append(b"".join(map(get, PRETOKEN.findall(text))))
             else:
                 done = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
