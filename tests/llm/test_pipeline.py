@@ -50,6 +50,17 @@ def test_stages(spark, corpus, tmp_path):
     assert {d: v.tolist() for d, v in got.items()} == want and TOKENIZER
 
 
+def test_near_copies_on_five_words_go(spark):
+    """Pairs that are linked on five-word shingles from 0.8, but not on three-word ones from 0.9."""
+    base = [[f"w{k}x{i}" for i in range(n)] for k, n in enumerate((100, 200, 100, 100))]
+    swap = lambda w, at: [f"new{i}" if i in at else x for i, x in enumerate(w)]
+    near = [swap(base[0], {30, 60}), swap(base[1], {30, 60, 90, 120}), base[2] + [f"end{i}" for i in range(12)], swap(base[3], {20, 45, 70})]
+    data = [(i, " ".join(w)) for i, w in enumerate(base + near)]
+    kept = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), "").collect())
+    assert kept == sorted({int(c) for *_, c in plain_components(data, 5, 80)}) == [0, 1, 2, 3, 7]
+    assert len({c for *_, c in plain_components(data)}) == 8
+
+
 def test_run_and_empty(spark, corpus, tmp_path):
     at, _ = corpus
     assert corpus_pipeline.run(spark, at).count() > 50
