@@ -92,6 +92,19 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs).where("doc_id = 3").count() == 0 and secrets.scan(none).count() == 0
 
 
+def test_secrets_have_whole_values_and_prefixed_names():
+    at = lambda text: [(rule, text[a:b]) for rule, a, b, _ in secrets.candidates(text, None)]
+    r = random.Random(8)
+    mixed = lambda n: "".join(r.choices("ABCDEFGHabcdefgh0123456789", k=n))
+    long, web, chatty = mixed(1000), f"eyJ{mixed(100)}.{mixed(200)}.{mixed(100)}", f"xoxb-{mixed(300)}"
+    assert at(f"token={long} x") == [("assigned", long)] and at(f"token={web} x") == [("assigned", web)] and at(f"see {chatty} x") == [("chat_token", chatty)]
+    key = mixed(40)
+    for name in ("DB_PASSWORD", "github_token", "aws_secret_access_key", "--token", "my-app-api-key", "_auth", "password"):
+        for value in ("S3cr3t!x", "abc123!xyz", key):
+            assert at(f'{name}: "{value}" or') == [("assigned", value)], name
+    assert not at("broken: S3cr3t!x") and not at("mytoken: S3cr3t!x") and not at("tokens: S3cr3t!x")
+
+
 def test_language_model_equals_brute_force(spark, docs, none):
     data = rows()
     got = lm.interpolation_scores(docs, parts=3).collect()

@@ -25,9 +25,9 @@ RULES = (
     ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
     ("cloud_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("hosting_token", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"),
-    ("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,72}"),
+    ("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     ("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("assigned", r"(?i:\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?)(?P<value>[^\s\"']{8,200})"),
+    ("assigned", r"(?i:(?<![\w-])[_-]*+(?:[^\W_]++[_-]++)*(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?)(?P<value>[^\s\"']{8,})"),
     ("random", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"),
 )
 # Words that speak for and against a secret, and a small dictionary.
