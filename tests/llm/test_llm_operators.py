@@ -179,6 +179,18 @@ def plain_counts(text):
     return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
 
 
+def test_field_spans_do_not_depend_on_the_place_in_a_line():
+    plain = [w for w in "alpha beta gamma delta omega sigma kappa river stone cloud".split()]
+    for value in ("anna (at) host (dot) com", "(743) 555-3824", "4111 1111 1111 1111"):
+        lines = []
+        for k in range(200):
+            words = [plain[i % 10] if i % 7 else "12" for i in range(200)]
+            dense = [plain[i % 10] if i % 3 else f"v{i}.2" for i in range(1500)]
+            lines += [" ".join([*words[:k], value, *words[k:]]), " ".join([*plain * 15][:k] + [value] + plain * 5), " ".join([*dense[: 1000 + k], value, *dense[1000 + k :]])]
+        for line, (_, spans) in zip(lines, pii.all_spans(lines, pii.field())):
+            assert value in [line[a:b] for _, a, b in spans], line.index(value)
+
+
 def test_quality(spark, docs, none):
     r = random.Random(3)
     for t in [*("".join(r.choices("ab \n\t#é\x1c\x85", k=r.randint(0, 60))) for _ in range(3000)), None, ""]:

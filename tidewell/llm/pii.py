@@ -81,8 +81,9 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 AROUND = ".,;:!?\"'#*$%&|<>"
 #: A line without a digit or such a sign holds no personal data of these kinds.
 _SIGN = re.compile(r"[\d_]|[^\w\s.,;:!?\"']")
-#: Longer lines are cut after a plain word, or after LONG_RUN tokens without one.
-LINE_TOKENS, LONG_RUN = 64, 1024
+#: Longer lines are cut where PLAIN words lie on both sides, as no span has so many in a row; LONG_RUN tokens without
+#: such a place are cut anywhere, and the stretches overlap by SPAN tokens on both sides of the cut.
+LINE_TOKENS, PLAIN, LONG_RUN, SPAN = 64, 4, 1024, 24
 SEED, TRAIN_LINES = 7, 192
 
 
@@ -233,19 +234,25 @@ _TOKEN = re.compile(r"\S+")
 
 
 def _lines(text: str):
-    """(tokens, shapes) of each stretch of text that may hold personal data; tokens as (start, end)."""
+    """(tokens, shapes, lo, hi) of each stretch of text that may hold personal data; tokens as (start, end). Spans from tokens lo to hi - 1 are the stretch's own."""
     at = 0
     for line in text.split("\n"):
         if _SIGN.search(line):
-            tokens, shapes = [], []
+            tokens, shapes, lo, plain = [], [], 0, 0
             for m in _TOKEN.finditer(line):
                 tokens.append((at + m.start(), at + m.end()))
                 shapes.append(shape(m[0]) if len(m[0]) <= 64 else "long")
-                if len(tokens) >= LINE_TOKENS and (shapes[-1] == "word" or len(tokens) >= LONG_RUN):
-                    yield tokens, shapes
-                    tokens, shapes = [], []
-            if tokens and any(s != "word" for s in shapes):
-                yield tokens, shapes
+                plain = plain + 1 if shapes[-1] == "word" else 0
+                cut = len(tokens) - PLAIN
+                if plain >= 2 * PLAIN and cut >= LINE_TOKENS:
+                    if any(s != "word" for s in shapes):
+                        yield tokens[:cut], shapes[:cut], lo, cut
+                    tokens, shapes, lo, plain = tokens[cut:], shapes[cut:], 0, PLAIN
+                elif len(tokens) >= LONG_RUN + 2 * SPAN:
+                    yield tokens, shapes, lo, len(tokens) - SPAN
+                    tokens, shapes, lo = tokens[-2 * SPAN :], shapes[-2 * SPAN :], SPAN
+            if any(s != "word" for s in shapes):
+                yield tokens, shapes, lo, len(tokens)
         at += len(line) + 1
 
 
@@ -268,8 +275,10 @@ def all_spans(texts: list[str | None], model: Field, cells: int = 200_000) -> li
     while lo < len(lines):
         hi = lo + max(1, cells // len(lines[lo][1]))
         part = lines[lo:hi]
-        for (i, tokens, _), labels in zip(part, viterbi([model.scores(s) for *_, s in part], model.move)):
+        for (i, tokens, _, first, after), labels in zip(part, viterbi([model.scores(x[2]) for x in part], model.move)):
             for a in np.flatnonzero(labels % 2 == 1).tolist():
+                if not first <= a < after:
+                    continue
                 b = a + 1
                 while b < len(labels) and labels[b] == labels[a] + 1:
                     b += 1
