@@ -204,6 +204,24 @@ def test_quality(spark, docs, none):
     assert not kept[999] and all(kept[i] for i in range(300))
 
 
+def test_each_measure_rejects_an_outlier_of_its_group(spark):
+    r = random.Random(12)
+    words = lambda n, size=5: ["".join(r.choices("abcdefghijklmnop", k=size)) for _ in range(n)]
+    passage = words(50)
+    odd = {
+        "words": words(60),
+        "word_len": words(400, 7),
+        "symbols": [w + "#" * (i % 5 == 0) for i, w in enumerate(words(400))],
+        "dup_lines": [w + ("\nstone\n" if i % 20 == 0 else "") for i, w in enumerate(words(400))],
+        "repeats": [*passage, *words(150), *passage, *words(150)],
+    }
+    data = [(i, " ".join(words(400)), "en", "g") for i in range(150)] + [(1000 + k, " ".join(w), "en", "g") for k, w in enumerate(odd.values())]
+    got = {x.doc_id: x for x in quality.quality(table(spark, data)).collect()}
+    assert all(got[i]._tw_kept for i in range(150))
+    assert not any(got[1000 + k]._tw_base_failed for k in range(5))
+    assert [m for k, m in enumerate(odd) if got[1000 + k]._tw_kept] == []
+
+
 def test_sketches_merge_and_bound_the_error(spark):
     v = spark.range(5000).selectExpr(*[f"id * 7 as {m}" for m in quality.MEASURES], "id % 3 as g")
     whole = quality.sketches(v, []).groupBy("measure", "bucket").agg(F.sum("n").alias("n"))

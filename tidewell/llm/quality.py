@@ -25,8 +25,9 @@ MEASURES = {"_tw_m_words": -1, "_tw_m_word_len": 1, "_tw_m_symbols": 1, "_tw_m_d
 #: Rows of a group below which the language's thresholds hold, and below which all rows' hold.
 LEAST_ROWS = 100
 #: Distance from a quartile, in quartile ranges, beyond which a value is rejected; and the least range of each measure.
-FENCE = 6
-LEAST_RANGE = {"_tw_m_words": 64, "_tw_m_word_len": 500, "_tw_m_symbols": 10, "_tw_m_dup_lines": 100, "_tw_m_repeats": 100}
+#: A group whose quartile is 0 thus allows 30 duplicate lines and 195 repeated words in 1000 words; the fixed rules leave 500 repeats.
+FENCE = 3
+LEAST_RANGE = {"_tw_m_words": 20, "_tw_m_word_len": 500, "_tw_m_symbols": 10, "_tw_m_dup_lines": 10, "_tw_m_repeats": 65}
 #: Leading bits of a value that a sketch keeps: its error is below 1 / 2**(BITS - 1) of the value.
 BITS = 6
 
