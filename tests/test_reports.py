@@ -188,3 +188,33 @@ def test_event_view_has_all_events_and_whole_texts(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/e/documents.parquet")
     spark.createDataFrame(made, "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/e/events.parquet")
     assert testbed(spark, f"{tmp_path}/e").count() == len(made)
+
+
+def test_bursts_and_numbers_are_not_one_task(spark):
+    import random
+
+    from tidewell.operators.normalize import normalize
+
+    r, t, times = random.Random(4), 0, []
+    for _ in range(600):
+        t += r.choice([1, 20, 60, 299, 300, 301, 4000])
+        times.append(t)
+    ev = events(spark, [("a", at(sec=s), "x") for s in times])
+    want, a, z = [], 0, 0
+    while z < len(times):
+        while times[z] - times[a] > 300:
+            a += 1
+        if z - a + 1 >= 4:
+            want.append((at(sec=times[a]), at(sec=times[z]), z - a + 1))
+            a = min(a + 10, z)
+        z += 1
+    got = relations.greedy_bursts(ev, 4)
+    assert sorted((x.start_ts, x.end_ts, x.messages) for x in got.collect()) == sorted(want) and len(want) > 20
+    assert "session" in got._jdf.queryExecution().analyzed().toString()
+
+    lines = [(f, n, "a", at(), "2024", c, "message", False, None) for f in ("t", None) for n, c in [(None, "first"), (3, "x"), (5, None), (70_000, "y"), (65_536, "z"), (9_000_000, "last")]]
+    records = spark.createDataFrame(lines, "source_file string, line_no long, actor string, ts timestamp, raw_timestamp string, content string, event_type string, has_media boolean, metadata string")
+    out, _ = normalize(records, "d")
+    for f in ("t", None):
+        assert [(x.content, x.sequence_num) for x in sorted((x for x in out.collect() if x.source_file == f), key=lambda x: x.sequence_num)] == [("first", 1), ("x", 2), ("z", 3), ("y", 4), ("last", 5)]
+    assert "_range" in out._jdf.queryExecution().analyzed().toString()

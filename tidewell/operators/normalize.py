@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.text import emoji_matches, url_matches, utf16_len, word_count
 
 
+#: Line numbers of a file that are numbered in one task.
+LINES = 65_536
+
+
+def _with_sequence(rows: DataFrame) -> DataFrame:
+    """Adds sequence_num, a row's number in its file from 1 by line_no: a range of lines is numbered apart, after the rows of the ranges before it."""
+    ranged = rows.withColumn("_range", F.floor(F.col("line_no").cast("double") / LINES))
+    sizes = ranged.groupBy("source_file", "_range").agg(F.count(F.lit(1)).alias("_size"))
+    w = Window.partitionBy("source_file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("source_file").alias("_file"), F.col("_range").alias("_start"), F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_before"))
+    own = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("source_file", "_range").orderBy("line_no")))
+    met = own.join(starts, F.col("source_file").eqNullSafe(F.col("_file")) & F.col("_range").eqNullSafe(F.col("_start")))
+    return met.select(*rows.columns, (F.col("_before") + F.col("_n")).cast("long").alias("sequence_num"))
+
+
 def normalize(records: DataFrame, dataset_id: str, default_ts=None) -> tuple[DataFrame, DataFrame]:
     """(events, rejects): records with a time and a content as events, the others apart.
 
@@ -19,8 +34,7 @@ def normalize(records: DataFrame, dataset_id: str, default_ts=None) -> tuple[Dat
     good = F.col("ts").isNotNull() & F.col("content").isNotNull()
     content = F.col("content")
     urls, emojis = F.array_distinct(url_matches(content, loose=True)), F.array_distinct(emoji_matches(content))
-    w = Window.partitionBy("source_file").orderBy("line_no")
-    events = rows.where(good).select(
+    events = _with_sequence(rows.where(good)).select(
         F.sha2(F.concat_ws("|", F.lit(dataset_id), "source_file", "line_no"), 256).alias("id"),
         F.lit(dataset_id).alias("dataset_id"),
         "source_file",
@@ -28,7 +42,7 @@ def normalize(records: DataFrame, dataset_id: str, default_ts=None) -> tuple[Dat
         "actor",
         "ts",
         "raw_timestamp",
-        F.row_number().over(w).cast("long").alias("sequence_num"),
+        "sequence_num",
         "content",
         F.coalesce("event_type", F.lit("message")).alias("event_type"),
         utf16_len(content).alias("char_length"),

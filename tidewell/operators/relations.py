@@ -98,8 +98,9 @@ def velocity_bursts(ev: DataFrame, least: int = 25, window_secs: int = 300, crit
 def greedy_bursts(ev: DataFrame, least: int = 25, window_secs: int = 300, restart: int = 10) -> DataFrame:
     """The other reading of a burst: a window that reports as soon as it holds ``least`` events and then starts ``restart`` events later.
 
-    Each step depends on the one before, so a stream's events are read in order
-    by one Python function; dataset_id, start_ts, end_ts and messages come back.
+    Windows start anew after a gap above ``window_secs``, so each run of events
+    without one is read in order by one Python function; dataset_id, start_ts,
+    end_ts and messages come back.
     """
 
     def scan(pdf):
@@ -116,8 +117,8 @@ def greedy_bursts(ev: DataFrame, least: int = 25, window_secs: int = 300, restar
             z += 1
         return pd.DataFrame({"dataset_id": pdf["dataset_id"].iloc[0], "start_ts": pd.Series([x[0] for x in out], dtype=t.dtype), "end_ts": pd.Series([x[1] for x in out], dtype=t.dtype), "messages": pd.Series([x[2] for x in out], dtype="int64")})
 
-    rows = ev.select("dataset_id", "id", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("dataset_id").applyInPandas(scan, "dataset_id string, start_ts timestamp, end_ts timestamp, messages long")
+    rows = with_session(ev.select("dataset_id", "id", F.col("ts").cast("timestamp").alias("ts")), window_secs)
+    return rows.groupBy("dataset_id", "session").applyInPandas(scan, "dataset_id string, start_ts timestamp, end_ts timestamp, messages long")
 
 
 def dormancy_gaps(ev: DataFrame, days: float = 14, warning: float = 45, limit: int | None = 10) -> DataFrame:
