@@ -91,6 +91,59 @@ def test_archives_and_catalog(spark, tmp_path):
     assert records.catalog_files(spark, str(tmp_path)).where("path like '%zero.txt'").count() == 0
 
 
+def test_delimited_files_keep_their_own_headers_and_all_cells(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    put(tmp_path / "t", "a.csv", ["name,score", "Ann,5," + ",".join(f"x{i}" for i in range(12)), "Bob"])
+    put(tmp_path / "t", "b.tsv", ["author\tdate\tnote", 'Cyd\t2024-01-12\t"two\tcells\nand ""lines"""'])
+    put(tmp_path / "t", "c.csv", ["name,,name", "Dan,b,c"])
+    rows = {r.actor: r for r in records.read_delimited(spark, str(tmp_path / "t")).collect()}
+    assert rows["Ann"].content == "name: Ann | score: 5" and rows["Bob"].content == "name: Bob"
+    data = json.loads(rows["Ann"].metadata)["rowData"]
+    assert [data[f"extra_{i + 3}"] for i in range(12)] == [f"x{i}" for i in range(12)]
+    assert rows["Cyd"].content == 'author: Cyd | date: 2024-01-12 | note: two\tcells\nand "lines"' and rows["Cyd"].ts == dt.datetime(2024, 1, 12)
+    assert rows["Dan"].content == "name: Dan | column_2: b | name_3: c"
+    assert [r.line_no for r in rows.values() if r.actor in ("Ann", "Bob")] == [1, 2]
+
+
+def test_json_export_beyond_a_variant(spark, tmp_path):
+    with open(tmp_path / "big.json", "w") as f:
+        f.write('{"name": "n", "messages": [')
+        f.write(",".join(json.dumps({"from": "Ann", "text": f"{i} " + "x" * 1000}) for i in range(150_000)))
+        f.write("]}")
+    r = records.read_json_export(spark, str(tmp_path / "big.json")).agg(F.count("*"), F.countDistinct("content"), F.min(F.length("content"))).first()
+    assert tuple(r) == (150_000, 150_000, 1002)
+
+
+def test_json_items_of_any_kind(spark, tmp_path):
+    path = put(tmp_path, "odd.json", '\n [{"from": "Ann", "text": "a"}, "plain", 7]')
+    assert [r.actor for r in records.read_json_export(spark, path).orderBy("line_no").collect()] == ["Ann", None, None]
+    one = put(tmp_path, "one.json", '{"from": "Ann", "text": "only"}')
+    assert got(records.read_json_export(spark, one)) == [("Ann", "only", "record")]
+    lines = put(tmp_path, "lines.json", ['{"from": "Ann", "text": "a"}', "{broken", '{"from": "Bob", "text": "b"}'])
+    assert [x[0] for x in got(records.read_json_export(spark, lines))] == ["Ann", "Bob"]
+    assert [x[2] for x in got(records.read_json_export(spark, put(tmp_path, "bad.json", "[{]"), "discord"))] == ["unstructured"]
+
+
+def test_mixed_archive_and_folder(spark, tmp_path):
+    ndjson = '{"sender": "Eve", "message": "n1"}\n{"sender": "Fay", "message": "n2"}\n'
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("chat.txt", "12/01/2024, 09:05 - Ann: hi\n")
+        z.writestr("export.json", json.dumps({"messages": [{"from": "Bob", "text": "yo"}]}))
+        z.writestr("sub/table.csv", 'name;note\nCyd;"a\nb"\n')
+        z.writestr("sub/lines.ndjson", ndjson)
+        z.writestr("p.png", b"1")
+    found = records.read_archives(spark, f"{tmp_path}/*.zip").collect()
+    assert {(r.actor, r.content) for r in found} == {("Ann", "hi"), ("Bob", "yo"), ("Cyd", "name: Cyd | note: a\nb"), ("Eve", "n1"), ("Fay", "n2")}
+    assert {json.loads(r.metadata)["innerPath"] for r in found} == {"chat.txt", "export.json", "sub/table.csv", "sub/lines.ndjson"}
+    put(tmp_path, "discord_a.txt", ["[2024-01-12 21:06] Gus", "hey"])
+    put(tmp_path, "more.jsonl", ndjson)
+    put(tmp_path, "notes.txt", ["[2024-01-12 09:05:00] Hal: note"])
+    assert {r.actor for r in records.read_any(spark, str(tmp_path)).collect()} == {"Ann", "Bob", "Cyd", "Eve", "Fay", "Gus", "Hal"}
+    put(tmp_path, "t.xlsx", "x")
+    with pytest.raises(ValueError, match="xlsx"):
+        records.read_any(spark, str(tmp_path))
+
+
 def test_times(spark):
     cases = {"2024-01-12T09:05:00Z": "2024-01-12 09:05:00", "13/02/2024 10:00": "2024-02-13 10:00:00", "02/13/2024": "2024-02-13 00:00:00", "1705050300": "2024-01-12 09:05:00", "1705050300000": "2024-01-12 09:05:00", "Jan 5, 2024": "2024-01-05 00:00:00", "12-Jan-24 09:05 PM": "2024-01-12 21:05:00", "nonsense": None, "": None}
     df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", parse_ts(F.col("s")).cast("string").alias("t"))
@@ -177,7 +230,16 @@ def test_stream_responses(spark, stream):
 
 def test_custom_reader(spark, tmp_path):
     records.register_reader("lines", lambda s, path: s.read.text(path).select(F.lit(path).alias("source_file"), F.lit(0).alias("line_no"), F.lit("x").alias("actor"), F.current_timestamp().alias("ts"), F.lit(None).cast("string").alias("raw_timestamp"), F.col("value").alias("content"), F.lit("message").alias("event_type"), F.lit(False).alias("has_media"), F.lit(None).cast("string").alias("metadata")))
-    assert records.READERS["lines"](spark, put(tmp_path, "l.txt", ["a", "b"])).columns == records.COLUMNS
+    try:
+        assert records.READERS["lines"](spark, put(tmp_path, "l.txt", ["a", "b"])).columns == records.COLUMNS
+    finally:
+        del records.READERS["lines"]
+    xlsx = put(tmp_path, "t.xlsx", "cell")
+    records.register_reader("xlsx", lambda s, paths: records.read_chat_log(s, paths))
+    try:
+        assert got(records.read_any(spark, xlsx)) == [(None, "cell", "unstructured")]
+    finally:
+        del records.READERS["xlsx"]
 
 
 def test_stream_bursts_equal_batch_windows(spark, stream):

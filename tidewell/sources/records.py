@@ -6,6 +6,7 @@ event_type, has_media, metadata (JSON). A time that can't be read is null.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -37,7 +38,7 @@ MEDIA = {"discord": r"(?i)\[(Attachment|Image|Video|File):|https://(cdn|media)\.
 BINARY = r"[\x00-\x08\x0E-\x1F]"
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
+def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with their file and number. A file is read by one task, so that its lines keep their order."""
     whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
     return whole.select("source_file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
@@ -88,7 +89,7 @@ def records_from_lines(lines: DataFrame, dialect: str = "chat", max_len: int = 6
     )
 
 
-def read_chat_log(spark: SparkSession, path: str, dialect: str = "chat", **options) -> DataFrame:
+def read_chat_log(spark: SparkSession, path: str | list[str], dialect: str = "chat", **options) -> DataFrame:
     if dialect == "legacy":
         options.setdefault("on_binary", "fail")
     return records_from_lines(text_lines(spark, path), dialect, **options)
@@ -107,10 +108,77 @@ def _pick(v: Column, *paths: str) -> Column:
     return F.coalesce(*[_str(v, p) for p in paths])
 
 
-def _items(v: Column, *containers: str) -> Column:
-    """The root's items: itself if an array, else the first container that is one, else the root alone."""
-    array = lambda p: F.try_variant_get(v, p, "array<variant>")
-    return F.coalesce(array("$"), *[array(f"$.{c}") for c in containers], F.array(v))
+def item_places(text: str, containers: tuple[str, ...]) -> list[tuple[int, int]] | None:
+    """Where a JSON text's items lie: those of its root if it is an array, else of the first container that is one, else the root alone; None if it is no JSON."""
+    decode, gap = json.JSONDecoder().raw_decode, re.compile(r"[\s\ufeff]*").match
+
+    def array(at: int) -> tuple[list[tuple[int, int]], int]:
+        found, at = [], gap(text, at + 1).end()
+        while text[at] != "]":
+            start, at = at, decode(text, at)[1]
+            found.append((start, at))
+            at = gap(text, at).end()
+            if text[at] == ",":
+                at = gap(text, at + 1).end()
+                if text[at] == "]":
+                    raise ValueError("an item is missing")
+            elif text[at] != "]":
+                raise ValueError("no array")
+        return found, at + 1
+
+    try:
+        start = at = gap(text, 0).end()
+        found, end = None, None
+        if text[at] == "[":
+            found, end = array(at)
+        elif text[at] == "{" and containers:
+            arrays, at = {}, gap(text, at + 1).end()
+            while text[at] != "}":
+                key, at = decode(text, at)
+                at = gap(text, at).end()
+                if text[at] != ":":
+                    raise ValueError("no object")
+                at = gap(text, at + 1).end()
+                if key in containers and text[at] == "[":
+                    arrays[key], at = array(at)
+                else:
+                    at = decode(text, at)[1]
+                at = gap(text, at).end()
+                if text[at] == ",":
+                    at = gap(text, at + 1).end()
+                elif text[at] != "}":
+                    raise ValueError("no object")
+            end = at + 1
+            found = next((arrays[c] for c in containers if c in arrays), None)
+        else:
+            end = decode(text, at)[1]
+        if gap(text, end).end() < len(text):
+            return None  # something comes after the root
+        return [(start, end)] if found is None else found
+    except (ValueError, IndexError, RecursionError):
+        return None
+
+
+def json_items(files: DataFrame, containers: tuple[str, ...]) -> DataFrame:
+    """JSON texts' items as texts (source_file, line_no, item); a text that is no JSON is one row with null for the number.
+
+    A text is walked once and its items are handed on in small batches, so only
+    an item's size is bounded by what a variant can hold, not the file's.
+    """
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            for file, text in zip(f["source_file"], f["value"]):
+                places = item_places(text, containers)
+                if places is None:
+                    yield pd.DataFrame({"source_file": [file], "line_no": pd.array([None], "Int32"), "item": [text]})
+                for lo in range(0, len(places or ()), 5_000):
+                    part = places[lo : lo + 5_000]
+                    yield pd.DataFrame({"source_file": file, "line_no": pd.array(range(lo, lo + len(part)), "Int32"), "item": [text[a:b] for a, b in part]})
+
+    return files.select("source_file", "value").mapInPandas(run, "source_file string, line_no int, item string")
 
 
 def _size(v: Column, path: str) -> Column:
@@ -139,9 +207,9 @@ def json_record(v: Column, index: Column) -> Column:
     )
 
 
-def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """One object a line; a line that can't be parsed is kept as an unstructured record."""
-    lines = text_lines(spark, path).where(F.length(F.trim("line")) > 0).withColumn("v", F.try_parse_json("line"))
+def records_from_ndjson(lines: DataFrame) -> DataFrame:
+    """One object a line (source_file, line_no, line); a line that can't be parsed is kept as an unstructured record."""
+    lines = lines.where(F.length(F.trim("line")) > 0).withColumn("v", F.try_parse_json("line"))
     made = lines.select("source_file", "line_no", "line", F.when(F.col("v").isNotNull(), json_record(F.col("v"), F.col("line_no") + 1)).alias("r"))
     broken = F.struct(
         F.lit(None).cast("string").alias("actor"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("raw_timestamp"), F.substring("line", 1, 1000).alias("content"),
@@ -150,21 +218,43 @@ def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
     return made.select("source_file", "line_no", F.coalesce("r", broken).alias("r")).select("source_file", "line_no", "r.*")
 
 
-def read_json_export(spark: SparkSession, path: str, kind: str = "generic") -> DataFrame:
-    """Records of JSON exports: generic, discord, slack or imessage. A generic file that is no JSON is read line by line, without its broken lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value", F.try_parse_json("value").alias("root"))
+def read_ndjson(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return records_from_ndjson(text_lines(spark, path))
+
+
+def records_from_json(files: DataFrame, kind: str = "generic") -> DataFrame:
+    """Records of JSON texts (source_file, value): generic, discord, slack or imessage exports.
+
+    A generic or slack text that is no JSON is read line by line, without its
+    broken lines; any other is one unstructured record, so that no file is lost.
+    """
     containers = {"generic": ("messages", "records", "events", "data", "items"), "discord": ("messages",)}.get(kind, ())
-    items = whole.where("root is not null").select("source_file", "root", F.posexplode(_items(F.col("root"), *containers)).alias("line_no", "v"))
+    files = files.where(F.length(F.trim("value")) > 0)
+    cut = json_items(files, containers)
+    items = cut.where("line_no is not null").select("source_file", "line_no", F.try_parse_json("item").alias("v"))
+    whole = cut.where("line_no is null").select("source_file", F.col("item").alias("value"))
     if kind in ("generic", "slack"):
-        lines = whole.where("root is null").select("source_file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).select("source_file", F.lit(None).cast("variant").alias("root"), "line_no", F.try_parse_json("line").alias("v"))
+        lines = whole.select("source_file", F.posexplode(F.split("value", "\n")).alias("line_no", "item")).select("source_file", "line_no", F.try_parse_json("item").alias("v"))
         items = items.unionByName(lines.where("v is not null"))
-    v, root = F.col("v"), F.col("root")
-    made = {"generic": lambda: json_record(v, F.col("line_no") + 1), "discord": lambda: _discord(v, root), "slack": lambda: _slack(v), "imessage": lambda: _imessage(v)}[kind]()
-    rows = items.select("source_file", "line_no", made.alias("r"))
-    return rows.where("r is not null").select("source_file", "line_no", "r.*")
+    if kind == "discord":
+        ids = files.select(F.col("source_file").alias("_f"), F.get_json_object("value", "$.channel.id").alias("channel"), F.get_json_object("value", "$.guild.id").alias("guild"))
+        items = items.join(ids, F.col("source_file") == F.col("_f"))
+    v = F.col("v")
+    made = {"generic": lambda: json_record(v, F.col("line_no") + 1), "discord": lambda: _discord(v), "slack": lambda: _slack(v), "imessage": lambda: _imessage(v)}[kind]()
+    out = items.select("source_file", "line_no", made.alias("r")).where("r is not null").select("source_file", "line_no", "r.*")
+    if kind in ("generic", "slack"):
+        return out
+    none = lambda t: F.lit(None).cast(t)
+    broken = whole.select("source_file", F.lit(0).alias("line_no"), none("string").alias("actor"), none("timestamp").alias("ts"), none("string").alias("raw_timestamp"), F.substring("value", 1, 1000).alias("content"), F.lit("unstructured").alias("event_type"), F.lit(False).alias("has_media"), F.lit('{"parseError":"not JSON"}').alias("metadata"))
+    return out.unionByName(broken)
+
+
+def read_json_export(spark: SparkSession, path: str | list[str], kind: str = "generic") -> DataFrame:
+    """Records of JSON files: generic, discord, slack or imessage exports."""
+    return records_from_json(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value"), kind)
 
 
-def _discord(v: Column, root: Column) -> Column:
+def _discord(v: Column) -> Column:
     tag = _str(v, "author.discriminator")
     name = F.coalesce(_pick(v, "author.nickname", "author.name", "author.username", "author.id"))
     full = F.concat(name, F.when(tag.isNotNull() & ~tag.isin("0", "0000"), F.concat(F.lit("#"), tag)).otherwise(F.lit("")))
@@ -173,7 +263,7 @@ def _discord(v: Column, root: Column) -> Column:
     mark = F.when(F.size(files) > 0, F.concat(F.lit("[Attachment: "), urls, F.lit("]")))
     body = F.nullif(F.concat_ws(" ", _pick(v, "content", "text", "message"), mark), F.lit(""))
     raw = _pick(v, "timestamp", "timestampEdited", "created_at", "date")
-    meta = F.to_json(F.struct(_str(v, "id").alias("id"), F.coalesce(_str(v, "channelId"), _str(root, "channel.id")).alias("channelId"), F.coalesce(_str(v, "guildId"), _str(root, "guild.id")).alias("guildId"), F.to_json(F.try_variant_get(v, "$.reactions", "variant")).alias("reactions"), F.try_variant_get(v, "$.isPinned", "boolean").alias("isPinned")))
+    meta = F.to_json(F.struct(_str(v, "id").alias("id"), F.coalesce(_str(v, "channelId"), F.col("channel")).alias("channelId"), F.coalesce(_str(v, "guildId"), F.col("guild")).alias("guildId"), F.to_json(F.try_variant_get(v, "$.reactions", "variant")).alias("reactions"), F.try_variant_get(v, "$.isPinned", "boolean").alias("isPinned")))
     media = (_size(v, "attachments") > 0) | (_size(v, "embeds") > 0) | F.coalesce(F.try_variant_get(v, "$.hasMedia", "boolean"), F.lit(False))
     plain = F.when(F.schema_of_variant(F.try_variant_get(v, "$.author", "variant")) == "STRING", _str(v, "author"))
     return F.struct(F.coalesce(full, plain, F.lit("Unknown")).alias("actor"), parse_ts(raw).alias("ts"), raw.alias("raw_timestamp"), F.coalesce(body, F.lit("[Empty message]")).alias("content"), F.coalesce(_str(v, "type"), F.lit("message")).alias("event_type"), media.alias("has_media"), meta.alias("metadata"))
@@ -218,42 +308,78 @@ def detect_delimiter(header: str) -> str:
     return max(",\t;|", key=lambda d: (header.count(d), -",\t;|".index(d)))
 
 
-def rows_to_events(df: DataFrame, order: list[str], sheet: str | None = None, base: str = "2024-01-01 08:00:00", actor_in_content: bool = True) -> DataFrame:
-    """Any table's rows as records: roles by column names, text as ``column: value`` of all filled cells.
+def _place(names: Column, pattern: re.Pattern) -> Column:
+    """The place, from 1, of the first column whose name has a role; 0 for none."""
+    return F.coalesce(F.array_position(F.transform(names, lambda n: F.trim(n).rlike(f"(?i){pattern.pattern}")), True), F.lit(0))
+
 
-    ``order`` numbers the rows of each file, from 1; without a time a row comes
-    an hour after the one before. A file's rows are numbered in one task.
+def cells_to_events(rows: DataFrame, sheet: str | None = None, base: str = "2024-01-01 08:00:00", actor_in_content: bool = True) -> DataFrame:
+    """Rows (source_file, line_no from 1, names, cells) as records: roles by column names, text as ``column: value`` of all filled cells.
+
+    ``names`` and ``cells`` are arrays of texts. A blank name becomes column_i,
+    one that came before gets its place, and cells beyond the names are extra_i
+    in the metadata alone, however many there are. Without a time a row comes
+    an hour after the one before.
     """
-    names = [c for c in df.columns if not c.startswith("_tw_")]
-    actor, when = detect_roles(names)
-    cell = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
-    shown = [c for c in names if not c.startswith("extra_") and (actor_in_content or c != actor)]
-    body = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), cell(c)) for c in shown])
-    n = F.row_number().over(Window.partitionBy("_tw_file").orderBy(*order)) if "_tw_file" in df.columns else F.row_number().over(Window.orderBy(*order))
-    rows = df.withColumn("_tw_n", n)
-    raw = cell(when) if when else F.lit(None).cast("string")
-    meta = F.to_json(F.struct(F.lit(sheet).alias("sheetName"), F.col("_tw_n").alias("rowIndex"), F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in names]).alias("rowData")))
+    named = F.transform("names", lambda n, i: F.coalesce(F.nullif(F.trim(n), F.lit("")), F.concat(F.lit("column_"), (i + 1).cast("string"))))
+    rows = rows.withColumn("names", named)
+    rows = rows.withColumn("names", F.transform("names", lambda n, i: F.when(F.array_position(F.col("names"), n) <= i, F.concat(n, F.lit("_"), (i + 1).cast("string"))).otherwise(n)))
+    rows = rows.withColumns({"_actor": _place(F.col("names"), ACTOR), "_when": _place(F.col("names"), WHEN)})
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    cell = lambda at: F.when(F.col(at) > 0, filled(F.try_element_at("cells", F.col(at).cast("int"))))
+    shown = F.transform("names", lambda n, i: F.when(F.lit(actor_in_content) | (i + 1 != F.col("_actor")), F.concat(n, F.lit(": "), filled(F.get("cells", i)))))
+    body = F.array_join(F.array_compact(shown), " | ")
+    width = F.greatest(F.size("names"), F.size("cells"))
+    keys = F.transform(F.sequence(F.lit(1), width), lambda i: F.coalesce(F.get("names", i - 1), F.concat(F.lit("extra_"), i.cast("string"))))
+    values = F.transform(F.sequence(F.lit(1), width), lambda i: F.coalesce(F.get("cells", i - 1), F.lit("")))
+    n, raw = F.col("line_no"), cell("_when")
+    meta = F.to_json(F.struct(F.lit(sheet).alias("sheetName"), n.alias("rowIndex"), F.map_from_arrays(keys, values).alias("rowData")))
     return rows.select(
-        (F.col("_tw_file") if "_tw_file" in df.columns else F.lit(sheet).cast("string")).alias("source_file"), F.col("_tw_n").alias("line_no"), (cell(actor) if actor else F.lit(None).cast("string")).alias("actor"),
-        F.coalesce(parse_ts(raw), F.when(raw.isNull(), F.to_timestamp(F.lit(base)) + F.make_dt_interval(F.lit(0), F.col("_tw_n")))).alias("ts"), raw.alias("raw_timestamp"),
-        F.coalesce(F.nullif(body, F.lit("")), F.concat(F.lit("Row #"), F.col("_tw_n").cast("string"))).alias("content"), F.lit("record").alias("event_type"), F.lit(False).alias("has_media"), meta.alias("metadata"),
+        "source_file", n.alias("line_no"), cell("_actor").alias("actor"), F.coalesce(parse_ts(raw), F.when(raw.isNull(), F.to_timestamp(F.lit(base)) + F.make_dt_interval(F.lit(0), n))).alias("ts"), raw.alias("raw_timestamp"),
+        F.coalesce(F.nullif(body, F.lit("")), F.concat(F.lit("Row #"), n.cast("string"))).alias("content"), F.lit("record").alias("event_type"), F.lit(False).alias("has_media"), meta.alias("metadata"),
     )
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = "auto", base: str = "2024-01-01 08:00:00") -> DataFrame:
-    """A delimited file's rows as records; blank headers become column_i, cells beyond the header extra_i."""
-    first = spark.read.text(path).select("value").first()
-    if first is None:
-        return spark.createDataFrame([], "source_file string, line_no int, actor string, ts timestamp, raw_timestamp string, content string, event_type string, has_media boolean, metadata string")
-    sep = detect_delimiter(first[0]) if sep == "auto" else sep
-    read = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
-    header = read.csv(path).first()
-    names = [(h or "").strip() or f"column_{i + 1}" for i, h in enumerate(header)]
-    wide = names + [f"extra_{i + 1}" for i in range(len(names), len(names) + 8)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in wide])
-    rows = read.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    rows = rows.withColumns({"_tw_file": F.col("_metadata.file_path"), "_tw_at": F.monotonically_increasing_id()})
-    return rows_to_events(rows, ["_tw_at"], None, base)
+def rows_to_events(df: DataFrame, order: list[str], sheet: str | None = None, base: str = "2024-01-01 08:00:00", actor_in_content: bool = True) -> DataFrame:
+    """Any table's rows as records, as cells_to_events makes them.
+
+    ``order`` numbers the rows, from 1, in one task: a row's time may hang on its number.
+    """
+    row = F.struct(F.lit(sheet).cast("string").alias("source_file"), F.array(*[F.lit(c) for c in df.columns]).alias("names"), F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("cells"))
+    numbered = df.select(row.alias("_row"), F.row_number().over(Window.orderBy(*order)).alias("line_no"))
+    return cells_to_events(numbered.select("_row.*", "line_no"), sheet, base, actor_in_content)
+
+
+def _cells_of(record: Column, sep: str) -> Column:
+    """All cells of a delimited record's text."""
+    s = re.escape(sep)
+    cut = F.regexp_extract_all(record, F.lit(f'(?s)(?:^|{s})("(?:[^"]|"")*"|[^{s}]*)'), F.lit(1))
+    return F.transform(cut, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def read_delimited(spark: SparkSession, path: str | list[str], sep: str = "auto", base: str = "2024-01-01 08:00:00") -> DataFrame:
+    """Delimited files' rows as records. Each file has its own header and delimiter; files with the same header are read together."""
+    begin = spark.read.text(path).where("_metadata.file_block_start = 0").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("head"))
+    groups = begin.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()  # names of files alone
+    none = spark.createDataFrame([], "source_file string, line_no int, names array<string>, cells array<string>")
+    made = []
+    for head, files in groups:
+        own = detect_delimiter(head) if sep == "auto" else sep
+        read = spark.read.option("sep", own).option("quote", '"').option("escape", '"').option("multiLine", True)
+        names = [h or "" for h in read.csv(files).first()]
+        cols = [f"c{i}" for i in range(len(names))]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cols, "_record"]])
+        rows = read.option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_record").schema(schema).csv(files)
+        # A record with too many cells comes with its text, from which all of them are cut; one with too few has nulls.
+        plain = F.array(*cols)
+        cells = F.when(F.col("_record").isNull(), plain).otherwise(F.concat(plain, F.slice(_cells_of(F.col("_record"), own), len(names) + 1, 1 << 30)))
+        made.append(rows.select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("at"), F.array(*[F.lit(n) for n in names]).alias("names"), cells.alias("cells")))
+    if not made:
+        return cells_to_events(none, None, base)
+    # A file is read by one task, so its rows lie one after the other there.
+    at = Window.partitionBy("source_file")
+    numbered = [m.withColumn("line_no", (F.col("at") - F.min("at").over(at) + 1).cast("int")).drop("at") for m in made]
+    return cells_to_events(reduce(DataFrame.unionByName, numbered), None, base)
 
 
 # ---------------------------------------------------------------- archives and files
@@ -262,8 +388,8 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "auto", base: str
 DATA_ENTRIES, MEDIA_ENTRIES = ("txt", "json", "ndjson", "jsonl", "csv", "tsv", "log", "md"), ("jpg", "jpeg", "png", "mp4", "opus", "mp3")
 
 
-def archive_lines(spark: SparkSession, glob: str) -> DataFrame:
-    """Lines of the data entries of zip archives: source_file, inner_path, line_no, line, media_count. One task opens an archive."""
+def archive_entries(spark: SparkSession, glob: str | list[str]) -> DataFrame:
+    """The data entries of zip archives: source_file, inner_path, value (the text), media_count. One task opens an archive."""
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
 
     def run(frames):
@@ -279,20 +405,61 @@ def archive_lines(spark: SparkSession, glob: str) -> DataFrame:
                     ext = lambda n: n.rpartition(".")[2].lower()
                     media = sum(ext(n) in MEDIA_ENTRIES for n in names)
                     for name in sorted((n for n in names if ext(n) in DATA_ENTRIES), key=lambda n: ("chat" not in n.lower(), n)):
-                        lines = z.read(name).decode("utf-8", "replace").splitlines()
-                        yield pd.DataFrame({"source_file": path, "inner_path": name, "line_no": range(len(lines)), "line": lines, "media_count": media})
+                        yield pd.DataFrame({"source_file": [path], "inner_path": [name], "value": [z.read(name).decode("utf-8-sig", "replace")], "media_count": [media]})
 
-    return files.mapInPandas(run, "source_file string, inner_path string, line_no int, line string, media_count int")
+    return files.mapInPandas(run, "source_file string, inner_path string, value string, media_count int")
 
 
-def read_archives(spark: SparkSession, glob: str) -> DataFrame:
-    """Chat records of the text entries of archives, with their archive, entry and number of media in metadata."""
-    lines = archive_lines(spark, glob)
-    inner = F.concat_ws("!", "source_file", "inner_path")
-    facts = lines.select(inner.alias("source_file"), "inner_path", F.col("source_file").alias("archive"), "media_count").distinct()
-    texts = lines.where(F.lower("inner_path").rlike(r"\.(txt|log|md)$")).select(inner.alias("source_file"), "line_no", "line")
-    meta = F.to_json(F.struct(F.col("archive").alias("archiveSource"), F.col("inner_path").alias("innerPath"), F.col("media_count").alias("archiveMediaCount")))
-    return records_from_lines(texts, "chat").drop("metadata").join(facts, "source_file").select(*COLUMNS[:-1], meta.alias("metadata"))
+def _lines_of(texts: DataFrame) -> DataFrame:
+    return texts.select("source_file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
+
+
+def _table_rows(texts: DataFrame) -> DataFrame:
+    """Rows (source_file, line_no, names, cells) of delimited texts (source_file, value)."""
+
+    def run(frames):
+        import csv
+        import io
+
+        import pandas as pd
+
+        csv.field_size_limit(1 << 30)
+        for f in frames:
+            for file, value in zip(f["source_file"], f["value"]):
+                rows = csv.reader(io.StringIO(value, newline=""), delimiter=detect_delimiter(value.partition("\n")[0]))
+                names = next(rows, [])
+                part, at = [], 0
+                for row in rows:
+                    if row:
+                        at += 1
+                        part.append((file, at, names, row))
+                    if len(part) == 10_000:
+                        yield pd.DataFrame(part, columns=["source_file", "line_no", "names", "cells"])
+                        part = []
+                if part:
+                    yield pd.DataFrame(part, columns=["source_file", "line_no", "names", "cells"])
+
+    return texts.select("source_file", "value").mapInPandas(run, "source_file string, line_no int, names array<string>, cells array<string>")
+
+
+def read_archives(spark: SparkSession, glob: str | list[str]) -> DataFrame:
+    """Records of all data entries of archives, each by the reader of its format, with archive, entry and number of media in metadata.
+
+    Text entries are chat logs; JSON entries are discord or slack exports if
+    they are named so, else generic ones; NDJSON and delimited entries are
+    tables of lines. The entry's own metadata lies below ``entry``.
+    """
+    entries = archive_entries(spark, glob).withColumn("file", F.concat_ws("!", "source_file", "inner_path"))
+    name = F.lower(F.element_at(F.split("inner_path", "/"), -1))
+    kind = F.when(name.rlike(r"\.(ndjson|jsonl)$"), "ndjson").when(name.rlike(r"\.(csv|tsv)$"), "csv").when(name.rlike(r"\.json$"), F.when(name.contains("discord"), "discord").when(name.contains("slack"), "slack").when(name.contains("imessage"), "imessage").otherwise("generic")).otherwise("chat")
+    texts = entries.select(F.col("file").alias("source_file"), "value", kind.alias("kind"))
+    of = lambda k: texts.where(F.col("kind") == k).select("source_file", "value")
+    parts = [records_from_lines(_lines_of(of("chat")), "chat"), records_from_ndjson(_lines_of(of("ndjson"))), cells_to_events(_table_rows(of("csv")))]
+    parts += [records_from_json(of(k), k) for k in ("generic", "discord", "slack", "imessage")]
+    facts = entries.select(F.col("file").alias("_f"), "inner_path", F.col("source_file").alias("archive"), "media_count")
+    meta = F.to_json(F.struct(F.col("archive").alias("archiveSource"), F.col("inner_path").alias("innerPath"), F.col("media_count").alias("archiveMediaCount"), F.try_parse_json("metadata").alias("entry")))
+    found = reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
+    return found.join(facts, F.col("source_file") == F.col("_f")).select(*COLUMNS[:-1], meta.alias("metadata"))
 
 
 # The formats in the order in which their names are tried.
@@ -310,14 +477,58 @@ def route(name: Column) -> Column:
     return out
 
 
-READERS: dict = {}
+def _by_extension(json_kind: str, dialect: str):
+    """A reader of exports that come as JSON or as text."""
+
+    def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+        export = [p for p in paths if p.lower().endswith(".json")]
+        text = [p for p in paths if not p.lower().endswith(".json")]
+        parts = [read_json_export(spark, export, json_kind)] if export else []
+        parts += [read_chat_log(spark, text, dialect)] if text else []
+        return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
+
+    return read
+
+
+def _read_json(spark: SparkSession, paths: list[str]) -> DataFrame:
+    lines = [p for p in paths if re.search(r"\.(ndjson|jsonl)$", p, re.I)]
+    whole = [p for p in paths if p not in set(lines)]
+    parts = [read_ndjson(spark, lines)] if lines else []
+    parts += [read_json_export(spark, whole)] if whole else []
+    return reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
+
+
+#: The reader of each format; ``register_reader`` adds or replaces one.
+READERS: dict = {
+    "zip": read_archives,
+    "discord": _by_extension("discord", "discord"),
+    "imessage": _by_extension("imessage", "imessage"),
+    "signal": _by_extension("generic", "signal"),
+    "slack": lambda spark, paths: read_json_export(spark, paths, "slack"),
+    "csv": read_delimited,
+    "json": _read_json,
+    "chat": lambda spark, paths: read_chat_log(spark, paths, "chat"),
+    "txt": lambda spark, paths: read_chat_log(spark, paths, "text"),
+}
 
 
 def register_reader(kind: str, reader) -> None:
-    """Adds a format: ``reader(spark, path)`` gives a DataFrame of COLUMNS."""
+    """Adds a format: ``reader(spark, paths)`` gives a DataFrame of COLUMNS."""
     READERS[kind] = reader
 
 
+def read_any(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of all files below ``path``, each by the reader of its format; a format without a reader is an error."""
+    named = spark.read.format("binaryFile").load(path).select("path", route(F.element_at(F.split("path", "/"), -1)).alias("format"))
+    groups = {r["format"]: r["paths"] for r in named.groupBy("format").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()}  # names of files alone
+    missing = sorted(set(groups) - set(READERS))
+    if missing:
+        raise ValueError(f"no reader for {', '.join(missing)}: {groups[missing[0]][0]}")
+    if not groups:
+        return spark.createDataFrame([], "source_file string, line_no int, actor string, ts timestamp, raw_timestamp string, content string, event_type string, has_media boolean, metadata string")
+    return reduce(DataFrame.unionByName, [READERS[kind](spark, paths).select(*COLUMNS) for kind, paths in sorted(groups.items())])
+
+
 def catalog_files(spark: SparkSession, path: str) -> DataFrame:
     """Each file's path, bytes, time, SHA-256 and format. Empty files are rejected: Spark's readers pass over them."""
     f = spark.read.format("binaryFile").load(path)
