@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of letters and digits: any other ASCII byte separates (for ``bytes.translate``, after lower-casing).
-ALNUM_TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
 _local: dict[str, str] = {}
@@ -55,55 +53,85 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def word_bytes(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased; none for a null."""
-    return text.encode().lower().split() if text else []
+#: Bytes between words: ASCII white space, or any ASCII byte but letters and digits.
+SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+NOT_ALNUM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+_RATIO = 0x9E3779B97F4A7C15
+#: Bytes of a text that are hashed at a time.
+_STRETCH = 1 << 20
 
 
-def alnum_words(text: str | None) -> list[bytes]:
-    """Words of ASCII letters and digits and of all other characters, A-Z lower-cased."""
-    return text.encode().lower().translate(ALNUM_TABLE).split() if text else []
-
-
-class WordHash(dict):
-    """64-bit hashes by word, kept for the words seen last; two generations of ``entries``."""
-
-    def __init__(self, entries: int = 200_000):
-        from xxhash import xxh3_64_intdigest
-
-        self.digest, self.entries, self.old = xxh3_64_intdigest, entries, {}
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.old.get(word)
-        if h is None:
-            h = self.digest(word)
-        if len(word) <= 64:
-            if len(self) >= self.entries:
-                self.old = dict(self)
-                self.clear()
-            self[word] = h
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-_hashes: list[WordHash] = []
+class WordHashes:
+    """64-bit hashes of a text's words, A-Z lower-cased, by numpy over all bytes at once.
 
+    A word's hash is a polynomial in its bytes' random numbers. The sums of all
+    powers up to a byte are taken once; a word's part of them is divided by the
+    power of its first byte, so the same word has the same hash anywhere.
+    """
 
-def word_hash() -> WordHash:
-    """This process's word hashes; a worker keeps them from task to task."""
-    if not _hashes:
-        _hashes.append(WordHash())
-    return _hashes[0]
+    def __init__(self, between: np.ndarray):
+        self.between = between
+        self.value = mix(np.array([ord(chr(b).lower()) if b < 0x80 else b for b in range(256)], np.uint64), 21)
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.power):
+            n = 1 << (n - 1).bit_length()
+            for name, ratio in (("power", _RATIO), ("inverse", pow(_RATIO, -1, 1 << 64))):
+                steps = np.full(n, ratio, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+        """Hashes, first bytes and last bytes (exclusive) of the words, and the text's bytes; none for a null."""
+        raw = text.encode() if text else b""
+        every = np.frombuffer(raw, np.uint8)
+        found, at = [], 0
+        while at < len(raw):
+            end = min(len(raw), at + _STRETCH)
+            while end < len(raw) and not self.between[raw[end]]:
+                end += 1
+            found.append((at, *self._hashes(every[at:end])))
+            at = end
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), raw
+        return np.concatenate([h for _, h, _, _ in found]), np.concatenate([s + o for o, _, s, _ in found]), np.concatenate([e + o for o, _, _, e in found]), raw
+
+    def _hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~self.between[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        self._powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        terms = np.take(self.value, data, mode="clip")
+        terms *= self.power[: len(data)]
+        np.cumsum(terms, out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.places(text)[0]
+
+
+_hashers: dict[bytes, WordHashes] = {}
+
+
+def word_hashes(between: np.ndarray = SPACES) -> WordHashes:
+    """This process's word hashes; a worker keeps their tables from task to task."""
+    key = between.tobytes()
+    if key not in _hashers:
+        _hashers[key] = WordHashes(between)
+    return _hashers[key]
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """The finalizer of splitmix64 over unsigned 64-bit numbers."""
     z = h + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z ^= z >> np.uint64(shift)
+        z *= np.uint64(times)
+    z ^= z >> np.uint64(31)
+    return z
 
 
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
@@ -112,10 +140,10 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return h
     width = min(width, n)
-    out = mix(h[: n - width + 1], width)
-    for k in range(1, width):
-        out = mix(out * np.uint64(0x100000001B3) + h[k : n - width + 1 + k])
-    return out
+    out = np.full(n - width + 1, width, np.uint64)
+    for k in range(width):  # a sum of the words' hashes, each times the odd number of its place
+        out += h[k : n - width + 1 + k] * np.uint64((_RATIO * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) | 1)
+    return mix(out, width)
 
 
 # A Bloom filter of fixed size: 2**bits positions, so it may be broadcast whatever the table's size.
@@ -150,7 +178,10 @@ def in_bloom(bitmap: bytes, h: np.ndarray) -> np.ndarray:
     bits = int(len(words) * 32).bit_length() - 1
     low = np.uint64((1 << bits) - 1)
     ok = np.ones(len(h), bool)
+    left = np.arange(len(h))
     for shift in (0, *[k * bits + 1 for k in range(BLOOM_HASHES - 1)]):
-        spot = (h >> np.uint64(shift)) & low
-        ok &= (words[(spot >> np.uint64(5)).astype(np.int64)] >> (spot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+        spot = (h[left] >> np.uint64(shift)) & low
+        is_set = (words[(spot >> np.uint64(5)).astype(np.int64)] >> (spot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+        ok[left[~is_set]] = False
+        left = left[is_set]
     return ok

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, bloom_of, in_bloom, materialize, shingles, word_hash
+from .common import NOT_ALNUM, bloom_of, in_bloom, materialize, shingles, word_hashes
 
 WINDOW, WIDTH = 13, 3
 _WINDOWS = "item_id string, words binary, n int, at int, shingle long"
@@ -26,16 +26,17 @@ def item_windows(items: DataFrame, window: int = WINDOW, width: int = WIDTH, id_
     rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches):
-        hashes = word_hash()
+        hashes = word_hashes(NOT_ALNUM)
         for batch in batches:
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = alnum_words(text)
+                h, first, last, raw = hashes.places(text)
+                words = [raw[i:j].lower() for i, j in zip(first.tolist(), last.tolist())]
                 n = min(window, len(words))
                 for i in range(len(words) - n + 1 if n else 0):
-                    own = words[i : i + n]
-                    for at, h in enumerate(shingles(hashes.array(own), width).view(np.int64).tolist()):
-                        out.append((item, b" ".join(own), n, at, h))
+                    own = b" ".join(words[i : i + n])
+                    for at, s in enumerate(shingles(h[i : i + n], width).view(np.int64).tolist()):
+                        out.append((item, own, n, at, s))
             cols = list(zip(*out)) or [[]] * 5
             kinds = [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["item_id", "words", "n", "at", "shingle"])
@@ -54,11 +55,11 @@ def prefixes(docs: DataFrame, windows: DataFrame, width: int = WIDTH, text_col:
     bitmap = bloom_of(windows, "shingle")
 
     def count(batches):
-        hashes = word_hash()
+        hashes = word_hashes(NOT_ALNUM)
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
             for text in batch.column(0).to_pylist():
-                h = hashes.array(alnum_words(text))
+                h = hashes(text)
                 for k in lengths:
                     if len(h) >= k:
                         s = shingles(h, k)
@@ -87,23 +88,22 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, width:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def scan(batches):
-        hashes = word_hash()
+        hashes = word_hashes(NOT_ALNUM)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         names = [c.split()[0] for c in _FOUND.split(", ")]
         for batch in batches:
             out, held = [], 0
             for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = alnum_words(text)
-                out.append((doc_id, key, len(words), True, hash((doc_id, key)), None, None, None))
-                h = hashes.array(words)
+                h, starts, ends, raw = hashes.places(text)
+                out.append((doc_id, key, len(h), True, hash((doc_id, key)), None, None, None))
                 for k in lengths:
                     if len(h) < k:
                         continue
                     s = shingles(h, k)
                     for i in np.flatnonzero(in_bloom(bitmap, s)).tolist():
                         first = max(0, i - window + 1)
-                        around = b" ".join(words[first : i + window])
-                        out.append((doc_id, key, len(words), False, int(s[i].astype(np.int64)), i, first, around))
+                        around = b" ".join(raw[a:b].lower() for a, b in zip(starts[first : i + window].tolist(), ends[first : i + window].tolist()))
+                        out.append((doc_id, key, len(h), False, int(s[i].astype(np.int64)), i, first, around))
                         held += len(around) + 64
                 if held > 4 << 20 or len(out) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)

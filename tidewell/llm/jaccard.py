@@ -1,36 +1,43 @@
 """A Jaccard self-join of shingle sets by PartEnum signatures.
 
 Sizes are cut into bands whose ends differ by the threshold twice over, so linked
-sets lie in one band or in two that follow each other. Within a band, linked sets differ
-by k elements at most. The domain is cut into n1 parts and each of them into
-n2: some part then holds k2 = k // n1 differences at most, so the two sets are
-equal over some n2 - k2 of its n2 pieces. A signature stands for one such choice
-of pieces and the set's elements there, and linked sets share one at least. A
-set signs for its own band, and for the next if that can hold a larger partner.
-
-Equal sets are one node from the start. A signature's nodes are first compared
-with one of them, its hub. Links merge nodes into components, and only nodes that
-are still apart are compared further: in a small signature all pairs; in a large
-one first with a few other hubs, and what then is apart in blocks of nodes, by a
-matrix product in a task that returns links alone. So a group of copies costs a few
-comparisons for each node, and no link between two components is lost.
+sets lie in one band or in two that follow each other. Within a band, linked sets
+differ by k elements at most. The domain is cut into more than k parts, so two
+linked sets are equal over some part, and a signature stands for one part of the
+band and the set's elements there. Of a set's parts only the first k + 1 that have
+elements sign, with the k of its own size: the first part over which two linked
+sets are equal comes after k others at most, in both. A band has so many parts that
+linked sets can't be equal over empty parts alone; the few sets of which that
+isn't sure sign for empty parts as well. A set signs for its own band, and for the
+next if that can hold a larger partner.
+
+Equal sets are one node from the start. A node carries a sketch, the parity of its
+elements in about as many bits as it has elements: two sketches never differ in more
+bits than their sets do in elements, so pairs that are too far apart go by their
+sketches, and only the others are compared by sets. A signature's nodes are first
+compared with one of them, its hub. Links merge nodes into components, and only nodes
+that are still apart are compared further: in a small signature all pairs; in a large
+one (beyond SMALL nodes) first with other hubs, and what then is apart in blocks of
+nodes, first by sketches and then by sets, in a task that returns links alone. Both
+ways are exact, and the size of a signature alone chooses between them. So a group of
+copies costs a few comparisons for each node, and no link between two components is
+lost.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache, reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_of, in_bloom, materialize, mix, shingles, word_bytes, word_hash
+from .common import bloom_of, in_bloom, materialize, mix, shingles, word_hashes
 from .components import components
 
 WIDTH, PERCENT = 3, 90
-SIGNED = "doc_id long, text_key long, n long, node long, checked long, sigs array<long>"
+SIGNED = "doc_id long, text_key long, n long, node long, checked long, sketch binary, sigs array<long>, heads array<long>, again array<long>, again_head array<long>"
 
 
 @lru_cache(maxsize=64)
@@ -44,88 +51,157 @@ def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array(last)
 
 
+def differences(n: int, m: int, percent: int) -> int:
+    """How many elements linked sets of n and m elements may differ in."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
 @lru_cache(maxsize=4096)
-def scheme(k: int) -> tuple[int, int, np.ndarray]:
-    """n1, n2 and the choices of pieces (rows of piece numbers in a part) for k differences."""
-    if k == 0:
-        n1, n2 = 1, 1
-    elif k <= 4:
-        n1, n2 = 1, k + 2
-    else:
-        n1, n2 = (k + 2) // 2, 2
-    return n1, n2, np.array(list(combinations(range(n2), n2 - k // n1)))
+def parts(last: int, percent: int) -> np.ndarray:
+    """The first hash of each part of the domain but the first, for a band that ends at ``last``.
+
+    There are more parts than differences, by about as many as a set has empty parts.
+    """
+    k = differences(last, last, percent)
+    count = k + 1
+    for spare in range(1, k // 2 + 3):
+        count = k + 1 + spare
+        empty = count * np.exp(-last / count)
+        if spare >= empty + 3 * empty**0.5:
+            break
+    return np.array([-((-i << 64) // count) for i in range(1, count)], np.uint64)
 
 
 def distinct_shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; fewer words are one, none give none."""
-    return np.unique(shingles(word_hash().array(word_bytes(text)), width))
+    s = np.sort(shingles(word_hashes()(text), width))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
 
+def signatures(s: np.ndarray, percent: int = PERCENT, mixed: np.ndarray | None = None) -> np.ndarray:
+    """All signatures of a sorted set of hashes, for its own band and, if a larger set of it can be linked, the next.
 
-def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All signatures of a sorted set of hashes, for its own band and, if a larger set of it can be linked, the next."""
+    ``mixed`` is the set's mix(s, 7), if that is known.
+    """
     first, last = bands(percent)
-    own = int(np.searchsorted(last, len(s)))
-    out = []
-    for band in (own, own + 1) if 100 * len(s) >= percent * first[own + 1] else (own,):
-        k = int(2 * last[band] * (100 - percent) // (100 + percent))
-        n1, n2, choices = scheme(k)
-        piece = (mix(s, 2 * band + 1) % np.uint64(n1 * n2)).astype(np.int64)
-        order = np.argsort(piece, kind="stable")
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s[order], 7))])
-        ends = np.searchsorted(piece[order], np.arange(n1 * n2 + 1))
-        total = mix((sums[ends[1:]] - sums[ends[:-1]]) + np.arange(n1 * n2).astype(np.uint64), 11).reshape(n1, n2)
-        sig = np.zeros((n1, len(choices)), np.uint64)
-        for c in choices.T:
-            sig = mix(sig + total[:, c], 13)
-        out.append(mix(sig.ravel(), 1000 + band))
+    n = len(s)
+    own = int(np.searchsorted(last, n))
+    sums = None
+    out = [np.zeros(0, np.uint64)]
+    for band in (own, own + 1) if 100 * n >= percent * first[own + 1] else (own,):
+        k = differences(n, min(100 * n // percent, int(last[band])), percent)
+        if sums is None:
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(mix(s, 7) if mixed is None else mixed, out=sums[1:])
+        if k == 0:  # linked sets are equal
+            out.append(mix(sums[-1:], 1000 + band))
+            continue
+        starts = parts(int(last[band]), percent)
+        ends = np.concatenate([[0], np.searchsorted(s, starts), [n]])
+        full = np.flatnonzero(ends[1:] > ends[:-1])
+        count = len(ends) - 1
+        at = full[: k + 1]
+        if count - len(full) > count - k - 1:
+            at = np.union1d(at, np.arange(k + 1))
+        out.append(mix((sums[ends[at + 1]] - sums[ends[at]]) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1000 + band))
     return np.concatenate(out)
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """The parity of a set's elements in as many bits as the next power of two has, 64 at least."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch in ``size`` bytes: its halves are laid on each other until it fits."""
+    out = np.frombuffer(sketch, np.uint8)
+    return np.bitwise_xor.reduce(out.reshape(-1, size)) if len(out) > size else out
+
+
 def sign(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's set size, node (a hash of its set; null if empty), second hash, and, once a task, its signatures."""
+    """Each row's set size, node (a hash of its set; null if empty), second hash, and, once a task, its sketch and signatures.
+
+    Of the nodes of a batch that share a signature the first has it in ``heads``;
+    the others have it in ``again``, with that first node in ``again_head``. So a
+    signature of very many nodes is dealt out once a batch.
+    """
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            n, nodes, checks, sigs = [], [], [], []
+            n, nodes, checks, sketches, found, signers = [], [], [], [], [np.zeros(0, np.uint64)], []
             for text in batch.column(2).to_pylist():
                 s = distinct_shingles(text, width)
                 n.append(len(s))
                 if not len(s):
-                    nodes.append(None), checks.append(None), sigs.append(None)
+                    nodes.append(None), checks.append(None), sketches.append(None), signers.append(0)
                     continue
-                node, check = (int(mix(np.sum(mix(s, salt), keepdims=True) + np.uint64(len(s)), salt).view(np.int64)[0]) for salt in (3, 5))
+                mixed = mix(s, 7)
+                node, check = mix(np.array([mixed.sum(), (mixed * mixed).sum()], np.uint64) + np.uint64(len(s)), 3).view(np.int64).tolist()
                 nodes.append(node), checks.append(check)
-                sigs.append(None if node in seen else signatures(s, percent).view(np.int64))
+                if node in seen:
+                    sketches.append(None), signers.append(0)
+                    continue
                 seen.add(node)
-            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n", "node", "checked", "sigs"])
+                sketches.append(sketch_of(s))
+                found.append(signatures(s, percent, mixed))
+                signers.append(len(found[-1]))
+            flat, owner = np.concatenate(found).view(np.int64), np.repeat(np.arange(len(n)), signers)
+            _, at, inverse, times = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+            is_first = np.zeros(len(flat), bool)
+            is_first[at] = True
+            many = times[inverse] > 1
+            key = np.array([x or 0 for x in nodes], np.int64)
+
+            def lists(mask, values):
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[mask], minlength=len(n)))]).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[mask]))
+
+            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary())]
+            cols += [lists(is_first & ~many, flat), lists(is_first & many, flat), lists(~is_first, flat), lists(~is_first, key[owner[at]][inverse] if len(flat) else flat)]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SIGNED.split(", ")])
 
     text = F.col(f"`{text_col}`").cast("string")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, SIGNED)
 
 
-def shared(signed: DataFrame) -> DataFrame:
-    """Signatures of two nodes or more: sig, node, hub (the smallest of the signature's nodes).
+def shared(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signatures of two nodes or more: (sig, node) of all their nodes, and the pairs (a, b) of nodes with their hubs.
 
-    Nodes of a signature are never gathered: their least and greatest come from
-    a map-side aggregate. A Bloom filter of fixed size then leaves only shared
-    signatures (and a few more) to be joined with it.
+    Signatures are dealt out once, one row for each batch that has it; a
+    signature's hub is the smallest of these nodes, and a batch's other nodes
+    are paired with the batch's first.
     """
-    each = signed.select("node", F.explode("sigs").alias("sig"))
-    multi = materialize(each.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("sig", "hub"), "shared")
-    bitmap = bloom_of(multi, "sig", 25)
+    once = signed.where("size(sigs) > 0").select("node", F.explode("sigs").alias("sig"), F.lit(False).alias("more"))
+    heads = signed.where("size(heads) > 0").select("node", F.explode("heads").alias("sig"), F.lit(True).alias("more"))
+    of = Window.partitionBy("sig")
+    counted = once.unionByName(heads).select("sig", "node", "more", F.min("node").over(of).alias("hub"), F.max("node").over(of).alias("top"))
+    first = materialize(counted.where("more or hub < top").select("sig", "node", "hub"), "heads")
+    again = signed.where("size(again) > 0").select("node", F.explode(F.arrays_zip("again", "again_head")).alias("x")).select(F.col("x.again").alias("sig"), "node", F.col("x.again_head").alias("hub"))
+    both = first.unionByName(again)
+    pairs = both.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    return both.select("sig", "node"), pairs
+
+
+def may_link(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that their sketches and sizes don't rule out."""
+    x, y = (sketches.select(F.col("node").alias(f"_{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    met = pairs.select("a", "b").join(x, F.col("a") == F.col("_a")).select("a", "b", "na", "sa").join(y, F.col("b") == F.col("_b"))
+    near = met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb")
 
-    def left(batches):
+    def run(batches):
         for batch in batches:
-            sigs = batch.column(1)
-            flat = sigs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(sigs.offsets.to_numpy()))
-            ok = in_bloom(bitmap, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok].view(np.int64)), pa.array(nodes[ok])], names=["sig", "node"])
+            ok = np.zeros(batch.num_rows, bool)
+            allowed = batch.column(2).to_numpy() * (100 - percent)
+            for i, (one, other) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                size = min(len(one), len(other))
+                apart = int(np.bitwise_count(folded(one, size) ^ folded(other, size)).sum())
+                ok[i] = apart * (100 + percent) <= allowed[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    may = signed.where("sigs is not null").select("node", "sigs").mapInArrow(left, "sig long, node long")
-    return may.join(multi.withColumnRenamed("sig", "_s"), F.col("sig") == F.col("_s")).select("sig", "node", "hub").distinct()
+    return near.mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, signed: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -164,7 +240,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 #: More hubs of large signatures; nodes of a signature beyond which blocks are compared; nodes of a block.
-HUBS, SMALL, BLOCK = 3, 24, 512
+HUBS, SMALL, BLOCK = 2, 32, 512
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -178,50 +254,66 @@ def _open(members: DataFrame, label: DataFrame, least: int) -> DataFrame:
     at = materialize(_labelled(members, label), "labelled")
     facts = at.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
     left = facts.where((F.col("c1") < F.col("c2")) & (F.col("m") > least)).groupBy("m", "h").agg(F.min("sig").alias("_s")).select("_s", F.col("m"))
-    return materialize(at.join(left, F.col("sig") == F.col("_s")).select("sig", "node", "m", "comp"), "open")
+    return materialize(at.join(materialize(left, "open-sigs"), F.col("sig") == F.col("_s")).select("sig", "node", "m", "comp"), "open")
 
 
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """Each open signature's nodes with the one that the turn picks, where their components differ."""
     pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "comp")
     hubs = rows.groupBy("sig").agg(F.min(pick).alias("h")).select(F.col("sig").alias("_s"), F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"))
-    met = rows.join(hubs, F.col("sig") == F.col("_s")).where(F.col("comp") != F.col("hub_comp"))
+    met = rows.join(materialize(hubs, "hubs"), F.col("sig") == F.col("_s")).where(F.col("comp") != F.col("hub_comp"))
     return met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
-def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _small_pairs(rows: DataFrame) -> DataFrame:
     """All pairs of different components in a small signature."""
-    near = f"x.sig = y.sig and x.comp < y.comp and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}"
-    return rows.alias("x").join(rows.alias("y"), F.expr(near)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr("x.sig = y.sig and x.comp < y.comp"))
+    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components in large signatures: a, b.
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """The nodes (pair, node, comp) of each pair of blocks of a large signature.
 
-    Nodes that share large signatures are a family, so that each is sent once
-    for each pair of blocks, not once for each signature. Nodes of one large
-    component fill blocks of their own; a block of it isn't compared with others
-    of it. A task holds two blocks, counts common elements by a matrix product
-    and returns no more links than join its components.
+    Nodes of one large component fill blocks of their own; a block of it isn't
+    compared with others of it.
     """
-    hubs = rows.groupBy("sig").agg(F.min("node").alias("hub")).withColumnRenamed("sig", "_s")
-    star = rows.join(hubs, F.col("sig") == F.col("_s")).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    family = components(star).select(F.col("node").alias("_f"), F.col("label").alias("family"))
-    nodes = rows.select("node", "comp").distinct().join(family, F.col("node") == F.col("_f")).select("family", "node", "comp")
-    sizes = nodes.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("k"))
     bulk = F.col("k") >= BLOCK // 2
-    total = sizes.groupBy("family").agg(F.sum(F.when(~bulk, F.col("k"))).alias("loose"))
-    parts = sizes.join(total, "family").select("family", "comp", F.when(bulk, F.col("comp")).alias("own"), F.ceil(F.when(bulk, F.col("k")).otherwise(F.col("loose")) / BLOCK).alias("blocks"))
-    placed = nodes.join(parts, ["family", "comp"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
-    placed = materialize(placed.select("family", "node", "comp", "own", "block"), "placed-blocks")
-    blocks = placed.select("family", "own", "block").distinct()
+    total = sizes.groupBy("sig").agg(F.sum(F.when(~bulk, F.col("k"))).alias("loose"))
+    dealt = sizes.join(total, "sig").select(F.col("sig").alias("_s"), F.col("comp").alias("_c"), F.when(bulk, F.col("comp")).alias("own"), F.ceil(F.when(bulk, F.col("k")).otherwise(F.col("loose")) / BLOCK).alias("blocks"))
+    dealt = materialize(dealt, "blocks")
+    placed = rows.join(dealt, (F.col("sig") == F.col("_s")) & (F.col("comp") == F.col("_c"))).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
+    placed = materialize(placed.select("sig", "node", "comp", "own", "block"), "placed-blocks")
+    blocks = placed.select("sig", "own", "block").distinct()
     x, y = blocks.alias("x"), blocks.alias("y")
     key = lambda t: f"struct({t}.own, {t}.block)"
-    pairs = x.join(y, F.expr(f"x.family = y.family and {key('x')} <= {key('y')} and not coalesce(x.own = y.own, false)"))
-    pairs = pairs.selectExpr("x.family as family", "x.own as own1", "x.block as block1", "y.own as own2", "y.block as block2").withColumn("pair", F.xxhash64("family", "own1", "block1", "own2", "block2"))
-    sides = pairs.select("pair", "family", F.explode(F.array_distinct(F.array(F.struct(F.col("own1").alias("own"), F.col("block1").alias("block")), F.struct(F.col("own2").alias("own"), F.col("block2").alias("block"))))).alias("s"))
-    sides = sides.select("pair", F.col("family").alias("_f"), F.col("s.own").alias("_o"), F.col("s.block").alias("_b"))
-    sent = placed.join(sides, (F.col("family") == F.col("_f")) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("block") == F.col("_b"))).select("pair", "node", "comp")
+    pairs = x.join(y, F.expr(f"x.sig = y.sig and {key('x')} <= {key('y')} and not coalesce(x.own = y.own, false)"))
+    pairs = pairs.selectExpr("x.sig as _s", "x.own as own1", "x.block as block1", "y.own as own2", "y.block as block2").withColumn("pair", F.xxhash64("_s", "own1", "block1", "own2", "block2"))
+    sides = pairs.selectExpr("pair", "_s", "explode(array_distinct(array(struct(own1 as own, block1 as block), struct(own2 as own, block2 as block)))) as s")
+    sides = materialize(sides.select("pair", "_s", F.col("s.own").alias("_o"), F.col("s.block").alias("_b")), "sides")
+    return placed.join(sides, (F.col("sig") == F.col("_s")) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("block") == F.col("_b"))).select("pair", "node", "comp")
+
+
+def _maybe_linked(sent: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The nodes (pair, node, comp) of block pairs that have a partner of another component there, by sketches."""
+    full = sent.join(sketches.select(F.col("node").alias("_n"), "n", "sketch"), F.col("node") == F.col("_n")).select("pair", "node", "comp", "n", "sketch")
+
+    def screen(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
+        sketches = table.column("sketch").to_pylist()
+        size = min(map(len, sketches))
+        # Equal bits less unequal ones, for all pairs at once: a product of signs.
+        signs = np.unpackbits(np.array([folded(x, size) for x in sketches]), axis=1).astype(np.float32) * 2 - 1
+        apart = (8 * size - signs @ signs.T) / 2
+        near = (apart * (100 + percent) <= (n[:, None] + n[None, :]) * (100 - percent)) & (comp[:, None] != comp[None, :])
+        return table.select(["pair", "node", "comp"]).filter(pa.array(near.any(axis=1)))
+
+    return full.groupBy("pair").applyInArrow(screen, "pair long, node long, comp long")
+
+
+def _block_links(sent: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components in pairs of blocks, by a matrix product; no more than join a task's components."""
     full = sent.join(sets.select(F.col("node").alias("_n"), "set"), F.col("node") == F.col("_n")).select("pair", "node", "comp", "set")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -274,25 +366,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     in links, but isn't the smallest unless a component has no other.
     """
     signed = materialize(sign(docs, width, percent, id_col, text_col), "signed")
-    members = materialize(shared(signed), "members")
-    stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-    sets = sets_of(docs, signed, stars, width, id_col, text_col)
-    links = [materialize(verified(stars, sets, percent), "links")]
+    sketches = materialize(signed.where("sketch is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
+    members, stars = shared(signed)
+    near = lambda pairs, label: materialize(may_link(materialize(pairs, f"{label}-pairs"), sketches, percent), f"{label}-near")
+    exact = lambda pairs, label: materialize(verified(pairs, sets_of(docs, signed, pairs, width, id_col, text_col), percent), f"{label}-links")
+
+    links = [exact(near(stars, "star"), "star")]
     label = components(links[0])
-    open_ = _open(members.select("sig", "node"), label, 2)
+    open_ = _open(members, label, 2)
     large = open_.where(F.col("m") > SMALL)
-    sized = sets.select(F.col("node").alias("_n"), F.size("set").alias("n"))
-    small = open_.where(F.col("m") <= SMALL).join(sized, F.col("node") == F.col("_n")).select("sig", "node", "comp", "n")
-    pairs = reduce(DataFrame.unionByName, [_small_pairs(small, percent), *[_hub_pairs(large, turn) for turn in range(HUBS)]]).distinct()
-    seen = stars.select(F.greatest("a", "b").alias("_a"), F.least("a", "b").alias("_b"))
-    pairs = materialize(pairs.join(seen, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "pairs")
-    links.append(materialize(verified(pairs, sets, percent), "pair-links"))
-    if not links[-1].isEmpty():
+    pairs = near(reduce(DataFrame.unionByName, [_small_pairs(open_.where(F.col("m") <= SMALL)), *[_hub_pairs(large, turn) for turn in range(HUBS)]]).distinct(), "open")
+    if not pairs.isEmpty():
+        links.append(exact(pairs, "open"))
         label = components(reduce(DataFrame.unionByName, links))
     if not large.isEmpty():
-        large = _open(large.select("sig", "node"), label, SMALL)
-        links.append(materialize(_block_links(large, sets, percent), "block-links"))
-        if not links[-1].isEmpty():
+        sent = materialize(_maybe_linked(_block_pairs(_open(large.select("sig", "node"), label, SMALL)), sketches, percent), "screened")
+        if not sent.isEmpty():
+            links.append(materialize(_block_links(sent, sets_of(docs, signed, sent.selectExpr("node as a", "node as b"), width, id_col, text_col), percent), "block-links"))
             label = components(reduce(DataFrame.unionByName, links))
     return _result(signed, label)
 
@@ -319,13 +409,13 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col
     Rows without words stay. Rows that are equal in identifier and text are one.
     """
     found = materialize(near_duplicates(docs, width, percent, id_col, text_col), "found")
-    best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
-    kept = best.select("k.doc_id", "k.text_key").unionByName(found.where("component is null").select("doc_id", "text_key").distinct())
-    kept = materialize(kept, "kept")
-    many = found.groupBy("doc_id", "text_key").count().where("count > 1")
-    same = lambda k: docs[id_col].cast("long").eqNullSafe(k["doc_id"]) & (F.xxhash64(docs[text_col].cast("string")) == k["text_key"])
-    cond = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
-    once = kept.join(many, cond(kept, many), "left_anti")
-    twice = kept.join(many, cond(kept, many), "left_semi")
-    repeated = docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col])
-    return docs.join(once, same(once), "left_semi").unionByName(repeated)
+    best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")).select(F.col("component").alias("_c"), "k")
+    kept = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("text_key").eqNullSafe(F.col("k.text_key"))
+    row = ["doc_id", "text_key"]
+    dropped = found.where("component is not null").join(best, F.col("component") == F.col("_c")).where(~kept).select(*row).distinct()
+    # Copies and repeated rows are few beside all rows, and their sizes are known before texts are joined.
+    dropped = materialize(dropped, "dropped")
+    many = materialize(found.groupBy(*row).count().where("count > 1").select(*row), "repeated")
+    same = lambda k: docs[id_col].cast("long").eqNullSafe(k["doc_id"]) & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(k["text_key"])
+    left = docs.join(dropped, same(dropped), "left_anti")
+    return left.join(many, same(many), "left_anti").unionByName(left.join(many, same(many), "left_semi").dropDuplicates([id_col, text_col]))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, mix, word_bytes, word_hash
+from .common import bucketed, materialize, mix, word_hashes
 
 BLOCK_TOKENS = 1 << 20
 #: Bits of a bigram's hash: fewer make the questions shorter. Of n bigrams, each meets another with a chance of n / 2**56.
@@ -65,7 +65,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), fold.cast("int").alias("fold"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def cut(batches):
-        part, seq, hashes = TaskContext.get().partitionId(), 0, word_hash()
+        part, seq, hashes = TaskContext.get().partitionId(), 0, word_hashes()
         ids, folds, held, n = [], [], [], 0
 
         def block():
@@ -80,7 +80,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         for batch in batches:
             for doc_id, f, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                h = hashes.array(word_bytes(text))
+                h = hashes(text)
                 ids.append(doc_id)
                 folds.append(f)
                 held.append(np.concatenate([[BEGIN], h, [END]]).astype(np.uint64))
