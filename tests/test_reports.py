@@ -1,11 +1,12 @@
 """Reports on literal events, and invariants over the event table of the queries."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import relations, search, topics, volume, words
+from tidewell.operators import documents, relations, search, sequence, topics, volume, words
 from tidewell.sources import sinks
 
 T0 = dt.datetime(2024, 1, 10, 12)
@@ -218,3 +219,33 @@ def test_bursts_and_numbers_are_not_one_task(spark):
     for f in ("t", None):
         assert [(x.content, x.sequence_num) for x in sorted((x for x in out.collect() if x.source_file == f), key=lambda x: x.sequence_num)] == [("first", 1), ("x", 2), ("z", 3), ("y", 4), ("last", 5)]
     assert "_range" in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_similarity_at_shares_that_floats_round(spark):
+    docs = spark.createDataFrame([(0, " ".join(f"a{i:03d}" for i in range(100))), (1, " ".join(f"a{i:03d}" for i in range(93, 100)))], "doc_id long, text string")
+    for least, found in ((6, 1), (7, 1), (8, 0)):
+        assert documents.document_similarity(docs, min_percent=least).count() == found
+
+
+def test_similarity_equals_all_pairs(spark):
+    r = random.Random(12)
+    texts = [" ".join(sorted({f"w{r.randrange(30)}x" for _ in range(r.randrange(1, 14))})) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(t.split()) for t in texts]
+    for least in (1, 14, 28, 55, 56, 90):
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) and sets[i] & sets[j]}
+        assert {(x.a, x.b) for x in documents.document_similarity(docs, min_percent=least).collect()} == want
+
+
+def test_embeddings_of_a_batch_equal_those_of_single_texts():
+    texts = ["Database connection error", "", None, "a bb ccc dddd dddd dddd", "naïve façade 漢字 𝒳𝒴𝒵𝒳𝒴 ok", "x" * 400]
+    for _ in range(2):  # the second time from kept places
+        for got, text in zip(search.embeddings(texts), texts):
+            assert max(abs(a - b) for a, b in zip(got, search.embedding(text))) < 1e-12
+
+
+def test_trailing_count_over_days(spark):
+    base = dt.datetime(2024, 1, 1, 12)
+    ev = spark.createDataFrame([(i, "d", base + dt.timedelta(hours=20 * i)) for i in range(8)], "id long, dataset_id string, ts timestamp")
+    got = {x.id: x.recent for x in sequence.trailing_count(ev, 3 * 86_400).collect()}
+    assert got == {i: sum(0 <= (i - j) * 20 <= 72 for j in range(i + 1)) for i in range(8)}

@@ -37,9 +37,14 @@ EMOJI_RANGES = (
 )
 EMOJI = "[" + "".join("-".join(f"\\x{{{x}}}" for x in r.split("-")) for r in EMOJI_RANGES.split()) + "]"
 
+#: Code points outside of the ranges' ends, in a few ranges.
+NO_EMOJI = r"[^\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F000}-\x{1FFFD}]+"
+
 # Patterns that Java and RE2 read alike.
 URL = r"(?i)\bhttps?://[^\s<>\"{}|\\^`\[\]]+|\bwww\.[^\s<>\"{}|\\^`\[\]]+"
 LOOSE_URL = r"(?i)https?://[^\s$.?#].[^\s]*"
 MENTION = r"(?:^|\s)@([a-zA-Z0-9_]+)"
 WORD = r"[\p{L}\p{N}]{3,}"
+#: Before WORD: no word of digits alone (Java only).
+NOT_A_NUMBER = r"(?!\d+(?![\p{L}\p{N}]))"
 DATE = r"(?i)\b(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4})\b"

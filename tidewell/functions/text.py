@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..constants import DATE, EMOJI, LOOSE_URL, MENTION, URL, WORD
+from ..constants import DATE, EMOJI, LOOSE_URL, MENTION, NO_EMOJI, NOT_A_NUMBER, URL, WORD
 
 
 def utf16_len(c: Column) -> Column:
@@ -23,8 +23,12 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def emoji_matches(c: Column) -> Column:
-    """One match for each emoji code point."""
-    return found(c, EMOJI)
+    """One match for each emoji code point.
+
+    Stretches without any code point near an emoji go first, by a class of a few
+    ranges, so that the class of all emojis is only tried on what is left.
+    """
+    return found(F.regexp_replace(c, NO_EMOJI, ""), EMOJI)
 
 
 def url_matches(c: Column, loose: bool = False) -> Column:
@@ -41,17 +45,17 @@ def date_matches(c: Column) -> Column:
 
 def word_matches(c: Column) -> Column:
     """Lower-case runs of three letters or digits and more that aren't digits alone."""
-    return F.filter(found(F.lower(c), WORD), lambda w: ~w.rlike(r"^\d+$"))
+    return found(F.lower(c), NOT_A_NUMBER + WORD)
 
 
 def word_count(c: Column) -> Column:
-    spaced = F.regexp_replace(c, r"[^\p{L}\p{N}\s]", " ")
-    return F.size(F.filter(F.split(spaced, r"\s+"), lambda w: w != ""))
+    spaced = F.regexp_replace(c, r"[^\p{L}\p{N}\s]+", " ")
+    return F.size(F.array_remove(F.split(spaced, r"\s+"), ""))
 
 
 def remove_stop_words(tokens: Column, words: Iterable[str]) -> Column:
-    stop = F.array(*[F.lit(w) for w in words])
-    return F.filter(tokens, lambda w: ~F.array_contains(stop, w))
+    stop = list(words)  # a long list is a hash set
+    return F.filter(tokens, lambda w: ~w.isin(stop))
 
 
 def is_pure_emoji(c: Column) -> Column:

@@ -52,15 +52,17 @@ def document_similarity(docs: DataFrame, id_col: str = "doc_id", min_percent: in
     w = Window.partitionBy("id")
     ranked = toks.withColumns({"n": F.count(F.lit(1)).over(w), "rank": F.row_number().over(w.orderBy("df", "token"))})
     sets = ranked.groupBy("id").agg(F.collect_list("token").alias("set"))
-    t = min_percent / 100
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * t) + 1).select("id", "token", "n")
+    # Whole numbers throughout: a share of n * 0.07 rounds above 7 for n = 100.
+    prefix = ranked.where(F.expr(f"rank <= n - (n * {min_percent} + 99) div 100 + 1")).select("id", "token", "n", "rank")
     a, b = prefix.alias("x"), prefix.alias("y")
-    near = f"x.token = y.token and x.id < y.id and least(x.n, y.n) >= {t} * greatest(x.n, y.n)"
+    # By length, and by position: of the tokens from this one on enough must be common.
+    near = f"""x.token = y.token and x.id < y.id and least(x.n, y.n) * 100 >= {min_percent} * greatest(x.n, y.n)
+      and (least(x.n - x.rank, y.n - y.rank) + least(x.rank, y.rank)) * {100 + min_percent} >= {min_percent} * (x.n + y.n)"""
     pairs = a.join(b, F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    share = 100.0 * both / (F.size("sa") + F.size("sb") - both)
-    return met.select("a", "b", share.alias("s")).where(F.col("s") >= min_percent).select("a", "b", F.round("s").cast("long").alias("percent"))
+    union = F.size("sa") + F.size("sb") - both
+    return met.select("a", "b", (100.0 * both / union).alias("s"), both.alias("k"), union.alias("u")).where(F.col("k") * 100 >= F.col("u") * min_percent).select("a", "b", F.round("s").cast("long").alias("percent"))
 
 
 def most_similar(pairs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -41,10 +42,79 @@ def embedding(text: str | None) -> list[float]:
     return (v / norm if norm else v).tolist()
 
 
+def _hashes(units: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+    """Signed 32-bit FNV-1a hashes of the rows of a table of UTF-16 units."""
+    h = np.full(len(units), 0x811C9DC5 ^ seed, np.uint32)
+    for j in range(units.shape[1]):
+        h = np.where(j < length, (h ^ units[:, j]) * np.uint32(0x01000193), h)
+    return h.view(np.int32).astype(np.int64)
+
+
+class _Places:
+    """Where each token adds what to a vector: places and weights in flat arrays, by the token's number."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.place, self.weight, self.start = np.zeros(0, np.int16), np.zeros(0), np.zeros(1, np.int64)
+
+    def add(self, tokens: list[str]) -> None:
+        """Numbers new tokens; their hashes are taken for all of a length at once."""
+        by_length: dict[int, list[str]] = {}
+        for t in tokens:
+            by_length.setdefault(len(t), []).append(t)
+        places, weights, sizes = [self.place], [self.weight], [np.diff(self.start)]
+        whole = 1 + math.log(2)
+        for n, group in by_length.items():
+            for t in group:
+                self.number[t] = len(self.number)
+            points = np.frombuffer("".join(group).encode("utf-32-le"), "<u4").reshape(-1, n)
+            h, w = [], []
+            if points.max() > 0xFFFF:  # some characters take two units
+                for t in group:
+                    parts = [(t, 0, whole), (t, 1, 0.7 * whole)] + [(t[j : j + 3], 2, 0.35) for j in range(n - 2) if n >= 4]
+                    h.append([fnv1a(part, seed) for part, seed, _ in parts])
+                    w.append([x for _, _, x in parts])
+                h, w = np.array(h, np.int64), np.array(w)
+            else:
+                full = np.full(len(group), n)
+                h = [_hashes(points, full, 0), _hashes(points, full, 1)] + [_hashes(points[:, j : j + 3], np.full(len(group), 3), 2) for j in range(n - 2) if n >= 4]
+                h = np.stack(h, axis=1)
+                w = np.broadcast_to(np.array([whole, 0.7 * whole] + [0.35] * (h.shape[1] - 2)), h.shape)
+            places.append((np.abs(h) % DIMENSIONS).astype(np.int16).ravel())
+            weights.append(np.where(h >= 0, w, -w).ravel())
+            sizes.append(np.full(len(group), h.shape[1]))
+        self.place, self.weight = np.concatenate(places), np.concatenate(weights)
+        self.start = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+#: Distinct tokens that a process keeps places for.
+KEPT_TOKENS = 200_000
+_places: list[_Places] = []
+
+
+def embeddings(texts: Iterable[str | None]) -> np.ndarray:
+    """The vectors of texts, as ``embedding`` gives them: each distinct token is hashed once, and sums are taken by numpy."""
+    if not _places or len(_places[0].number) > KEPT_TOKENS:
+        _places[:] = [_Places()]
+    kept, counts = _places[0], [Counter(_TOKEN.findall((t or "").lower().strip())) for t in texts]
+    kept.add([t for t in dict.fromkeys(t for c in counts for t in c) if t not in kept.number])
+    out = np.zeros((len(counts), DIMENSIONS))
+    for row, c in zip(out, counts):
+        if c:
+            at = np.fromiter((kept.number[t] for t in c), np.int64, len(c))
+            n = kept.start[at + 1] - kept.start[at]
+            spots = np.repeat(kept.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            times = np.repeat(np.fromiter(c.values(), np.float64, len(c)), n)
+            row += np.bincount(kept.place[spots], weights=kept.weight[spots] * times, minlength=DIMENSIONS)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def embed(text: pd.Series) -> pd.Series:
     """The vectors of a column of texts."""
-    return text.map(embedding)
+    made = (embeddings(text[lo : lo + 500]).astype(np.float32) for lo in range(0, len(text), 500))
+    return pd.Series([v for part in made for v in part])
 
 
 def cosine01(a: Column, b: Column) -> Column:

@@ -52,13 +52,12 @@ def with_number(ev: DataFrame, key: str = "dataset_id", ts: str = "ts", id_: str
 
 
 def trailing_count(ev: DataFrame, secs: int, key: str = "dataset_id", ts: str = "ts") -> DataFrame:
-    """Adds recent, the events of the last ``secs`` seconds, its own time included; a day also sees the end of the day before."""
+    """Adds recent, the events of the last ``secs`` seconds, its own time included; an event is also seen by each later day that it reaches."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     day_us = 86_400_000_000
     own = F.floor(us / day_us)
-    echo = F.when((us % day_us) >= day_us - secs * 1_000_000, F.array(F.struct(own.alias("d"), F.lit(True).alias("own")), F.struct((own + 1).alias("d"), F.lit(False).alias("own")))).otherwise(
-        F.array(F.struct(own.alias("d"), F.lit(True).alias("own")))
-    )
+    reach = F.floor((us + secs * 1_000_000) / day_us)
+    echo = F.transform(F.sequence(own, reach), lambda d: F.struct(d.alias("d"), (d == own).alias("own")))
     spread = ev.withColumn("_us", us).withColumn("_at", F.explode(echo))
     w = Window.partitionBy(key, "_at.d").orderBy("_us").rangeBetween(-secs * 1_000_000, 0)
     return spread.withColumn("recent", F.count(F.lit(1)).over(w)).where("_at.own").select(*ev.columns, "recent")

@@ -69,7 +69,7 @@ def top_words(ev: DataFrame, k: int = 100, stop_words: Iterable[str] = TEXT_STOP
 def top_phrases(ev: DataFrame, k: int = 50, min_count: int = 2, stop_words: Iterable[str] = TEXT_STOP_WORDS) -> DataFrame:
     """Pairs of words that follow each other once stop words are gone."""
     kept = ev.select("dataset_id", _surviving(F.col("content"), stop_words).alias("w")).where(F.size("w") > 1)
-    pair = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    pair = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     counts = kept.select("dataset_id", F.explode(pair).alias("phrase")).groupBy("dataset_id", "phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     return top_k_per(counts, ["dataset_id"], k, [F.desc("n"), F.asc("phrase")])
 
@@ -97,7 +97,7 @@ def top_mentions(ev: DataFrame, k: int = 20) -> DataFrame:
 
 def frequencies(ev: DataFrame, words: int = 100, emoji: int = 50, stop_words: Iterable[str] = FREQUENCY_STOP_WORDS) -> DataFrame:
     """Words (split at white space once other signs are gone) and emojis: kind, value, n, total, rank; totals count what the filters leave."""
-    low = F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}\s]", " ")
+    low = F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}\s]+", " ")
     w = ev.select("dataset_id", F.lit("word").alias("kind"), F.explode(F.split(low, r"\s+")).alias("value")).where((F.length("value") >= 3) & ~F.col("value").isin(list(stop_words)) & ~F.col("value").rlike(r"^\d+$"))
     e = emojis(ev).select("dataset_id", F.lit("emoji").alias("kind"), F.col("emoji").alias("value"))
     counts = w.unionByName(e).groupBy("dataset_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
