@@ -188,7 +188,30 @@ c1 AS (SELECT dataset_id, topic, count(*) AS messages, array_to_string(list(id O
 SELECT dataset_id, topic, messages, round(100.0 * messages / sum(messages) OVER (PARTITION BY dataset_id), 1) AS percentage, CASE topic WHEN 'general' THEN 'chat' ELSE coalesce(keywords, '') END AS keywords, coalesce(top_actors, '') AS top_actors, sample_ids
 FROM c1 LEFT JOIN w3 USING (dataset_id, topic) LEFT JOIN a3 USING (dataset_id, topic)"""
 add("topic_report", lambda ev: text_list(topics.topic_report(topics.assign_topics(ev)), "keywords", "top_actors", "sample_ids"), _TOPIC + _TERM)
-add("insights", lambda ev: topics.insights(ev).withColumn("support", F.to_json("support")))
+# Each rule's rows: its number, category, title, confidence, importance, text, support's keys and values, and where they come from.
+_RULES = [
+    (1, "participant", "Primary Contributor", 1.0, "high", "actor || ' sent ' || p || '% of all messages (' || format('{:,}', n) || ' messages).'", {"actor": "actor", "count": "n", "percentage": "p"}, "bp WHERE k = 1 AND p >= 30"),
+    (2, "timing", "Peak Weekly Activity", 0.95, "medium", "'You were most active on ' || day_name || ', accounting for ' || p || '% of all messages.'", {"day": "day_name", "count": "dow_messages", "percentage": "p"}, "pw"),
+    (3, "timing", "Night Owl Tendency", 0.9, "medium", "'Night owl habits detected: ' || pct || '% of conversation activity occurred between 10 PM and 5 AM.'", {"count": "late", "percentage": "pct"}, "lt WHERE pct >= 25"),
+    (3, "timing", "Peak Daily Hour", 0.9, "low", "'Activity peaks at ' || format('{:02d}:00 - {:02d}:00', peak_hour, (peak_hour + 1) % 24) || ' with ' || format('{:,}', hour_messages) || ' messages sent.'", {"hour": "peak_hour", "count": "hour_messages"}, "ph JOIN lt USING (dataset_id) WHERE pct < 25"),
+    (4, "emoji", "Favorite Emoji", 1.0, "medium", "emoji || ' was the most frequently used emoji, appearing ' || format('{:,}', n) || ' times (' || p || '% of all emojis).'", {"emoji": "emoji", "count": "n", "percentage": "p"}, "te"),
+    (5, "streak", "Longest Active Streak", 1.0, "high", "'Your longest conversation streak was ' || days || ' consecutive days (from ' || a || ' to ' || z || ').'", {"days": "days", "start": "a", "end": "z"}, "sk WHERE days > 1"),
+    (6, "activity", "Busiest Day Record", 1.0, "medium", "'The highest message volume in a single day was ' || format('{:,}', date_messages) || ' messages on ' || peak_date || '.'", {"date": "peak_date", "count": "date_messages", "average": "avg_day"}, "pd"),
+    (7, "participant", "Fastest Responder", 0.85, "low", "actor || ' was the quickest to respond, with a median response time of ' || CASE WHEN median_secs < 60 THEN median_secs || ' seconds' ELSE CAST(round(median_secs / 60) AS BIGINT) || ' minutes' END || '.'", {"actor": "actor", "median": "median_secs", "samples": "samples"}, "fr"),
+]
+_INSIGHTS = ISLANDS + HOURS + DOWS + EMOJIS + RESPONSES + f""", bp AS (SELECT dataset_id, who AS actor, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY dataset_id), 1) AS p, row_number() OVER (PARTITION BY dataset_id ORDER BY count(*) DESC, who) AS k FROM m GROUP BY dataset_id, who),
+pw AS (SELECT dataset_id, {DAY_NAME}[dow + 1] AS day_name, messages AS dow_messages, round(100.0 * messages / sum(messages) OVER (PARTITION BY dataset_id), 1) AS p FROM w QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY messages DESC, dow) = 1),
+lt AS (SELECT dataset_id, CAST(sum(messages) FILTER (hour IN (22, 23, 0, 1, 2, 3, 4)) AS BIGINT) AS late, round(100.0 * sum(messages) FILTER (hour IN (22, 23, 0, 1, 2, 3, 4)) / sum(messages), 1) AS pct FROM h GROUP BY dataset_id),
+ph AS (SELECT dataset_id, hour AS peak_hour, messages AS hour_messages FROM h QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY messages DESC, hour) = 1),
+te AS (SELECT dataset_id, emoji, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY dataset_id), 1) AS p FROM e GROUP BY dataset_id, emoji QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY count(*) DESC, emoji) = 1),
+is1 AS (SELECT dataset_id, date, date - CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY date) AS INTEGER) AS k FROM d), sk AS (SELECT dataset_id, count(*) AS days, CAST(min(date) AS VARCHAR) AS a, CAST(max(date) AS VARCHAR) AS z FROM is1 GROUP BY dataset_id, k QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY count(*) DESC, min(date)) = 1),
+pd AS (SELECT dataset_id, CAST(date AS VARCHAR) AS peak_date, messages AS date_messages, CAST(round(sum(messages) OVER (PARTITION BY dataset_id) / count(*) OVER (PARTITION BY dataset_id)) AS BIGINT) AS avg_day FROM d QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY messages DESC, date) = 1),
+fr AS (SELECT * FROM t WHERE samples >= 5 QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY median_secs, actor) = 1),
+ins AS (""" + " UNION ALL ".join(
+    f"SELECT dataset_id, {rule} AS rule, '{category}' AS category, '{title}' AS title, {summary} AS summary, CAST({confidence} AS DOUBLE) AS confidence, '{importance}' AS importance, '{{' || " + " || ',' || ".join(f"'\"{k}\":\"' || {v} || '\"'" for k, v in support.items()) + f" || '}}' AS support FROM {source}"
+    for rule, category, title, confidence, importance, summary, support, source in _RULES
+) + ") "
+add("insights", lambda ev: topics.insights(ev).withColumn("support", F.to_json("support")), _INSIGHTS + "SELECT * FROM ins")
 _SIDE = lambda d, t: f"SELECT * FROM {t} WHERE dataset_id = '{d}'"
 A, B = "ds_0", "ds_1"
 two = lambda f: lambda ev: f(topics.side(ev, A), topics.side(ev, B))
@@ -230,12 +253,16 @@ _METRIC = EMOJIS + ISLANDS + """i AS (SELECT dataset_id, date - CAST(row_number(
 t AS (SELECT dataset_id, 'total_messages' AS name, 'volume' AS category, count(*)::DOUBLE AS value FROM m GROUP BY ALL UNION ALL SELECT dataset_id, 'total_words', 'volume', sum(words)::DOUBLE FROM m GROUP BY dataset_id
   UNION ALL SELECT dataset_id, 'total_emojis', 'volume', count(*)::DOUBLE FROM e GROUP BY dataset_id UNION ALL SELECT dataset_id, 'longest_streak_days', 'activity', max(n)::DOUBLE FROM g GROUP BY dataset_id UNION ALL SELECT dataset_id, 'active_days', 'activity', count(*)::DOUBLE FROM d GROUP BY dataset_id) """
 add("metrics_table", sinks.metrics_table, _METRIC + "SELECT * FROM t")
-add("highlights_table", lambda ev: sinks.highlights_table(topics.insights(ev)))
+add("highlights_table", lambda ev: sinks.highlights_table(topics.insights(ev)), _INSIGHTS + "SELECT dataset_id, title, summary AS description, CAST(CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS DOUBLE) AS score, support AS metadata FROM ins")
 add("list_datasets", lambda ev: sinks.list_datasets(volume.dataset_rollup(ev), sinks.metrics_table(ev)).select("dataset_id", "events", "last_ts", F.col("metrics")["total_words"].alias("total_words")), END + "SELECT dataset_id, count(*) AS events, max(ts) AS last_ts, sum(words)::DOUBLE AS total_words FROM m GROUP BY dataset_id")
 _ROW = "sha256(id || '|' || (epoch_us(ts) // 1000) || '|' || content)"
 _DIGEST = f"dg AS (SELECT dataset_id, CAST(ts AS DATE) AS day, sha256(string_agg({_ROW}, '' ORDER BY ts, id)) AS h FROM ev GROUP BY ALL), dz AS (SELECT dataset_id, sha256(string_agg(h, '' ORDER BY day)) AS sha256 FROM dg GROUP BY dataset_id) "
 add("content_digest", sinks.content_digest, _DIGEST + "SELECT * FROM dz")
-add("integrity_manifest", lambda ev: sinks.integrity_manifest(ev, ev.withColumn("position", F.col("id"))).drop("regressions", "diagnostics", "status"), _DIGEST + "SELECT dataset_id, count(*) AS expected, count(*) AS actual, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS duplicates, true AS ends_match, any_value(sha256) AS sha256 FROM ev JOIN dz USING (dataset_id) GROUP BY dataset_id")
+_MANIFEST = _DIGEST + """, lg AS (SELECT dataset_id, ts < lag(ts) OVER (PARTITION BY dataset_id ORDER BY {position}) AS back FROM ev), rg AS (SELECT dataset_id, count(*) FILTER (back) AS regressions FROM lg GROUP BY dataset_id)
+SELECT dataset_id, count(*) AS expected, count(*) AS actual, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS duplicates, any_value(regressions) AS regressions, true AS ends_match, any_value(sha256) AS sha256,
+  CASE WHEN any_value(regressions) > 0 THEN 'regressions ' || any_value(regressions) ELSE '' END AS diagnostics, CASE WHEN any_value(regressions) > 0 THEN 'FAILED' ELSE 'VERIFIED' END AS status FROM ev JOIN dz USING (dataset_id) JOIN rg USING (dataset_id) GROUP BY dataset_id"""
+add("integrity_manifest", lambda ev: sinks.integrity_manifest(ev, ev.withColumn("position", F.col("id"))), _MANIFEST.format(position="id"))
+add("integrity_manifest_reversed", lambda ev: sinks.integrity_manifest(ev, ev.withColumn("position", -F.col("id"))), _MANIFEST.format(position="-id"))
 _LINE = "'**' || coalesce(actor, 'System') || '** ' || strftime(ts, '%H:%M') || chr(10) || '> ' || replace(content, chr(10), chr(10) || '> ')"
 add("month_pages", lambda ev: sinks.month_pages(ev).select("dataset_id", "month", "messages", F.sha2("text", 256).alias("sha")), f"""pg AS (SELECT dataset_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y-%m-%d') AS day, '## ' || strftime(ts, '%Y-%m-%d') || chr(10) || chr(10) || string_agg({_LINE}, chr(10) || chr(10) ORDER BY ts, id) AS text, count(*) AS n, min(ts) AS a, max(ts) AS z FROM ev GROUP BY dataset_id, strftime(ts, '%Y-%m'), strftime(ts, '%Y-%m-%d'))
 SELECT dataset_id, month, CAST(sum(n) AS BIGINT) AS messages, sha256('---' || chr(10) || 'month: ' || month || chr(10) || 'messages: ' || sum(n) || chr(10) || 'first: ' || strftime(min(a), '%Y-%m-%d %H:%M:%S') || chr(10) || 'last: ' || strftime(max(z), '%Y-%m-%d %H:%M:%S') || chr(10) || '---' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY day)) AS sha FROM pg GROUP BY dataset_id, month""")

@@ -40,8 +40,14 @@ _PAIR = f"""WITH {_TOK}, n AS (SELECT doc_id, count(*) AS n FROM un GROUP BY doc
 j AS (SELECT a, b, 100.0 * k / (x.n + y.n - k) AS s FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b) """
 add("document_similarity", on("documents", lambda t: d.document_similarity(t, min_percent=50)), _PAIR + "SELECT a, b, CAST(round(s) AS BIGINT) AS percent FROM j WHERE s >= 50")
 add("most_similar", on("documents", lambda t: d.most_similar(d.document_similarity(t, min_percent=50))), _PAIR + "SELECT a, b, CAST(round(s) AS BIGINT) AS percent FROM j WHERE s >= 50 ORDER BY percent DESC, a, b LIMIT 1")
-add("paragraph_events", on("documents", lambda t: d.documents_to_events(t).withColumn("ts", F.col("ts").cast("string"))))
-add("profile_orders", on("orders", lambda t: d.profile_columns(t, None).select("column", "filled", "kind")))
+add("paragraph_events", on("documents", lambda t: d.documents_to_events(t).select("id", "dataset_id", "actor", F.col("ts").cast("string").alias("ts"), "event_type", F.md5("content").alias("content"))), f"""WITH s AS (SELECT doc_id, source, text, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p)), lambda p: length(p) > 20) AS p FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, source, CASE WHEN len(p) > 0 THEN p WHEN text = '' THEN ['Empty document section'] ELSE [substr(text, 1, 1000)] END AS p FROM s), r AS (SELECT doc_id, source, unnest(range(len(p))) AS pos, unnest(p) AS content FROM l),
+t AS (SELECT *, coalesce(try_cast(nullif(regexp_extract(content, '{DATE}'), '') AS TIMESTAMP), TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 DAY + pos * INTERVAL 10 MINUTE) AS ts FROM r)
+SELECT sha256('documents|' || doc_id || '|' || pos) AS id, 'documents' AS dataset_id, source AS actor, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'message' AS event_type, md5(content) AS content FROM t""")
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+add("profile_orders", on("orders", lambda t: d.profile_columns(t.select(*_ORDERS), None).select("column", "filled", "kind")), "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", nullif(trim(CAST({c} AS VARCHAR)), '') AS v FROM orders" for c in _ORDERS) + """),
+k AS (SELECT "column", count(v) AS filled, count(try_cast(v AS DOUBLE)) AS numbers, count(CASE WHEN regexp_matches(v, '[-/]') THEN try_cast(v AS TIMESTAMP) END) AS dates FROM c GROUP BY "column")
+SELECT "column", filled, CASE WHEN dates > 0 THEN 'date' WHEN filled > 0 AND numbers = filled THEN 'number' ELSE 'text' END AS kind FROM k""")
 add("column_stats", on("lineitem", lambda t: d.column_stats(t, ["l_quantity", "l_extendedprice", "l_discount"])), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(sum({c}::DOUBLE) / count(*), 2) AS average, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
 _GRADE = "g AS (SELECT l_suppkey::VARCHAR AS actor, 'tax' AS subject, avg(l_tax::DOUBLE * 1000) AS mean FROM lineitem GROUP BY l_suppkey UNION ALL SELECT l_suppkey::VARCHAR, 'quantity', avg(l_quantity::DOUBLE * 2) FROM lineitem GROUP BY l_suppkey)"
 _grades = lambda t: d.gradebook_report(t.select(F.col("l_suppkey").cast("string").alias("name"), (F.col("l_tax").cast("double") * 1000).alias("tax"), (F.col("l_quantity").cast("double") * 2).alias("quantity")), "name", ["tax", "quantity"])
@@ -65,7 +71,7 @@ add("emoji_functions", lambda spark, sf: testbed(spark, sf).select("id", text.is
     WITH_EV + f"z AS (SELECT 1) SELECT id, length(regexp_replace(string_split(content, ' ')[-1], '{EMOJI}|[\\s\\x{{FE0F}}\\x{{200D}}]', '', 'g')) = 0 AND length(string_split(content, ' ')[-1]) > 0 AS pure, array_to_string(list_transform(regexp_extract_all(content, '{EMOJI}'), lambda x: lower(to_hex(unicode(x)))), ' ') AS hex FROM ev")
 add("media_types", lambda spark, sf: testbed(spark, sf).select("id", text.classify_media(F.concat("content", F.when(F.col("id") % 3 == 0, F.lit(" VID-1.mp4 (file attached)")).when(F.col("id") % 3 == 1, F.lit(" <image omitted>")).otherwise(F.lit(""))), F.lit(False)).alias("m")).select("id", "m.*"),
     WITH_EV + "z AS (SELECT 1) SELECT id, id % 3 <> 2 AS is_media, CASE id % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'image' ELSE 'media' END AS type, CASE id % 3 WHEN 0 THEN 'VID-1.mp4' END AS filename FROM ev")
-add("sanitize", on("pages", lambda t: t.select("page_id", F.length(text.sanitize_text(F.col("html"))).cast("long").alias("chars"))))
+add("sanitize", on("pages", lambda t: t.select("page_id", F.md5(text.sanitize_text(F.col("html"))).alias("clean"))), r"SELECT page_id, md5(regexp_replace(regexp_replace(nfc_normalize(html), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS clean FROM pages")
 
 # ---------------------------------------------------------------- sources and normalization over given tables
 
@@ -74,14 +80,14 @@ def chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as lines of a chat log, one file a conversation: a turn's further lines continue its message."""
     c = table(spark, sf_dir, "conversations")
     stamp = F.date_format(F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("turn")), "dd/MM/yyyy, HH:mm:ss")
-    body = F.concat(F.lit("["), stamp, F.lit("] "), "role", F.lit(": "), "text")
-    lines = c.where("text is not null").select(F.col("conv_id").cast("string").alias("source_file"), "turn", F.posexplode(F.split(body, "\n")).alias("k", "line"))
-    return lines.select("source_file", (F.col("turn") * 100_000 + F.col("k")).cast("int").alias("line_no"), "line")
+    body = F.concat(F.lit("["), stamp, F.lit("] "), "role", F.lit(": "), F.coalesce("text", F.lit("")))
+    lines = c.select(F.col("conv_id").cast("string").alias("source_file"), "turn", F.posexplode(F.split(body, "\n")).alias("k", "line"))
+    return lines.select("source_file", (F.col("turn").cast("long") * (1 << 32) + F.col("k")).alias("line_no"), "line")
 
 
 add("chat_log", lambda spark, sf: records.records_from_lines(chat_lines(spark, sf)).select("source_file", "actor", F.col("ts").cast("string").alias("ts"), F.md5("content").alias("content"), "event_type"),
     r"""SELECT conv_id::VARCHAR AS source_file, trim(role) AS actor, strftime(TIMESTAMP '2024-01-01' + turn * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS ts,
-  md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))) AS content, 'message' AS event_type FROM conversations WHERE text IS NOT NULL""")
+  md5(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''), chr(10))) AS content, 'message' AS event_type FROM conversations""")
 add("json_lines", lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", records.json_record(F.try_parse_json(F.to_json(F.struct(F.col("role").alias("sender"), F.col("text").alias("message"), F.lit("2024-02-03 04:05:06").alias("date")))), F.col("turn")).alias("r")).select("conv_id", "turn", "r.actor", F.col("r.ts").cast("string").alias("ts"), F.md5("r.content").alias("content")),
     "SELECT conv_id, turn, trim(role) AS actor, '2024-02-03 04:05:06' AS ts, md5(text) AS content FROM conversations")
 add("rows_to_events", on("nation", lambda t: records.rows_to_events(t.withColumnRenamed("n_name", "name"), ["n_nationkey"], "nation").select("line_no", "actor", F.col("ts").cast("string").alias("ts"), "event_type")),
