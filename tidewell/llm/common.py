@@ -16,9 +16,11 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), a temporary one for the application."""
+    """The folder in spark.checkpoint.dir; where that is unset in local mode (as in tests), a temporary one for the application."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         at = _local[app] = _local.get(app) or "file://" + tempfile.mkdtemp(prefix="tidewell-")
     return at.rstrip("/")
@@ -49,6 +51,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def given_names(columns: list[str], added: list[str]) -> list[str]:
+    """The caller's column names beside an operator's own: one that clashes with these gets ``_given`` at its end."""
+    taken = {a.lower() for a in added}
+    return [f"{c}_given" if c.lower() in taken else c for c in columns]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -140,9 +148,11 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return h
     width = min(width, n)
+    # A sum of the words' hashes, each times the random odd number of its place.
+    places = mix(np.arange(width, dtype=np.uint64), 31) | np.uint64(1)
     out = np.full(n - width + 1, width, np.uint64)
-    for k in range(width):  # a sum of the words' hashes, each times the odd number of its place
-        out += h[k : n - width + 1 + k] * np.uint64((_RATIO * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) | 1)
+    for k in range(width):
+        out += h[k : n - width + 1 + k] * places[k]
     return mix(out, width)
 
 

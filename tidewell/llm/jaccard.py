@@ -15,7 +15,7 @@ Equal sets are one node from the start. A node carries a sketch, the parity of i
 elements in about as many bits as it has elements: two sketches never differ in more
 bits than their sets do in elements, so pairs that are too far apart go by their
 sketches, and only the others are compared by sets. A signature's nodes are first
-compared with one of them, its hub. Links merge nodes into components, and only nodes
+compared with one of them, its hub. Links merge nodes, and only nodes
 that are still apart are compared further: in a small signature all pairs; in a large
 one (beyond SMALL nodes) first with other hubs, and what then is apart in blocks of
 nodes, first by sketches and then by sets, in a task that returns links alone. Both
@@ -244,25 +244,40 @@ HUBS, SMALL, BLOCK = 2, 32, 512
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """Adds comp, a node's component so far, or itself."""
+    """Adds comp, a node's label, or itself."""
     met = rows.join(label.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left")
     return met.select(*rows.columns, F.coalesce("label", "node").alias("comp"))
 
 
+def _first_labels(links: DataFrame) -> DataFrame:
+    """(node, label) of linked nodes: where a node's least neighbour, that one's, and so on for four steps lead.
+
+    A label is in its node's component, so nodes of a label need no further
+    comparison; nodes of one component may still have several labels.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    for step in ("least", "least-of-least"):
+        label = materialize(label, step)
+        label = label.join(label.select(F.col("node").alias("_n"), F.col("label").alias("up")), F.col("label") == F.col("_n")).select("node", F.col("up").alias("label"))
+    return label
+
+
 def _open(members: DataFrame, label: DataFrame, least: int) -> DataFrame:
-    """Members (sig, node, m, comp) of signatures with more than ``least`` nodes, of several components; one signature of those with equal nodes."""
+    """Members (sig, node, m, comp) of signatures with more than ``least`` nodes, of several labels; one signature of those with equal nodes."""
     at = materialize(_labelled(members, label), "labelled")
     facts = at.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
     left = facts.where((F.col("c1") < F.col("c2")) & (F.col("m") > least)).groupBy("m", "h").agg(F.min("sig").alias("_s")).select("_s", F.col("m"))
+    # Written first, so that a signature of very many nodes isn't shuffled where few signatures are left.
     return materialize(at.join(materialize(left, "open-sigs"), F.col("sig") == F.col("_s")).select("sig", "node", "m", "comp"), "open")
 
 
-def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each open signature's nodes with the one that the turn picks, where their components differ."""
-    pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "comp")
-    hubs = rows.groupBy("sig").agg(F.min(pick).alias("h")).select(F.col("sig").alias("_s"), F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"))
-    met = rows.join(materialize(hubs, "hubs"), F.col("sig") == F.col("_s")).where(F.col("comp") != F.col("hub_comp"))
-    return met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """Each open signature's nodes with HUBS of them, picked by hash, where their labels differ."""
+    pick = lambda turn: F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "comp"))
+    hubs = materialize(rows.groupBy(F.col("sig").alias("_s")).agg(F.array(*[pick(turn) for turn in range(HUBS)]).alias("hubs")), "hubs")
+    met = rows.join(hubs, F.col("sig") == F.col("_s")).select("node", "comp", F.explode("hubs").alias("hub")).where("comp <> hub.comp")
+    return met.select(F.greatest("node", F.col("hub.node")).alias("a"), F.least("node", F.col("hub.node")).alias("b")).distinct()
 
 
 def _small_pairs(rows: DataFrame) -> DataFrame:
@@ -368,23 +383,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     signed = materialize(sign(docs, width, percent, id_col, text_col), "signed")
     sketches = materialize(signed.where("sketch is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
     members, stars = shared(signed)
-    near = lambda pairs, label: materialize(may_link(materialize(pairs, f"{label}-pairs"), sketches, percent), f"{label}-near")
-    exact = lambda pairs, label: materialize(verified(pairs, sets_of(docs, signed, pairs, width, id_col, text_col), percent), f"{label}-links")
-
-    links = [exact(near(stars, "star"), "star")]
-    label = components(links[0])
-    open_ = _open(members, label, 2)
+    sets = lambda nodes: sets_of(docs, signed, nodes, width, id_col, text_col)
+    near = materialize(may_link(stars, sketches, percent), "star-near")
+    links = [materialize(verified(near, sets(near), percent), "star-links")]
+    open_ = _open(members, _first_labels(links[0]), 2)
     large = open_.where(F.col("m") > SMALL)
-    pairs = near(reduce(DataFrame.unionByName, [_small_pairs(open_.where(F.col("m") <= SMALL)), *[_hub_pairs(large, turn) for turn in range(HUBS)]]).distinct(), "open")
-    if not pairs.isEmpty():
-        links.append(exact(pairs, "open"))
-        label = components(reduce(DataFrame.unionByName, links))
+    near = materialize(may_link(_small_pairs(open_.where(F.col("m") <= SMALL)).unionByName(_hub_pairs(large)).distinct(), sketches, percent), "open-near")
+    links.append(materialize(verified(near, sets(near), percent), "open-links"))
     if not large.isEmpty():
+        label = _first_labels(reduce(DataFrame.unionByName, links))
         sent = materialize(_maybe_linked(_block_pairs(_open(large.select("sig", "node"), label, SMALL)), sketches, percent), "screened")
-        if not sent.isEmpty():
-            links.append(materialize(_block_links(sent, sets_of(docs, signed, sent.selectExpr("node as a", "node as b"), width, id_col, text_col), percent), "block-links"))
-            label = components(reduce(DataFrame.unionByName, links))
-    return _result(signed, label)
+        links.append(materialize(_block_links(sent, sets(sent.selectExpr("node as a", "node as b")), percent), "block-links"))
+    return _result(signed, components(reduce(DataFrame.unionByName, links)))
 
 
 def _result(signed: DataFrame, label: DataFrame) -> DataFrame:
@@ -416,6 +426,6 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col
     # Copies and repeated rows are few beside all rows, and their sizes are known before texts are joined.
     dropped = materialize(dropped, "dropped")
     many = materialize(found.groupBy(*row).count().where("count > 1").select(*row), "repeated")
-    same = lambda k: docs[id_col].cast("long").eqNullSafe(k["doc_id"]) & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(k["text_key"])
+    same = lambda k: docs[f"`{id_col}`"].cast("long").eqNullSafe(k["doc_id"]) & F.xxhash64(docs[f"`{text_col}`"].cast("string")).eqNullSafe(k["text_key"])
     left = docs.join(dropped, same(dropped), "left_anti")
     return left.join(many, same(many), "left_anti").unionByName(left.join(many, same(many), "left_semi").dropDuplicates([id_col, text_col]))

@@ -271,11 +271,13 @@ def interpolation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = held_out_bins(cut, answered.select("part", "block", "fit1", "fit2"), stats.tokens_fit).toArrow()
     weights = learn_weights(found.column("bin").to_numpy(), found.column("k").to_numpy(), stats.types_fit)
     n, v = stats.tokens, stats.types
+    # A context that was never seen has no bigram estimate; its weight goes to the others, so probabilities sum to 1.
+    unseen = np.array([0.0, *weights[0, 1:] / weights[0, 1:].sum()])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         g = _grams(left)
         two, ctx, one = _counts(right, g, held=True)
-        w = weights[context_bucket(ctx)]
+        w = np.where((ctx > 0)[:, None], weights[context_bucket(ctx)], unseen)
         p = w[:, 0] * two / np.maximum(ctx, 1) + w[:, 1] * one / max(n, 1) + w[:, 2] / (v + 1)
         if not n:
             p = np.ones(len(one))
