@@ -23,7 +23,7 @@ _FOUND = "doc_id long, text_key long, n_words long, own boolean, shingle long, s
 
 def item_windows(items: DataFrame, window: int = WINDOW, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Each window's shingles: item_id (as string), words (joined by spaces), n words, at (the shingle's first word), shingle."""
-    rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    rows = items.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def cut(batches):
         hashes = word_hashes(NOT_ALNUM)
@@ -67,7 +67,7 @@ def prefixes(docs: DataFrame, windows: DataFrame, width: int = WIDTH, text_col:
             s, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], names=["_s", "k"])
 
-    counts = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(count, "_s long, k long").groupBy("_s").agg(F.sum("k").alias("k"))
+    counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "_s long, k long").groupBy("_s").agg(F.sum("k").alias("k"))
     rare = windows.join(counts, windows["shingle"] == counts["_s"])
     best = rare.select("item_id", "words", "n", "at", "shingle", "k").groupBy("words", "n").agg(F.min(F.struct("k", "shingle", "at")).alias("best"), F.collect_set("item_id").alias("items"))
     return best.select("words", "n", "best.at", "best.shingle", "items")
@@ -164,5 +164,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """``docs`` without the rows that the rule rejects."""
     bad = contamination(docs, items, id_col=id_col, text_col=text_col).where(contaminated()).select(F.col("doc_id").alias("_tw_d"), F.col("text_key").alias("_tw_k")).distinct()
     bad = materialize(bad, "contaminated")  # its size decides whether texts are shuffled
-    same = docs[id_col].cast("long").eqNullSafe(bad["_tw_d"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_tw_k"])
+    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(bad["_tw_d"]) & (F.xxhash64(docs[f"`{text_col}`"].cast("string")) == bad["_tw_k"])
     return docs.join(bad, same, "left_anti")

@@ -105,9 +105,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, slots: int = OPE
     most ``slots`` windows a task, are joined with the places they move to.
 
     A null text is empty, so it is its end id alone. Null and repeated
-    identifiers are packed row by row. No rows give no pieces.
+    identifiers are packed row by row. No rows give no pieces. Other columns of
+    ``docs`` are left out. Of open windows that a piece fills equally well, the
+    one that was opened first takes it; of left-over windows, the fuller and
+    then the one of the smaller number is merged first.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def place(batches):
         codec, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()

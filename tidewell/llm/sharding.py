@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_names
+
 #: Groups of rows that are numbered apart; their counts, a table of this size at most, are broadcast.
 BUCKETS = 4096
 #: Equal rows beyond this count are numbered in several groups.
@@ -62,25 +64,28 @@ def number_rows(rows: DataFrame) -> DataFrame:
     into one of 4096 groups by a digest of its values, and a group starts where
     the counts of the groups before it end. The numbers depend on the values
     alone, not on files or partitions; equal rows are interchangeable. Columns
-    must be of types that cast to string; a null is a value of its own.
+    must be of types that cast to string; a null is a value of its own. A
+    caller's column of the same name as an added one gets ``_given`` at its end.
     """
-    cols = rows.columns
-    values = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in cols], F.col("_tw_run").cast("string"))
+    # The caller's columns go by their places, so that no name of theirs can meet one of these.
+    cols = [f"c{i}" for i in range(len(rows.columns))]
+    values = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in cols], F.col("run").cast("string"))
     counted = (
-        rows.groupBy(*[f"`{c}`" for c in cols])
-        .agg(F.count(F.lit(1)).alias("_tw_n"))
-        .withColumn("_tw_run", F.explode(F.expr(f"sequence(0L, (_tw_n - 1) div {RUN})")))
-        .withColumn("_tw_n", F.least(F.lit(RUN).cast("long"), F.col("_tw_n") - F.col("_tw_run") * RUN))
-        .withColumn("_tw_bucket", _digits(values, 3))
+        rows.toDF(*cols)
+        .groupBy(*cols)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")))
+        .withColumn("n", F.least(F.lit(RUN).cast("long"), F.col("n") - F.col("run") * RUN))
+        .withColumn("bucket", _digits(values, 3))
     )
-    sizes = counted.groupBy("_tw_bucket").agg(F.sum("_tw_n").alias("_tw_size"))
-    starts = sizes.selectExpr("_tw_bucket", "sum(_tw_size) over (order by _tw_bucket) - _tw_size as _tw_start", "sum(_tw_size) over () as n_rows")
-    order = ", ".join([*[f"`{c}`" for c in cols], "_tw_run"])
+    sizes = counted.groupBy("bucket").agg(F.sum("n").alias("size"))
+    starts = sizes.selectExpr("bucket", "sum(size) over (order by bucket) - size as start", "sum(size) over () as n_rows")
+    order = ", ".join([*cols, "run"])
     return (
-        counted.selectExpr("*", f"sum(_tw_n) over (partition by _tw_bucket order by {order} rows unbounded preceding) - _tw_n as _tw_before")
-        .join(F.broadcast(starts), "_tw_bucket")
-        .withColumn("_tw_at", F.explode(F.expr("sequence(0L, _tw_n - 1)")))
-        .select(*[f"`{c}`" for c in cols], (F.col("_tw_start") + F.col("_tw_before") + F.col("_tw_at")).alias("row_number"), "n_rows")
+        counted.selectExpr("*", f"sum(n) over (partition by bucket order by {order} rows unbounded preceding) - n as before")
+        .join(F.broadcast(starts), "bucket")
+        .withColumn("at", F.explode(F.expr("sequence(0L, n - 1)")))
+        .select(*[F.col(c).alias(name) for c, name in zip(cols, given_names(rows.columns, ["row_number", "n_rows"]))], (F.col("start") + F.col("before") + F.col("at")).alias("row_number"), "n_rows")
     )
 
 
@@ -90,11 +95,15 @@ def shard_rows(rows: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
     Counts of shards differ by one at most, and slots are gapless from 0. The
     result is the same however the table is split, and another seed gives
     another shuffle. Nulls and repeated rows are dealt like others; no rows give
-    none. Project wide tables to an identifier first and join the result.
+    none. A caller's column of the same name as an added one gets ``_given`` at
+    its end. The query raises if 64 steps don't end a row's cycle walk, as
+    ``feistel`` says. Project wide tables to an identifier first and join the result.
     """
-    placed = number_rows(rows).withColumn("place", feistel(F.col("row_number"), F.col("n_rows"), seed))
+    numbered = number_rows(rows)
+    cols = [f"c{i}" for i in range(len(rows.columns))]
+    placed = numbered.toDF(*cols, "row_number", "n_rows").withColumn("place", feistel(F.col("row_number"), F.col("n_rows"), seed))
     return placed.select(
-        *[f"`{c}`" for c in rows.columns],
+        *[F.col(c).alias(name) for c, name in zip(cols, given_names(rows.columns, ["place", "shard", "slot"]))],
         "place",
         (F.col("place") % n_shards).cast("int").alias("shard"),
         F.floor(F.col("place") / n_shards).cast("long").alias("slot"),

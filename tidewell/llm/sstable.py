@@ -188,7 +188,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0,
     A null text is empty and a null identifier comes first; repeated
     identifiers and rows are kept side by side. No rows give no shards.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     key = ["id", F.xxhash64("text")]
     ranged = rows.repartitionByRange(*key).sortWithinPartitions(*key)
 
