@@ -390,11 +390,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     large = open_.where(F.col("m") > SMALL)
     near = materialize(may_link(_small_pairs(open_.where(F.col("m") <= SMALL)).unionByName(_hub_pairs(large)).distinct(), sketches, percent), "open-near")
     links.append(materialize(verified(near, sets(near), percent), "open-links"))
+    label = components(reduce(DataFrame.unionByName, links))
     if not large.isEmpty():
-        label = _first_labels(reduce(DataFrame.unionByName, links))
+        # Blocks send a node's set once for each signature, so they only get what exact components leave apart.
         sent = materialize(_maybe_linked(_block_pairs(_open(large.select("sig", "node"), label, SMALL)), sketches, percent), "screened")
         links.append(materialize(_block_links(sent, sets(sent.selectExpr("node as a", "node as b")), percent), "block-links"))
-    return _result(signed, components(reduce(DataFrame.unionByName, links)))
+        if not links[-1].isEmpty():
+            label = components(reduce(DataFrame.unionByName, links))
+    return _result(signed, label)
 
 
 def _result(signed: DataFrame, label: DataFrame) -> DataFrame:
