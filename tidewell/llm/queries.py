@@ -12,14 +12,17 @@ from . import sql
 from .chat import format_trees, read_loss, read_turns
 from .common import fresh_dir, materialize, read_table
 from .decontaminate import contaminated, contamination
+from .infill import fill_in_middle, parts, restored
 from .jaccard import near_duplicates
 from .lm import interpolation_scores
 from .packing import pack
 from .pii import KINDS, personal_data
+from .planes import cluster
 from .quality import COUNTS, quality
 from .secrets import scan
 from .sharding import shard_rows
 from .sstable import read_shards, write_shards
+from .urlfilter import host_of, judge, path_of
 
 #: The tokenizer of the queries that encode texts.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -137,6 +140,40 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters all vectors around 16 centroids by three rounds."""
+    found = cluster(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+#: Rules of the url query: verdict, host and beginning of the path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: What tells a listed host of the url query by name, and the length of a page that is listed for its thinness.
+LISTED_HOST, THIN_PAGE = "(pills|bets|spam|casino)", 1000
+
+
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The url query's list, from the pages: hosts by name, as domains, and single pages of under THIN_PAGE characters."""
+    urls = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.length("html").alias("chars"))
+    domain = F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)
+    hosts = urls.where(F.col("host").rlike(LISTED_HOST)).select(F.coalesce(F.nullif(domain, F.lit("")), F.col("host")).alias("host"), F.lit(None).cast("string").alias("path")).distinct()
+    return hosts.unionByName(urls.where(F.col("chars") < THIN_PAGE).select("host", "path"))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges all pages' urls by rules, and by lists of hosts and pages in a filter cascade."""
+    pages = read_table(spark, sf_dir, "pages")
+    return judge(pages.select("page_id", "url"), listed_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts all documents into prefix, middle and suffix, and puts them together again."""
+    made = fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut, back = parts(F.col("output"), F.col("form")), restored(F.col("output"), F.col("form"))
+    chars = lambda k: F.length(F.get(cut, F.lit(k))).cast("long")
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", chars(0).alias("prefix_chars"), chars(1).alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_interpolation": op2_interpolation,
@@ -148,5 +185,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_chat": op9_chat,
     "op10_packing": op10_packing,
+    "op11_planes": op11_planes,
+    "op12_urls": op12_urls,
+    "op13_infill": op13_infill,
 }
-ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_sharding": sql.SHARDING, "op6_decontamination": sql.DECONTAMINATION, "op8_jaccard": sql.JACCARD, "op9_chat": sql.CHAT}
+ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_sharding": sql.SHARDING, "op6_decontamination": sql.DECONTAMINATION, "op8_jaccard": sql.JACCARD, "op9_chat": sql.CHAT, "op11_planes": sql.PLANES, "op12_urls": sql.urls(URL_RULES, LISTED_HOST, THIN_PAGE), "op13_infill": sql.INFILL}

@@ -142,3 +142,64 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reac
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
 """
+
+_POINT = "list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - c.v[i]) * (a.v[i] - c.v[i])))"
+
+
+def _round(k: int) -> str:
+    """Assignment to the centroids c{k} and their floors of means, c{k + 1}."""
+    return f"""n{k} AS (SELECT r, vec_id, a.v, arg_min(c.c, (d, c.c)) AS cluster, min(d) AS distance FROM (SELECT a.*, c.c, {_POINT} AS d FROM kept a, c{k} c) a JOIN c{k} c USING (c) GROUP BY r, vec_id, a.v),
+s{k} AS (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM n{k}, range(1, 65) t(i) GROUP BY cluster, i),
+m{k} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{k} GROUP BY cluster),
+c{k + 1} AS (SELECT c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} ON cluster = c)"""
+
+
+PLANES = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS c, v FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{_round(0)},
+{_round(1)},
+{_round(2)},
+{_round(3)}
+SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM n3 JOIN c3 ON c = cluster
+"""
+
+
+def urls(rules: list[tuple[str, str, str]], listed_host: str, thin: int) -> str:
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    return rf"""
+WITH u AS (
+  SELECT page_id, html, CASE WHEN spot > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN spot > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM (SELECT page_id, html, coalesce(instr(url, '://'), 0) AS spot, substr(url, instr(url, '://') + 3) AS rest FROM pages)
+), rules(verdict, h, p) AS (VALUES {values}),
+ruled AS (
+  SELECT page_id, h || p AS rule, verdict FROM (SELECT DISTINCT page_id, host, path FROM u) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(h || p) DESC, length(h) DESC, h || p DESC) = 1
+), hosts AS (
+  SELECT DISTINCT coalesce(nullif(regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1), ''), host) AS d FROM u WHERE regexp_matches(host, '{listed_host}')
+), thin AS (SELECT DISTINCT host, path FROM u WHERE host <> '' AND length(html) < {thin}),
+l AS (SELECT u.*, EXISTS (SELECT 1 FROM hosts WHERE host = d OR ends_with(host, '.' || d)) OR EXISTS (SELECT 1 FROM thin t WHERE t.host = u.host AND t.path = u.path) AS listed FROM u)
+SELECT l.page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM l LEFT JOIN ruled USING (page_id)
+"""
+
+
+INFILL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || doc_id) AS h FROM documents
+), k AS (
+  SELECT *, len(l) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k
+), p AS (
+  SELECT *, coalesce(array_to_string(l[1:a], ''), '') AS prefix, coalesce(array_to_string(l[a + 1:b], ''), '') AS middle, coalesce(array_to_string(l[b + 1:], ''), '') AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
