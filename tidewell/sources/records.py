@@ -6,7 +6,6 @@ event_type, has_media, metadata (JSON). A time that can't be read is null.
 
 from __future__ import annotations
 
-import json
 import re
 from functools import reduce
 
@@ -16,6 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import apple_ts, slack_markup
 from ..functions.times import parse_ts
+from .archives import archive_pieces, detect_delimiter
+from .ranges import STRETCH, braced, json_items, json_pieces, lines_of_pieces, text_lines
 
 COLUMNS = ["source_file", "line_no", "actor", "ts", "raw_timestamp", "content", "event_type", "has_media", "metadata"]
 
@@ -38,12 +39,6 @@ MEDIA = {"discord": r"(?i)\[(Attachment|Image|Video|File):|https://(cdn|media)\.
 BINARY = r"[\x00-\x08\x0E-\x1F]"
 
 
-def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines with their file and number. A file is read by one task, so that its lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
-    return whole.select("source_file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
-
-
 def records_from_lines(lines: DataFrame, dialect: str = "chat", max_len: int = 65_536, on_binary: str = "drop", dayfirst: bool = True) -> DataFrame:
     """Records of log lines (source_file, line_no, line).
 
@@ -65,16 +60,29 @@ def records_from_lines(lines: DataFrame, dialect: str = "chat", max_len: int = 6
         hit = F.col("line").rlike(pattern)
         kind = F.when(hit, F.lit(label)).otherwise(kind)
         fields = F.when(hit, F.array(*[F.regexp_extract("line", pattern, g) for g in (1, 2, 3, 4)])).otherwise(fields)
-    marked = lines.select("source_file", "line_no", "line", kind.alias("kind"), fields.alias("f"))
+    marked = lines.select("*", kind.alias("kind"), fields.alias("f"))
     if dialect == "imessage":
         marked = marked.where("kind is not null")
-    w = Window.partitionBy("source_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = marked.withColumn("rec", F.coalesce(F.max(F.when(F.col("kind").isNotNull(), F.col("line_no"))).over(w), F.lit(-1)))
+    # The last head before a line, in its part or an earlier one.
+    part = F.col("part") if "part" in lines.columns else F.floor(F.col("line_no") / STRETCH)
+    marked = marked.withColumns({"part": part, "head": F.when(F.col("kind").isNotNull(), F.col("line_no"))})
+    earlier = Window.partitionBy("source_file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    heads_before = marked.groupBy("source_file", "part").agg(F.max("head").alias("head")).select(F.col("source_file").alias("_f"), F.col("part").alias("_p"), F.max("head").over(earlier).alias("_head"))
+    in_part = Window.partitionBy("source_file", "part").orderBy("line_no")
+    own_head = marked.withColumn("own", F.max("head").over(in_part.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = own_head.join(heads_before, (F.col("source_file") == F.col("_f")) & (F.col("part") == F.col("_p"))).withColumn("rec", F.coalesce("own", "_head", F.lit(-1)))
     if dialect in ("discord", "signal"):
         grouped = grouped.where("rec >= 0")
     own = F.when(F.col("kind").isNotNull(), F.col("f")[3]).otherwise(F.trim("line") if dialect == "signal" else F.col("line"))
     cut = F.when(F.length(own) > max_len, F.concat(F.substring(own, 1, max_len), F.when(F.col("kind") == "message", F.lit(" [TRUNCATED DUE TO SIZE]")).when(F.col("kind") == "system", F.lit(" [TRUNCATED]")).otherwise(F.lit("")))).otherwise(own)
-    rec = grouped.select("source_file", "rec", "line_no", "kind", "f", cut.alias("part")).groupBy("source_file", "rec").agg(
+    cells = grouped.select("source_file", "part", "rec", "line_no", "kind", "f", cut.alias("text"))
+    # Lines that begin beyond the record's limit don't show, so a record of any number of lines collects a bounded text.
+    so_far = cells.groupBy("source_file", "rec", "part").agg(F.sum(F.length("text") + 1).alias("chars"))
+    offset = so_far.select(F.col("source_file").alias("_f"), F.col("rec").alias("_r"), F.col("part").alias("_p"), F.coalesce(F.sum("chars").over(Window.partitionBy("source_file", "rec").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_chars"))
+    in_record = Window.partitionBy("source_file", "part", "rec").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("_in", F.coalesce(F.sum(F.length("text") + 1).over(in_record), F.lit(0))).join(offset, (F.col("source_file") == F.col("_f")) & (F.col("rec") == F.col("_r")) & (F.col("part") == F.col("_p")))
+    shown = placed.where((F.col("_in") + F.col("_chars") <= max_len) | F.col("kind").isNotNull())
+    rec = shown.select("source_file", "rec", "line_no", "kind", "f", F.col("text").alias("part")).groupBy("source_file", "rec").agg(
         F.first("kind", ignorenulls=True).alias("kind"), F.first("f", ignorenulls=True).alias("f"), F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "part"))).alias("parts")
     )
     joined = F.array_join(F.transform("parts", lambda p: p["part"]), "\n")
@@ -108,77 +116,15 @@ def _pick(v: Column, *paths: str) -> Column:
     return F.coalesce(*[_str(v, p) for p in paths])
 
 
-def item_places(text: str, containers: tuple[str, ...]) -> list[tuple[int, int]] | None:
-    """Where a JSON text's items lie: those of its root if it is an array, else of the first container that is one, else the root alone; None if it is no JSON."""
-    decode, gap = json.JSONDecoder().raw_decode, re.compile(r"[\s\ufeff]*").match
-
-    def array(at: int) -> tuple[list[tuple[int, int]], int]:
-        found, at = [], gap(text, at + 1).end()
-        while text[at] != "]":
-            start, at = at, decode(text, at)[1]
-            found.append((start, at))
-            at = gap(text, at).end()
-            if text[at] == ",":
-                at = gap(text, at + 1).end()
-                if text[at] == "]":
-                    raise ValueError("an item is missing")
-            elif text[at] != "]":
-                raise ValueError("no array")
-        return found, at + 1
-
-    try:
-        start = at = gap(text, 0).end()
-        found, end = None, None
-        if text[at] == "[":
-            found, end = array(at)
-        elif text[at] == "{" and containers:
-            arrays, at = {}, gap(text, at + 1).end()
-            while text[at] != "}":
-                key, at = decode(text, at)
-                at = gap(text, at).end()
-                if text[at] != ":":
-                    raise ValueError("no object")
-                at = gap(text, at + 1).end()
-                if key in containers and text[at] == "[":
-                    arrays[key], at = array(at)
-                else:
-                    at = decode(text, at)[1]
-                at = gap(text, at).end()
-                if text[at] == ",":
-                    at = gap(text, at + 1).end()
-                elif text[at] != "}":
-                    raise ValueError("no object")
-            end = at + 1
-            found = next((arrays[c] for c in containers if c in arrays), None)
-        else:
-            end = decode(text, at)[1]
-        if gap(text, end).end() < len(text):
-            return None  # something comes after the root
-        return [(start, end)] if found is None else found
-    except (ValueError, IndexError, RecursionError):
-        return None
-
-
-def json_items(files: DataFrame, containers: tuple[str, ...]) -> DataFrame:
-    """JSON texts' items as texts (source_file, line_no, item); a text that is no JSON is one row with null for the number.
+#: What a line is followed by when it is parsed, so that a value with something after it is told from one alone.
+_ALONE = "tidewell: nothing follows"
 
-    A text is walked once and its items are handed on in small batches, so only
-    an item's size is bounded by what a variant can hold, not the file's.
-    """
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            for file, text in zip(f["source_file"], f["value"]):
-                places = item_places(text, containers)
-                if places is None:
-                    yield pd.DataFrame({"source_file": [file], "line_no": pd.array([None], "Int32"), "item": [text]})
-                for lo in range(0, len(places or ()), 5_000):
-                    part = places[lo : lo + 5_000]
-                    yield pd.DataFrame({"source_file": file, "line_no": pd.array(range(lo, lo + len(part)), "Int32"), "item": [text[a:b] for a, b in part]})
 
-    return files.select("source_file", "value").mapInPandas(run, "source_file string, line_no int, item string")
+def parse_alone(text: Column) -> Column:
+    """A text's JSON value as a variant; null if it isn't one value and nothing else."""
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f'\n,"{_ALONE}"]')))
+    alone = (F.size(F.try_variant_get(pair, "$", "array<variant>")) == 2) & (F.try_variant_get(pair, "$[1]", "string") == _ALONE)
+    return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
 
 
 def _size(v: Column, path: str) -> Column:
@@ -207,51 +153,71 @@ def json_record(v: Column, index: Column) -> Column:
     )
 
 
+def _unparsed(line: Column) -> Column:
+    """The record of a text that is no JSON: its first 1000 characters, and all of it in metadata."""
+    none = lambda t: F.lit(None).cast(t)
+    meta = F.to_json(F.struct(F.lit("not JSON").alias("parseError"), line.alias("rawLine")))
+    return F.struct(none("string").alias("actor"), none("timestamp").alias("ts"), none("string").alias("raw_timestamp"), F.substring(line, 1, 1000).alias("content"), F.lit("unstructured").alias("event_type"), F.lit(False).alias("has_media"), meta.alias("metadata"))
+
+
+def _scalar(v: Column, index: Column) -> Column:
+    """The record of a JSON value that is neither object nor array: the value as text."""
+    none = lambda t: F.lit(None).cast(t)
+    text = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("null"))
+    meta = F.to_json(F.struct(F.to_json(v).alias("rawValue"), index.alias("index")))
+    return F.struct(none("string").alias("actor"), none("timestamp").alias("ts"), none("string").alias("raw_timestamp"), text.alias("content"), F.lit("record").alias("event_type"), F.lit(False).alias("has_media"), meta.alias("metadata"))
+
+
+def _any_record(v: Column, index: Column) -> Column:
+    return F.when(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), json_record(v, index)).otherwise(_scalar(v, index))
+
+
 def records_from_ndjson(lines: DataFrame) -> DataFrame:
-    """One object a line (source_file, line_no, line); a line that can't be parsed is kept as an unstructured record."""
-    lines = lines.where(F.length(F.trim("line")) > 0).withColumn("v", F.try_parse_json("line"))
-    made = lines.select("source_file", "line_no", "line", F.when(F.col("v").isNotNull(), json_record(F.col("v"), F.col("line_no") + 1)).alias("r"))
-    broken = F.struct(
-        F.lit(None).cast("string").alias("actor"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("raw_timestamp"), F.substring("line", 1, 1000).alias("content"),
-        F.lit("unstructured").alias("event_type"), F.lit(False).alias("has_media"), F.to_json(F.struct(F.lit("not JSON").alias("parseError"), F.col("line").alias("rawLine"))).alias("metadata"),
-    )
-    return made.select("source_file", "line_no", F.coalesce("r", broken).alias("r")).select("source_file", "line_no", "r.*")
+    """One value a line (source_file, line_no, line); a line that isn't one JSON value and nothing else is kept as an unstructured record."""
+    lines = lines.where(F.length(F.trim("line")) > 0).withColumn("v", parse_alone(F.col("line")))
+    made = lines.select("source_file", "line_no", F.when(F.col("v").isNotNull(), _any_record(F.col("v"), F.col("line_no") + 1)).otherwise(_unparsed(F.col("line"))).alias("r"))
+    return made.select("source_file", "line_no", "r.*")
 
 
 def read_ndjson(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return records_from_ndjson(text_lines(spark, path))
 
 
-def records_from_json(files: DataFrame, kind: str = "generic") -> DataFrame:
-    """Records of JSON texts (source_file, value): generic, discord, slack or imessage exports.
+# The keys below the root that hold an export's records, in the order in which they are tried.
+CONTAINERS = {"generic": ("messages", "records", "events", "data", "items"), "discord": ("messages",)}
+
+
+def records_from_json(pieces: DataFrame, lines: DataFrame, kind: str = "generic") -> DataFrame:
+    """Records of JSON texts in pieces: generic, discord, slack or imessage exports.
 
-    A generic or slack text that is no JSON is read line by line, without its
-    broken lines; any other is one unstructured record, so that no file is lost.
+    An item that can't be parsed is kept as an unstructured record. A generic or
+    slack text whose brackets don't match is read by its ``lines`` (source_file,
+    line_no, line), of which those that are one object are records; any other
+    such text is one unstructured record, so that no file is lost.
     """
-    containers = {"generic": ("messages", "records", "events", "data", "items"), "discord": ("messages",)}.get(kind, ())
-    files = files.where(F.length(F.trim("value")) > 0)
-    cut = json_items(files, containers)
-    items = cut.where("line_no is not null").select("source_file", "line_no", F.try_parse_json("item").alias("v"))
-    whole = cut.where("line_no is null").select("source_file", F.col("item").alias("value"))
+    items, broken, fields = json_items(pieces, CONTAINERS.get(kind, ()))
+    rows = items.withColumn("v", parse_alone(F.col("item")))
     if kind in ("generic", "slack"):
-        lines = whole.select("source_file", F.posexplode(F.split("value", "\n")).alias("line_no", "item")).select("source_file", "line_no", F.try_parse_json("item").alias("v"))
-        items = items.unionByName(lines.where("v is not null"))
+        left = lines.join(broken.select(F.col("source_file").alias("_f")), F.col("source_file") == F.col("_f"), "left_semi").select("source_file", F.col("line_no").cast("long").alias("line_no"), F.col("line").alias("item"))
+        rows = rows.unionByName(left.withColumn("v", parse_alone(F.col("item"))).where(F.schema_of_variant("v").startswith("OBJECT")))
     if kind == "discord":
-        ids = files.select(F.col("source_file").alias("_f"), F.get_json_object("value", "$.channel.id").alias("channel"), F.get_json_object("value", "$.guild.id").alias("guild"))
-        items = items.join(ids, F.col("source_file") == F.col("_f"))
+        value = F.regexp_extract("field", r'(?s)\A\s*"id"\s*:\s*"?([^"]*?)"?\s*\z', 1)
+        named = lambda k: F.max(F.when((F.col("key") == k) & F.col("field").rlike(r'\A\s*"id"\s*:'), value)).alias(k)
+        ids = fields.groupBy(F.col("source_file").alias("_f")).agg(named("channel"), named("guild"))
+        rows = rows.join(ids, F.col("source_file") == F.col("_f"), "left")
     v = F.col("v")
-    made = {"generic": lambda: json_record(v, F.col("line_no") + 1), "discord": lambda: _discord(v), "slack": lambda: _slack(v), "imessage": lambda: _imessage(v)}[kind]()
-    out = items.select("source_file", "line_no", made.alias("r")).where("r is not null").select("source_file", "line_no", "r.*")
+    made = {"generic": lambda: _any_record(v, F.col("line_no") + 1), "discord": lambda: _discord(v), "slack": lambda: _slack(v), "imessage": lambda: _imessage(v)}[kind]()
+    out = rows.select("source_file", "line_no", F.when(v.isNotNull(), made).otherwise(_unparsed(F.col("item"))).alias("r")).where("r is not null").select("source_file", "line_no", "r.*")
     if kind in ("generic", "slack"):
         return out
-    none = lambda t: F.lit(None).cast(t)
-    broken = whole.select("source_file", F.lit(0).alias("line_no"), none("string").alias("actor"), none("timestamp").alias("ts"), none("string").alias("raw_timestamp"), F.substring("value", 1, 1000).alias("content"), F.lit("unstructured").alias("event_type"), F.lit(False).alias("has_media"), F.lit('{"parseError":"not JSON"}').alias("metadata"))
-    return out.unionByName(broken)
+    begin = F.min_by(F.substring("value", 1, 1000), F.struct("part", "seq"))
+    lost = pieces.join(broken.select(F.col("source_file").alias("_f")), F.col("source_file") == F.col("_f"), "left_semi").groupBy("source_file").agg(begin.alias("item"))
+    return out.unionByName(lost.select("source_file", F.lit(0).cast("long").alias("line_no"), _unparsed(F.col("item")).alias("r")).select("source_file", "line_no", "r.*"))
 
 
 def read_json_export(spark: SparkSession, path: str | list[str], kind: str = "generic") -> DataFrame:
     """Records of JSON files: generic, discord, slack or imessage exports."""
-    return records_from_json(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value"), kind)
+    return records_from_json(json_pieces(spark, path), text_lines(spark, path), kind)
 
 
 def _discord(v: Column) -> Column:
@@ -303,11 +269,6 @@ def detect_roles(columns: list[str]) -> tuple[str | None, str | None]:
     return first(ACTOR), first(WHEN)
 
 
-def detect_delimiter(header: str) -> str:
-    """The most frequent of comma, tab, semicolon and bar; a comma if there is none."""
-    return max(",\t;|", key=lambda d: (header.count(d), -",\t;|".index(d)))
-
-
 def _place(names: Column, pattern: re.Pattern) -> Column:
     """The place, from 1, of the first column whose name has a role; 0 for none."""
     return F.coalesce(F.array_position(F.transform(names, lambda n: F.trim(n).rlike(f"(?i){pattern.pattern}")), True), F.lit(0))
@@ -384,82 +345,43 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str = "auto"
 
 # ---------------------------------------------------------------- archives and files
 
-# Kinds of archive entries, by extension.
-DATA_ENTRIES, MEDIA_ENTRIES = ("txt", "json", "ndjson", "jsonl", "csv", "tsv", "log", "md"), ("jpg", "jpeg", "png", "mp4", "opus", "mp3")
-
-
-def archive_entries(spark: SparkSession, glob: str | list[str]) -> DataFrame:
-    """The data entries of zip archives: source_file, inner_path, value (the text), media_count. One task opens an archive."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-
-    def run(frames):
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for f in frames:
-            for path, data in zip(f["path"], f["content"]):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    names = [n for n in z.namelist() if not n.endswith("/")]
-                    ext = lambda n: n.rpartition(".")[2].lower()
-                    media = sum(ext(n) in MEDIA_ENTRIES for n in names)
-                    for name in sorted((n for n in names if ext(n) in DATA_ENTRIES), key=lambda n: ("chat" not in n.lower(), n)):
-                        yield pd.DataFrame({"source_file": [path], "inner_path": [name], "value": [z.read(name).decode("utf-8-sig", "replace")], "media_count": [media]})
-
-    return files.mapInPandas(run, "source_file string, inner_path string, value string, media_count int")
-
-
-def _lines_of(texts: DataFrame) -> DataFrame:
-    return texts.select("source_file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
-
-
-def _table_rows(texts: DataFrame) -> DataFrame:
-    """Rows (source_file, line_no, names, cells) of delimited texts (source_file, value)."""
-
-    def run(frames):
-        import csv
-        import io
-
-        import pandas as pd
-
-        csv.field_size_limit(1 << 30)
-        for f in frames:
-            for file, value in zip(f["source_file"], f["value"]):
-                rows = csv.reader(io.StringIO(value, newline=""), delimiter=detect_delimiter(value.partition("\n")[0]))
-                names = next(rows, [])
-                part, at = [], 0
-                for row in rows:
-                    if row:
-                        at += 1
-                        part.append((file, at, names, row))
-                    if len(part) == 10_000:
-                        yield pd.DataFrame(part, columns=["source_file", "line_no", "names", "cells"])
-                        part = []
-                if part:
-                    yield pd.DataFrame(part, columns=["source_file", "line_no", "names", "cells"])
-
-    return texts.select("source_file", "value").mapInPandas(run, "source_file string, line_no int, names array<string>, cells array<string>")
+def _entry_reader(name: Column) -> Column:
+    """How an archive's entry is read, by its name: text or json and the dialect, ndjson, or csv."""
+    kind = route(name)
+    dialect = F.when(kind.isin("discord", "imessage", "signal", "chat"), kind).otherwise(F.lit("text"))
+    export = F.when(kind.isin("discord", "imessage", "slack"), kind).otherwise(F.lit("generic"))
+    low = F.lower(name)
+    return F.when(low.rlike(r"\.(csv|tsv)$"), F.lit("csv")).when(low.rlike(r"\.(ndjson|jsonl)$"), F.lit("ndjson")).when(low.endswith(".json"), F.concat(F.lit("json "), export)).otherwise(F.concat(F.lit("text "), dialect))
 
 
 def read_archives(spark: SparkSession, glob: str | list[str]) -> DataFrame:
     """Records of all data entries of archives, each by the reader of its format, with archive, entry and number of media in metadata.
 
-    Text entries are chat logs; JSON entries are discord or slack exports if
-    they are named so, else generic ones; NDJSON and delimited entries are
-    tables of lines. The entry's own metadata lies below ``entry``.
+    The entry's own metadata lies below ``entry``. An archive or entry that
+    can't be read is an unstructured record without a time, whose metadata has
+    the error as parseError; what could be read of it, and all others, load.
     """
-    entries = archive_entries(spark, glob).withColumn("file", F.concat_ws("!", "source_file", "inner_path"))
-    name = F.lower(F.element_at(F.split("inner_path", "/"), -1))
-    kind = F.when(name.rlike(r"\.(ndjson|jsonl)$"), "ndjson").when(name.rlike(r"\.(csv|tsv)$"), "csv").when(name.rlike(r"\.json$"), F.when(name.contains("discord"), "discord").when(name.contains("slack"), "slack").when(name.contains("imessage"), "imessage").otherwise("generic")).otherwise("chat")
-    texts = entries.select(F.col("file").alias("source_file"), "value", kind.alias("kind"))
-    of = lambda k: texts.where(F.col("kind") == k).select("source_file", "value")
-    parts = [records_from_lines(_lines_of(of("chat")), "chat"), records_from_ndjson(_lines_of(of("ndjson"))), cells_to_events(_table_rows(of("csv")))]
-    parts += [records_from_json(of(k), k) for k in ("generic", "discord", "slack", "imessage")]
-    facts = entries.select(F.col("file").alias("_f"), "inner_path", F.col("source_file").alias("archive"), "media_count")
-    meta = F.to_json(F.struct(F.col("archive").alias("archiveSource"), F.col("inner_path").alias("innerPath"), F.col("media_count").alias("archiveMediaCount"), F.try_parse_json("metadata").alias("entry")))
-    found = reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts])
-    return found.join(facts, F.col("source_file") == F.col("_f")).select(*COLUMNS[:-1], meta.alias("metadata"))
+    pieces = archive_pieces(spark, glob).select("*", F.concat_ws("!", "source_file", "inner_path").alias("file"), _entry_reader(F.element_at(F.split("inner_path", "/"), -1)).alias("kind"))
+    good = pieces.where("error is null")
+    of = lambda k: good.where(F.col("kind") == k)
+    text = lambda k: of(k).select(F.col("file").alias("source_file"), "part", F.lit(0).cast("long").alias("seq"), "value")
+    lost = pieces.where("error is not null").select(F.col("file").alias("source_file"), F.col("part").alias("line_no"), _unparsed(F.lit("")).alias("r"), "error").select("source_file", "line_no", "r.*", "error")
+    parts = [lost.withColumn("metadata", F.to_json(F.struct(F.col("error").alias("parseError")))).drop("error")]
+    for kind in sorted(r["kind"] for r in good.select("kind").distinct().collect()):  # names of formats
+        way, _, dialect = kind.partition(" ")
+        if way == "csv":
+            parts.append(cells_to_events(of(kind).select(F.col("file").alias("source_file"), F.col("part").cast("int").alias("line_no"), "names", "cells")))
+        elif way == "ndjson":
+            parts.append(records_from_ndjson(lines_of_pieces(text(kind))))
+        elif way == "json":
+            parts.append(records_from_json(braced(text(kind)), lines_of_pieces(text(kind)), dialect))
+        else:
+            parts.append(records_from_lines(lines_of_pieces(text(kind)), dialect))
+    facts = pieces.groupBy(F.col("file").alias("_f"), "inner_path", F.col("source_file").alias("archive")).agg(F.max("media_count").alias("media_count"))
+    found = reduce(DataFrame.unionByName, [p.select(*COLUMNS) for p in parts]).join(facts, F.col("source_file") == F.col("_f"))
+    error = F.get_json_object("metadata", "$.parseError")
+    meta = F.to_json(F.struct(F.col("archive").alias("archiveSource"), F.col("inner_path").alias("innerPath"), F.col("media_count").alias("archiveMediaCount"), error.alias("parseError"), F.try_parse_json("metadata").alias("entry")))
+    return found.select(*COLUMNS[:-1], meta.alias("metadata"))
 
 
 # The formats in the order in which their names are tried.
