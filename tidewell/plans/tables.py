@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DATE, EMOJI, STOP_WORDS, URL
@@ -13,7 +13,7 @@ from ..functions.times import parse_ts
 from ..operators import documents as d
 from ..operators import search
 from ..operators.normalize import normalize, resolve_entities
-from ..sources import records
+from ..sources import ranges, records
 from .reports import quoted
 from .testbed import WITH_EV, table, testbed
 
@@ -90,6 +90,49 @@ add("chat_log", lambda spark, sf: records.records_from_lines(chat_lines(spark, s
   md5(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''), chr(10))) AS content, 'message' AS event_type FROM conversations""")
 add("json_lines", lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", records.json_record(F.try_parse_json(F.to_json(F.struct(F.col("role").alias("sender"), F.col("text").alias("message"), F.lit("2024-02-03 04:05:06").alias("date")))), F.col("turn")).alias("r")).select("conv_id", "turn", "r.actor", F.col("r.ts").cast("string").alias("ts"), F.md5("r.content").alias("content")),
     "SELECT conv_id, turn, trim(role) AS actor, '2024-02-03 04:05:06' AS ts, md5(text) AS content FROM conversations")
+def dialect_lines(spark: SparkSession, sf_dir: str, head: str, fmt: str) -> DataFrame:
+    """The conversations as lines of another log: ``head`` has {stamp}, {who} and {text}."""
+    c = table(spark, sf_dir, "conversations")
+    stamp = F.date_format(F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("turn")), fmt)
+    before, between, after = head.replace("{text}", "").replace("{who}", "{stamp}").split("{stamp}")
+    body = F.concat(F.lit(before), stamp, F.lit(between), "role", F.lit(after), F.coalesce("text", F.lit("")))
+    lines = c.select(F.col("conv_id").cast("string").alias("source_file"), "turn", F.posexplode(F.split(body, "\n")).alias("k", "line"))
+    return lines.select("source_file", (F.col("turn").cast("long") * (1 << 32) + F.col("k")).alias("line_no"), "line")
+
+
+# Each dialect's lines, how its times are written, and SQL of the text that its records keep of all non-blank lines.
+_LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')"
+for _dialect, _head, _fmt in (("signal", "[{stamp}] {who}: {text}", "yyyy-MM-dd HH:mm"), ("imessage", "{stamp} {who}: {text}", "yyyy-MM-dd HH:mm:ss"), ("text", "[{stamp}] {who}: {text}", "yyyy/MM/dd, HH:mm:ss")):
+    add(f"log_{_dialect}", lambda spark, sf, d=_dialect, h=_head, f=_fmt: records.records_from_lines(dialect_lines(spark, sf, h, f), d).select("source_file", "actor", F.col("ts").cast("string").alias("ts"), F.md5(F.regexp_replace("content", r"\s+", " ")).alias("content"), "event_type"),
+        f"""SELECT conv_id::VARCHAR AS source_file, trim(role) AS actor, strftime(TIMESTAMP '2024-01-01' + turn * INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS ts,
+  md5(regexp_replace({'coalesce(string_split(text, chr(10))[1], chr(0))' if _dialect == "imessage" else f"array_to_string({_LINES}, chr(10))"}, '\\s+', ' ', 'g')) AS content, 'message' AS event_type FROM conversations""")
+
+
+def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON exports in pieces, one a turn: each fifth turn's message is no object, and each seventh conversation lacks its end."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    of = Window.partitionBy("conv_id").orderBy("turn")
+    item = F.when(F.col("turn") % 5 == 4, F.to_json(F.array("text"), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct(F.col("role").alias("sender"), F.col("text").alias("message")), {"ignoreNullFields": "false"}))
+    first, last = F.lag("turn").over(of).isNull(), F.lead("turn").over(of).isNull()
+    begin = F.when(first, F.lit('{"name": "a } b", "members": [{"id": 1}], "messages": [')).otherwise(F.lit(", "))
+    end = F.when(last & (F.col("conv_id") % 7 != 0), F.lit('], "count": {"n": 1}}')).otherwise(F.lit(""))
+    return c.select(F.col("conv_id").cast("string").alias("source_file"), F.col("turn").cast("long").alias("part"), F.lit(0).cast("long").alias("seq"), F.concat(begin, item, end).alias("value"))
+
+
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = json_text(spark, sf_dir)
+    found, broken, _ = ranges.json_items(ranges.braced(pieces), records.CONTAINERS["generic"])
+    v = records.parse_alone(F.col("item"))
+    good = found.select("source_file", F.col("line_no").cast("long").alias("line_no"), F.md5(F.coalesce(F.try_variant_get(v, "$.message", "string"), F.try_variant_get(v, "$[0]", "string"), F.lit("none"))).alias("content"))
+    return good.unionByName(broken.select("source_file", F.lit(-1).cast("long").alias("line_no"), F.lit("broken").alias("content")))
+
+
+add("json_export_items", json_export, """SELECT conv_id::VARCHAR AS source_file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_no, md5(coalesce(text, 'none')) AS content FROM conversations WHERE conv_id % 7 <> 0
+UNION ALL SELECT DISTINCT conv_id::VARCHAR, -1, 'broken' FROM conversations WHERE conv_id % 7 = 0""")
+add("ndjson_kinds", lambda spark, sf: records.records_from_ndjson(table(spark, sf, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("line_no"),
+    F.concat(F.to_json(F.struct(F.col("lang").alias("sender"), F.col("text").alias("message"))), F.when(F.col("doc_id") % 3 == 1, F.lit("{}")).when(F.col("doc_id") % 3 == 2, F.lit(" ")).otherwise(F.lit(""))).alias("line"))).select("line_no", "actor", "event_type", F.md5(F.when(F.col("event_type") == "record", F.col("content"))).alias("content")),
+    """SELECT doc_id AS line_no, CASE WHEN doc_id % 3 <> 1 THEN trim(lang) END AS actor, CASE WHEN doc_id % 3 = 1 THEN 'unstructured' ELSE 'record' END AS event_type,
+  CASE WHEN doc_id % 3 <> 1 THEN md5(CASE WHEN coalesce(text, '') = '' THEN concat_ws(' | ', 'sender: ' || lang) ELSE text END) END AS content FROM documents""")
 add("rows_to_events", on("nation", lambda t: records.rows_to_events(t.withColumnRenamed("n_name", "name"), ["n_nationkey"], "nation").select("line_no", "actor", F.col("ts").cast("string").alias("ts"), "event_type")),
     "SELECT CAST(n_nationkey + 1 AS INTEGER) AS line_no, n_name AS actor, strftime(TIMESTAMP '2024-01-01 08:00:00' + (n_nationkey + 1) * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ts, 'record' AS event_type FROM nation")
 
