@@ -30,4 +30,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = fresh_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._tidewell_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing reads any more, so that disk holds what later steps need."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._tidewell_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
