@@ -24,11 +24,26 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = {"_tw_m_words": -1, "_tw_m_word_len": 1, "_tw_m_symbols": 1, "_tw_m_dup_lines": 1, "_tw_m_repeats": 1}
 #: Rows of a group below which the language's thresholds hold, and below which all rows' hold.
 LEAST_ROWS = 100
-#: Distance from a quartile, in quartile ranges, beyond which a value is rejected; and the least range of each measure.
-#: A group whose quartile is 0 thus allows 30 duplicate lines and 300 repeated words in 1000 words; the fixed rules leave 500 repeats.
-#: Of sf0.1's texts labelled good that the fixed rules keep (3243) none is rejected, of those labelled bad (291) all are.
+#: Distance from a quartile, in quartile ranges, beyond which a value is rejected.
 FENCE = 3
-LEAST_RANGE = {"_tw_m_words": 20, "_tw_m_word_len": 500, "_tw_m_symbols": 10, "_tw_m_dup_lines": 10, "_tw_m_repeats": 100}
+#: A range is never less than what so many symbols, lines or words make of a text of the group's median length, nor a 16th of the word length.
+EVENTS = {"_tw_m_symbols": 10, "_tw_m_dup_lines": 2, "_tw_m_repeats": 20}
+_W, _L = "greatest(_tw_m_words_q2, 1)", "greatest(_tw_m_words_q2 * _tw_m_word_len_q2 div 1000, 1)"
+
+
+def _high(m: str, least: str) -> str:
+    return f"{m}_q3 + {FENCE} * greatest({m}_q3 - {m}_q1, {least})"
+
+
+#: SQL of each measure's limit, by its group's quartiles. Lengths vary by factors, so a text is too short if it
+#: falls as far below the lower quartile as the square of the factor (1.1 at least) between that and the median.
+LIMITS = {
+    "_tw_m_words": f"case when 10 * _tw_m_words_q2 < 11 * _tw_m_words_q1 then _tw_m_words_q1 * 100 div 121 else _tw_m_words_q1 * _tw_m_words_q1 div {_W} * _tw_m_words_q1 div {_W} end",
+    "_tw_m_word_len": _high("_tw_m_word_len", "_tw_m_word_len_q3 div 16"),
+    "_tw_m_symbols": _high("_tw_m_symbols", f"{EVENTS['_tw_m_symbols']} * 1000 div {_L}"),
+    "_tw_m_dup_lines": _high("_tw_m_dup_lines", f"{EVENTS['_tw_m_dup_lines']} * 1000 div {_W}"),
+    "_tw_m_repeats": _high("_tw_m_repeats", f"{EVENTS['_tw_m_repeats']} * 1000 div {_W}"),
+}
 #: Leading bits of a value that a sketch keeps: its error is below 1 / 2**(BITS - 1) of the value.
 BITS = 6
 
@@ -111,12 +126,11 @@ def sketches(rows: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """The lower and upper quartile of each group and measure, and its rows."""
+    """The quartiles of each group and measure, and its rows."""
     part = ", ".join([*groups, "measure"])
     ranked = sketch.selectExpr("*", f"sum(n) over (partition by {part} order by bucket) as upto", f"sum(n) over (partition by {part}) as total")
     return ranked.groupBy(*groups, "measure").agg(
-        F.min(F.expr(f"case when upto * 4 >= total then {bucket_floor('bucket')} end")).alias("q1"),
-        F.min(F.expr(f"case when upto * 4 >= total * 3 then {bucket_floor('bucket')} end")).alias("q3"),
+        *[F.min(F.expr(f"case when upto * 4 >= total * {k} then {bucket_floor('bucket')} end")).alias(f"q{k}") for k in (1, 2, 3)],
         F.max("total").alias("rows"),
     )
 
@@ -133,16 +147,12 @@ def thresholds(rows: DataFrame) -> DataFrame:
     by_lang = sketch.groupBy("_tw_lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     by_all = sketch.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
     own = quartiles(sketch, groups)
-    lang = quartiles(by_lang, ["_tw_lang"]).select(F.col("_tw_lang").alias("_l"), F.col("measure").alias("_m"), F.col("q1").alias("l1"), F.col("q3").alias("l3"), F.col("rows").alias("l_rows"))
-    all_ = quartiles(by_all, []).select(F.col("measure").alias("_a"), F.col("q1").alias("a1"), F.col("q3").alias("a3"))
-    met = own.join(lang, F.col("_tw_lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_m"))).join(all_, F.col("measure") == F.col("_a"))
-    pick = lambda k: f"case when rows >= {LEAST_ROWS} then q{k} when l_rows >= {LEAST_ROWS} then l{k} else a{k} end"
-    least = "case measure " + " ".join(f"when '{m}' then {v}" for m, v in LEAST_RANGE.items()) + " end"
-    limit = met.selectExpr(*groups, "measure", f"{pick(1)} as q1", f"{pick(3)} as q3", f"{least} as least").selectExpr(
-        *groups, "measure", f"q1 - {FENCE} * greatest(q3 - q1, least) as low", f"q3 + {FENCE} * greatest(q3 - q1, least) as high"
-    )
-    side = [F.max(F.when(F.col("measure") == m, F.col("low" if s < 0 else "high"))).alias(f"{m}_limit") for m, s in MEASURES.items()]
-    return limit.groupBy(*groups).agg(*side)
+    renamed = lambda q, by, x: q.select(*[F.col(c).alias(f"_{x}") for c in by], F.col("measure").alias(f"_m{x}"), *[F.col(f"q{k}").alias(f"{x}{k}") for k in (1, 2, 3)], F.col("rows").alias(f"{x}_rows"))
+    lang, all_ = renamed(quartiles(by_lang, ["_tw_lang"]), ["_tw_lang"], "l"), renamed(quartiles(by_all, []), [], "a")
+    met = own.join(lang, F.col("_tw_lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_ml"))).join(all_, F.col("measure") == F.col("_ma"))
+    pick = lambda k: F.expr(f"case when rows >= {LEAST_ROWS} then q{k} when l_rows >= {LEAST_ROWS} then l{k} else a{k} end")
+    wide = met.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == m, pick(k))).alias(f"{m}_q{k}") for m in MEASURES for k in (1, 2, 3)])
+    return wide.select(*groups, *[F.expr(limit).cast("long").alias(f"{m}_limit") for m, limit in LIMITS.items()])
 
 
 FIXED_RULES = "_tw_n_words < 50 or 100 * _tw_n_repeat_words > 50 * _tw_n_words"

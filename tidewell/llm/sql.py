@@ -63,14 +63,12 @@ def _quartiles(name: str, source: str, groups: str) -> str:
     by = f"{groups}, " if groups else ""
     floor = f"((bucket % {1 << q.BITS}) << greatest(bucket // {1 << q.BITS} - {q.BITS}, 0))"
     return f"""{name} AS (
-  SELECT {by}measure, min({floor}) FILTER (upto * 4 >= total) AS q1, min({floor}) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS total
+  SELECT {by}measure, {", ".join(f"min({floor}) FILTER (upto * 4 >= total * {k}) AS q{k}" for k in (1, 2, 3))}, max(total) AS total
   FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS total
         FROM (SELECT {by}measure, bucket, sum(n) AS n FROM {source} GROUP BY ALL)) GROUP BY ALL
 )"""
 
 
-_LEAST = " ".join(f"WHEN '{m}' THEN {v}" for m, v in q.LEAST_RANGE.items())
-_LIMIT = f"{q.FENCE} * greatest(q3 - q1, CASE measure {_LEAST} END)"
 _PICK = "CASE WHEN s.total >= {n} THEN s.q{k} WHEN l.total >= {n} THEN l.q{k} ELSE a.q{k} END"
 
 QUALITY = rf"""
@@ -102,10 +100,12 @@ WITH tokens AS (
     {" UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, m.{m} AS value FROM ruled WHERE NOT base_failed" for m in q.MEASURES)})
 ), {_quartiles("own", "long", "lang, source")}, {_quartiles("by_lang", "long", "lang")}, {_quartiles("by_all", "long", "")},
 picked AS (
-  SELECT s.lang, s.source, measure, {_PICK.format(n=q.LEAST_ROWS, k=1)} AS q1, {_PICK.format(n=q.LEAST_ROWS, k=3)} AS q3
+  SELECT s.lang, s.source, measure, {", ".join(f"{_PICK.format(n=q.LEAST_ROWS, k=k)} AS q{k}" for k in (1, 2, 3))}
   FROM own s JOIN by_lang l USING (measure) JOIN by_all a USING (measure) WHERE s.lang IS NOT DISTINCT FROM l.lang
+), wide AS (
+  SELECT lang, source, {", ".join(f"max(q{k}) FILTER (measure = '{m}') AS {m}_q{k}" for m in q.MEASURES for k in (1, 2, 3))} FROM picked GROUP BY ALL
 ), limits AS (
-  SELECT lang, source, {", ".join(f"max({'q1 - ' if s < 0 else 'q3 + '}{_LIMIT}) FILTER (measure = '{m}') AS {m}_limit" for m, s in q.MEASURES.items())} FROM picked GROUP BY ALL
+  SELECT lang, source, {", ".join(f"{limit.replace(' div ', ' // ')} AS {m}_limit" for m, limit in q.LIMITS.items())} FROM wide
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce({" OR ".join(f"m.{m} {'<' if s < 0 else '>'} {m}_limit" for m, s in q.MEASURES.items())}, false) AS kept
