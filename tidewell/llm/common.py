@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset in local mode (as in tests), a temporary one for the application."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        at = _local[app] = _local.get(app) or "file://" + tempfile.mkdtemp(prefix="tidewell-")
-    return at.rstrip("/")
-
+from ..shared import discard, fresh_dir, materialize, shared_dir
 
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+__all__ = ["bloom_bits", "bloom_of", "bucketed", "discard", "fresh_dir", "given_names", "in_bloom", "lower_ascii", "materialize", "mix", "read_table", "shared_dir", "shingles", "word_hashes"]
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = fresh_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
@@ -156,20 +134,30 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out, width)
 
 
-# A Bloom filter of fixed size: 2**bits positions, so it may be broadcast whatever the table's size.
-BLOOM_BITS = 23
 BLOOM_HASHES = 3
+#: Bits of a Bloom filter that tasks hold at most (32 MB), and the keys of which it lets few others through.
+BLOOM_MAX_BITS = 28
+BLOOM_KEYS = 1 << 25
+
+
+def bloom_bits(n: int) -> int:
+    """The bits, as a power of two, of a filter of n keys: eight to sixteen a key, BLOOM_MAX_BITS at most."""
+    return min(BLOOM_MAX_BITS, max(16, math.ceil(math.log2(8 * max(n, 1)))))
+
+
+def _bloom_shifts(bits: int) -> list[int]:
+    """Where in a hash its positions begin: beside each other if they fit, else overlapping."""
+    return [k * min(bits, (64 - bits) // (BLOOM_HASHES - 1)) for k in range(BLOOM_HASHES)]
 
 
-def bloom_of(hashes: DataFrame, column: str, bits: int = BLOOM_BITS) -> bytes:
+def bloom_of(hashes: DataFrame, column: str, bits: int) -> bytes:
     """A Bloom filter of a long column, as a bitmap of 2**bits bits.
 
     Spark sets the bits: each hash gives three positions, and words of 32 bits
     are or-ed together, so at most 2**bits / 32 rows reach the driver.
     """
     x = F.col(column)
-    step = bits
-    spots = F.explode(F.array(*[F.shiftrightunsigned(x, k * step + 1).bitwiseAND((1 << bits) - 1) for k in range(BLOOM_HASHES - 1)], x.bitwiseAND((1 << bits) - 1)))
+    spots = F.explode(F.array(*[F.shiftrightunsigned(x, k).bitwiseAND((1 << bits) - 1) for k in _bloom_shifts(bits)]))
     words = (
         hashes.where(x.isNotNull())
         .select(spots.alias("spot"))
@@ -189,7 +177,7 @@ def in_bloom(bitmap: bytes, h: np.ndarray) -> np.ndarray:
     low = np.uint64((1 << bits) - 1)
     ok = np.ones(len(h), bool)
     left = np.arange(len(h))
-    for shift in (0, *[k * bits + 1 for k in range(BLOOM_HASHES - 1)]):
+    for shift in _bloom_shifts(bits):
         spot = (h[left] >> np.uint64(shift)) & low
         is_set = (words[(spot >> np.uint64(5)).astype(np.int64)] >> (spot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
         ok[left[~is_set]] = False

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -34,6 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         hung = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = hung.where("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "small")
+        before, edges = edges, materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "small")
+        discard(before, large)
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     return materialize(labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), "labels")

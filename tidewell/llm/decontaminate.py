@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, bloom_of, in_bloom, materialize, shingles, word_hashes
+from .common import NOT_ALNUM, bloom_bits, bloom_of, in_bloom, materialize, shingles, word_hashes
 
 WINDOW, WIDTH = 13, 3
 _WINDOWS = "item_id string, words binary, n int, at int, shingle long"
@@ -47,12 +47,12 @@ def item_windows(items: DataFrame, window: int = WINDOW, width: int = WIDTH, id_
 def prefixes(docs: DataFrame, windows: DataFrame, width: int = WIDTH, text_col: str = "text") -> DataFrame:
     """Each distinct window with its rarest shingle: words, n, at, shingle, and the items that have the window.
 
-    Rarity is the shingle's count in all documents. A Bloom filter of fixed size
+    Rarity is the shingle's count in all documents. A Bloom filter
     lets tasks count only shingles that some window has.
     """
     # A window of fewer words than a shingle is one short shingle; its length is part of its hash.
     lengths = sorted(r[0] for r in windows.select(F.least("n", F.lit(width)).alias("k")).distinct().collect())
-    bitmap = bloom_of(windows, "shingle")
+    bitmap = bloom_of(windows, "shingle", bloom_bits(windows.count()))
 
     def count(batches):
         hashes = word_hashes(NOT_ALNUM)
@@ -84,7 +84,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, width:
     windows = materialize(item_windows(items, window, width), "windows")
     prefix = materialize(prefixes(docs, windows, width, text_col), "prefixes")
     lengths = sorted(r[0] for r in prefix.select(F.least("n", F.lit(width)).alias("k")).distinct().collect())
-    bitmap = bloom_of(prefix, "shingle")
+    bitmap = bloom_of(prefix, "shingle", bloom_bits(prefix.count()))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def scan(batches):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_of, in_bloom, materialize, mix, shingles, word_hashes
+from .common import BLOOM_KEYS, bloom_bits, bloom_of, discard, in_bloom, materialize, mix, shingles, word_hashes
 from .components import components
 
 WIDTH, PERCENT = 3, 90
@@ -205,16 +205,31 @@ def may_link(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> D
 
 
 def sets_of(docs: DataFrame, signed: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The sets of the nodes in ``pairs``: node, set. Texts that no pair needs are passed over by a Bloom filter."""
+    """The sets of the nodes in ``pairs``: node, set. Texts that no pair needs are passed over by a Bloom filter of the needed ones.
+
+    More keys than a filter holds are looked for in several passes over the texts.
+    """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
     chosen = materialize(signed.join(needed, F.col("node") == F.col("_n"), "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")), "needed")
-    bitmap = bloom_of(chosen, "text_key")
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.xxhash64(text).alias("k"), text.alias("text"))
+    n = chosen.count()
+    passes = max(1, -(-n // BLOOM_KEYS))
+    made = reduce(DataFrame.unionByName, [_sets_in(texts, bloom_of(chosen.where(F.pmod("text_key", F.lit(passes)) == p), "text_key", bloom_bits(-(-n // passes))), width, passes, p) for p in range(passes)])
+    met = made.withColumnRenamed("text_key", "_k").join(chosen, F.col("_k") == F.col("text_key")).select("node", "set")
+    sets = materialize(met.groupBy("node").agg(F.min("set").alias("set")), "sets")
+    discard(chosen)
+    return sets
+
+
+def _sets_in(texts: DataFrame, bitmap: bytes, width: int, passes: int, turn: int) -> DataFrame:
+    """(text_key, set) of the texts whose keys may be in the filter, of every ``passes``-th key; once a task."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            at = np.flatnonzero(in_bloom(bitmap, keys.view(np.uint64)))
+            at = np.flatnonzero(in_bloom(bitmap, keys.view(np.uint64)) & (keys % passes == turn))
             got, sets, texts = [], [], batch.column(1)
             for i in at.tolist():
                 key = int(keys[i])
@@ -224,10 +239,7 @@ def sets_of(docs: DataFrame, signed: DataFrame, pairs: DataFrame, width: int, id
                     sets.append(distinct_shingles(texts[i].as_py(), width).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "set"])
 
-    text = F.col(f"`{text_col}`").cast("string")
-    made = docs.select(F.xxhash64(text).alias("k"), text.alias("text")).mapInArrow(run, "text_key long, set array<long>")
-    met = made.withColumnRenamed("text_key", "_k").join(chosen, F.col("_k") == F.col("text_key")).select("node", "set")
-    return materialize(met.groupBy("node").agg(F.min("set").alias("set")), "sets")
+    return texts.mapInArrow(run, "text_key long, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -265,11 +277,14 @@ def _first_labels(links: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, label: DataFrame, least: int) -> DataFrame:
     """Members (sig, node, m, comp) of signatures with more than ``least`` nodes, of several labels; one signature of those with equal nodes."""
-    at = materialize(_labelled(members, label), "labelled")
+    at = materialize(_labelled(members, label), "labelled")  # read twice
     facts = at.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
     left = facts.where((F.col("c1") < F.col("c2")) & (F.col("m") > least)).groupBy("m", "h").agg(F.min("sig").alias("_s")).select("_s", F.col("m"))
     # Written first, so that a signature of very many nodes isn't shuffled where few signatures are left.
-    return materialize(at.join(materialize(left, "open-sigs"), F.col("sig") == F.col("_s")).select("sig", "node", "m", "comp"), "open")
+    sigs = materialize(left, "open-sigs")
+    found = materialize(at.join(sigs, F.col("sig") == F.col("_s")).select("sig", "node", "m", "comp"), "open")
+    discard(at, sigs)
+    return found
 
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
@@ -318,9 +333,12 @@ def _maybe_linked(sent: DataFrame, sketches: DataFrame, percent: int) -> DataFra
         comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
         sketches = table.column("sketch").to_pylist()
         size = min(map(len, sketches))
-        # Equal bits less unequal ones, for all pairs at once: a product of signs.
-        signs = np.unpackbits(np.array([folded(x, size) for x in sketches]), axis=1).astype(np.float32) * 2 - 1
-        apart = (8 * size - signs @ signs.T) / 2
+        # Equal bits less unequal ones, for all pairs at once: a product of signs, of some thousand bits at a time.
+        bits, same = np.array([folded(x, size) for x in sketches]), np.zeros((len(n), len(n)), np.float32)
+        for lo in range(0, size, 512):
+            signs = np.unpackbits(bits[:, lo : lo + 512], axis=1).astype(np.float32) * 2 - 1
+            same += signs @ signs.T
+        apart = (8 * size - same) / 2
         near = (apart * (100 + percent) <= (n[:, None] + n[None, :]) * (100 - percent)) & (comp[:, None] != comp[None, :])
         return table.select(["pair", "node", "comp"]).filter(pa.array(near.any(axis=1)))
 
@@ -383,20 +401,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     signed = materialize(sign(docs, width, percent, id_col, text_col), "signed")
     sketches = materialize(signed.where("sketch is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
     members, stars = shared(signed)
-    sets = lambda nodes: sets_of(docs, signed, nodes, width, id_col, text_col)
-    near = materialize(may_link(stars, sketches, percent), "star-near")
-    links = [materialize(verified(near, sets(near), percent), "star-links")]
+
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        """The linked ones of pairs that may be; what it takes to tell them is deleted at once."""
+        sets = sets_of(docs, signed, pairs, width, id_col, text_col)
+        found = materialize(verified(pairs, sets, percent), label)
+        discard(pairs, sets)
+        return found
+
+    links = [linked(materialize(may_link(stars, sketches, percent), "star-near"), "star-links")]
     open_ = _open(members, _first_labels(links[0]), 2)
     large = open_.where(F.col("m") > SMALL)
     near = materialize(may_link(_small_pairs(open_.where(F.col("m") <= SMALL)).unionByName(_hub_pairs(large)).distinct(), sketches, percent), "open-near")
-    links.append(materialize(verified(near, sets(near), percent), "open-links"))
+    links.append(linked(near, "open-links"))
     label = components(reduce(DataFrame.unionByName, links))
     if not large.isEmpty():
         # Blocks send a node's set once for each signature, so they only get what exact components leave apart.
         sent = materialize(_maybe_linked(_block_pairs(_open(large.select("sig", "node"), label, SMALL)), sketches, percent), "screened")
-        links.append(materialize(_block_links(sent, sets(sent.selectExpr("node as a", "node as b")), percent), "block-links"))
+        sets = sets_of(docs, signed, sent.selectExpr("node as a", "node as b"), width, id_col, text_col)
+        links.append(materialize(_block_links(sent, sets, percent), "block-links"))
+        discard(sent, sets)
         if not links[-1].isEmpty():
             label = components(reduce(DataFrame.unionByName, links))
+    discard(open_, sketches)
     return _result(signed, label)
 
 
