@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import STOP_WORDS
 from ..functions.text import date_matches, found, remove_stop_words
 from ..functions.times import parse_ts
+from ..shared import materialize
 
 
 def document_tokens(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
@@ -38,31 +40,76 @@ def document_totals(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"), F.sum("pages").alias("pages"))
 
 
-def document_similarity(docs: DataFrame, id_col: str = "doc_id", min_percent: int = 1, max_df: int | None = None) -> DataFrame:
-    """Jaccard similarity of token sets for pairs that share a token: a, b, percent.
+#: Words of 64 bits in a document's sketch, and index rows of a token and size beyond which they are split.
+SKETCH_WORDS, HOT_ROWS = 32, 1024
+
+
+def _sketch(token: str) -> list[Column]:
+    """The parity of a set's tokens in SKETCH_WORDS words, as aggregates: two sketches never differ in more bits than their sets do in tokens."""
+    h = F.xxhash64(token)
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(SKETCH_WORDS)), F.expr(f"shiftleft(1L, cast(xxhash64({token}) & 63 as int))")
+    return [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(SKETCH_WORDS)]
+
+
+def _similar_nodes(toks: DataFrame, min_percent: int) -> DataFrame:
+    """(a, b, k, u) of nodes whose sets (rows id, token, df) are as similar: a < b, common tokens, all tokens.
 
-    Pairs below ``min_percent`` are left out before they meet: only tokens of a
-    document's prefix, its rarest ones, are joined, since sets as similar as that
-    share one of them. ``max_df`` leaves out tokens of more documents than that
-    and makes the result approximate.
+    Of two sets the smaller one is found by its rarest tokens, so few that the
+    other must have one of them among its own rarest. A token's rows are split
+    by size, and by hash where they are many, so a hot token is many tasks.
+    Candidates are screened by sketches before their sets meet.
     """
-    toks = document_tokens(docs).select(F.col(id_col).alias("id"), F.explode(F.array_distinct("tokens")).alias("token"))
-    df = toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    toks = toks.join(df if max_df is None else df.where(F.col("df") <= max_df), "token")
+    p = min_percent
     w = Window.partitionBy("id")
     ranked = toks.withColumns({"n": F.count(F.lit(1)).over(w), "rank": F.row_number().over(w.orderBy("df", "token"))})
-    sets = ranked.groupBy("id").agg(F.collect_list("token").alias("set"))
     # Whole numbers throughout: a share of n * 0.07 rounds above 7 for n = 100.
-    prefix = ranked.where(F.expr(f"rank <= n - (n * {min_percent} + 99) div 100 + 1")).select("id", "token", "n", "rank")
-    a, b = prefix.alias("x"), prefix.alias("y")
-    # By length, and by position: of the tokens from this one on enough must be common.
-    near = f"""x.token = y.token and x.id < y.id and least(x.n, y.n) * 100 >= {min_percent} * greatest(x.n, y.n)
-      and (least(x.n - x.rank, y.n - y.rank) + least(x.rank, y.rank)) * {100 + min_percent} >= {min_percent} * (x.n + y.n)"""
-    pairs = a.join(b, F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    least = {"x": f"rank <= n - (2 * {p} * n + {99 + p}) div {100 + p} + 1", "y": f"rank <= n - (n * {p} + 99) div 100 + 1"}
+    rows = materialize(ranked.where(least["y"]).select("id", "token", "n", "rank", F.length(F.bin("n")).alias("size")), "prefixes")
+    index = rows.where(least["x"])
+    hot = index.groupBy("token", "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT_ROWS)
+    hot = materialize(hot.select(F.col("token").alias("_t"), F.col("size").alias("_s"), F.ceil(F.col("k") / HOT_ROWS).cast("int").alias("splits")), "hot-tokens")
+    split = lambda df, size: df.join(hot, (F.col("token") == F.col("_t")) & (F.col(size) == F.col("_s")), "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
+    x = split(index, "size").select("id", "token", "n", "rank", "size", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int").alias("part"))
+    # A set as similar has at least p hundredths of the tokens, so its size in bits is among the next lower ones.
+    reach = next(j for j in range(1, 8) if p << j >= 100)
+    y = rows.withColumn("sought", F.explode(F.sequence(F.greatest(F.lit(1), F.col("size") - reach), F.col("size"))))
+    y = split(y, "sought").select("id", "token", "n", "rank", "sought", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part"))
+    # By length, and by position: the tokens before this one, it, and those after it must suffice.
+    near = f"""x.token = y.token and x.size = y.sought and x.part = y.part and (x.n < y.n or x.n = y.n and x.id < y.id) and x.n * 100 >= {p} * y.n
+      and (least(x.n - x.rank, y.n - y.rank) + least(x.rank, y.rank)) * {100 + p} >= {p} * (x.n + y.n)"""
+    pairs = x.alias("x").join(y.alias("y"), F.expr(near)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    sketches = materialize(toks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *_sketch("token")), "sketches")
+    side = lambda k: sketches.select(F.col("id").alias(f"_{k}"), *[F.col(c).alias(f"{k}_{c}") for c in sketches.columns[1:]])
+    apart = reduce(lambda s, t: s + t, [F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(SKETCH_WORDS)])
+    met = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    close = materialize(met.where(apart * (100 + p) <= (F.col("a_n") + F.col("b_n")) * (100 - p)).select("a", "b"), "close")
+    needed = close.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
+    sets = materialize(toks.join(needed, F.col("id") == F.col("_n"), "left_semi").groupBy("id").agg(F.collect_list("token").alias("set")), "sets")
+    of = lambda k: sets.select(F.col("id").alias(f"_{k}"), F.col("set").alias(f"s{k}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return met.select("a", "b", (100.0 * both / union).alias("s"), both.alias("k"), union.alias("u")).where(F.col("k") * 100 >= F.col("u") * min_percent).select("a", "b", F.round("s").cast("long").alias("percent"))
+    full = close.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select("a", "b", both.alias("k"), (F.size("sa") + F.size("sb")).alias("u"))
+    return full.select("a", "b", "k", (F.col("u") - F.col("k")).alias("u")).where(F.col("k") * 100 >= F.col("u") * p)
+
+
+def document_similarity(docs: DataFrame, id_col: str = "doc_id", min_percent: int = 1, max_df: int | None = None) -> DataFrame:
+    """Jaccard similarity of token sets for pairs that share a token: a, b, percent.
+
+    Documents with equal sets are compared as one; their pairs come back at the
+    end. Pairs below ``min_percent`` are left out before they meet. ``max_df``
+    leaves out tokens of more documents than that and makes the result
+    approximate. Documents without tokens are in no pair.
+    """
+    given = document_tokens(docs).select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct("tokens")).alias("set")).where(F.size("set") > 0)
+    members = materialize(given.select("id", F.sha2(F.array_join("set", " "), 256).alias("node")).distinct(), "members")
+    first = members.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    toks = given.join(first.select("rep", "copies"), F.col("id") == F.col("rep")).select("id", "copies", F.explode("set").alias("token")).distinct()
+    df = toks.groupBy("token").agg(F.sum("copies").alias("df"))
+    pairs = _similar_nodes(materialize(toks.join(df if max_df is None else df.where(F.col("df") <= max_df), "token").drop("copies"), "tokens"), min_percent)
+    placed = materialize(members.join(first, "node").select("id", "rep"), "placed")
+    side = lambda k: placed.select(F.col("id").alias(f"id_{k}"), F.col("rep").alias(f"_{k}"))
+    apart = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("id_a", "id_b", "k", "u")
+    copies = side("a").join(side("b"), (F.col("_a") == F.col("_b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b", F.lit(1).alias("k"), F.lit(1).alias("u"))
+    return apart.unionByName(copies).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.round(100.0 * F.col("k") / F.col("u")).cast("long").alias("percent"))
 
 
 def most_similar(pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import URGENCY_TERMS
+from ..functions.terms import term_names, term_numbers
 from ..functions.text import ellipsize
 from .sequence import top_k_per, trailing_count, with_previous, with_session
 from .volume import DAY, seconds
@@ -45,8 +46,9 @@ def edges_between(pairs: DataFrame, min_exchanges: int = 0, name: str | None = N
 
 def threads(ev: DataFrame, gap_secs: int = 900, min_messages: int = 3, samples: int = 6, limit: int | None = 30) -> DataFrame:
     """Runs of events with gaps of ``gap_secs`` at most: size, minutes, initiator, participants, title, first messages; the ``limit`` largest, of n_threads."""
-    run = with_session(ev.select("id", "dataset_id", "actor", "ts", "content"), gap_secs)
-    first = F.min(F.struct("ts", "id", "actor", "content"))
+    # Texts are only read for the titles of the largest.
+    run = with_session(ev.select("id", "dataset_id", "actor", "ts"), gap_secs)
+    first = F.min(F.struct("ts", "id", "actor"))
     rows = run.groupBy("dataset_id", "session").agg(
         F.count(F.lit(1)).alias("messages"),
         F.min("ts").alias("start_ts"),
@@ -58,10 +60,12 @@ def threads(ev: DataFrame, gap_secs: int = 900, min_messages: int = 3, samples:
     best = top_k_per(rows, ["dataset_id"], limit, [F.desc("messages"), F.asc("start_ts")]).join(total, "dataset_id")
     shown = run.join(best.select("dataset_id", "session"), ["dataset_id", "session"], "left_semi")
     sample = top_k_per(shown, ["dataset_id", "session"], samples, [F.asc("ts"), F.asc("id")]).groupBy("dataset_id", "session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("sample_ids"))
-    return best.join(sample, ["dataset_id", "session"]).select(
+    title = ev.select(F.col("dataset_id").alias("_d"), F.col("id").alias("_id"), F.col("ts").alias("_ts"), ellipsize(F.col("content"), 60).alias("title"))
+    opened = best.join(sample, ["dataset_id", "session"])
+    return opened.join(title, (F.col("dataset_id") == F.col("_d")) & (F.col("session.id") == F.col("_id")) & (F.col("session.ts") == F.col("_ts"))).select(
         "dataset_id", "rank", "n_threads", F.col("session.id").alias("first_id"), "messages", "start_ts", "end_ts",
         F.greatest(F.lit(1), F.round(seconds(F.col("start_ts"), F.col("end_ts")) / 60)).cast("long").alias("minutes"),
-        F.coalesce("_first.actor", F.lit("Unknown")).alias("initiator"), "participants", ellipsize(F.col("_first.content"), 60).alias("title"), "sample_ids",
+        F.coalesce("_first.actor", F.lit("Unknown")).alias("initiator"), "participants", "title", "sample_ids",
     )
 
 
@@ -130,9 +134,8 @@ def dormancy_gaps(ev: DataFrame, days: float = 14, warning: float = 45, limit: i
 
 def matched_terms(c: Column, terms: Iterable[str], whole_word: bool = False) -> Column:
     """The terms that a text contains, in their order."""
-    low = F.lower(c)
-    hit = lambda t: low.rlike(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])") if whole_word else F.contains(low, F.lit(t))
-    return F.filter(F.array(*[F.when(hit(t), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
+    terms = list(terms)
+    return term_names(term_numbers(c, terms, whole_word), terms)
 
 
 def urgency_spikes(ev: DataFrame, terms: Iterable[str] = URGENCY_TERMS, least: int = 2, critical: int = 3, limit: int | None = 15) -> DataFrame:

@@ -4,30 +4,43 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TOPICS
+from ..functions.terms import term_names, term_numbers
 from ..functions.text import pearson
+from ..shared import materialize
 from . import volume, words
-from .relations import matched_terms
 from .sequence import top_k_per
 from .volume import DAY, seconds
 
 
+def _between(numbers: str, lo: int, hi: int) -> Column:
+    return F.filter(numbers, lambda h: (h >= lo) & (h < hi))
+
+
 def assign_topics(ev: DataFrame, topics: dict[str, tuple[str, list[str]]] = TOPICS, whole_word: bool = False) -> DataFrame:
-    """Adds topic, the one with most of its terms in the text (ties: the first), or general, and the terms."""
-    hits = [F.struct(matched_terms(F.col("content"), terms, whole_word).alias("terms"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, (_, terms)) in enumerate(topics.items())]
-    ranked = F.transform(F.array(*hits), lambda h: F.struct(F.size(h["terms"]).alias("n"), h["o"].alias("o"), h["name"].alias("name"), h["terms"].alias("terms")))
-    best = ev.withColumn("_b", F.array_max(ranked))
+    """Adds topic, the one with most of its terms in the text (ties: the first), or general, and the terms.
+
+    All topics' terms are looked for in one pass over a text.
+    """
+    listed = [t for _, terms in topics.values() for t in terms]
+    hits = ev.withColumn("_hits", term_numbers(F.col("content"), listed, whole_word))
+    made, at = [], 0
+    for i, (name, (_, terms)) in enumerate(topics.items()):
+        own = _between("_hits", at, at + len(terms))
+        made.append(F.struct(F.size(own).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name"), own.alias("own")))
+        at += len(terms)
+    best = hits.withColumn("_b", F.array_max(F.array(*made)))
     some = F.col("_b.n") > 0
-    return best.select(*ev.columns, F.when(some, F.col("_b.name")).otherwise(F.lit("general")).alias("topic"), F.when(some, F.col("_b.terms")).otherwise(F.array().cast("array<string>")).alias("terms"))
+    return best.select(*ev.columns, F.when(some, F.col("_b.name")).otherwise(F.lit("general")).alias("topic"), F.when(some, term_names(F.col("_b.own"), listed)).otherwise(F.array().cast("array<string>")).alias("terms"))
 
 
 def topic_report(assigned: DataFrame, keywords: int = 10, actors: int = 5, samples: int = 5) -> DataFrame:
     """Events, share, keywords, actors and first events of each topic."""
     key = ["dataset_id", "topic"]
-    assigned = assigned.select(*key, "id", "actor", "ts", "terms").persist()  # five aggregates read it
+    assigned = materialize(assigned.select(*key, "id", "actor", "ts", "terms"), "topics")  # five aggregates read it
     counts = assigned.groupBy(*key).agg(F.count(F.lit(1)).alias("messages"))
     total = assigned.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"))
     listed = lambda df, col, out: df.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", col))), lambda s: s[col]).alias(out))

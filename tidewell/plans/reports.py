@@ -15,11 +15,18 @@ from .testbed import WITH_EV, testbed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Reports that read no text.
+TEXTLESS = {
+    "by_hour", "by_weekday", "by_date", "timeline_hour", "timeline_day", "timeline_week", "timeline_month", "timeline_year", "peak_bucket", "activity_matrix", "activity_pivot", "peaks", "activity_summary",
+    "longest_streak", "longest_gap", "response_times", "fastest_responder", "fastest_responder_median", "primary_actor", "first_last", "milestones", "dataset_rollup", "corpus_totals", "on_this_day_events",
+    "relationships", "strong_edges", "late_night_surges", "velocity_bursts", "greedy_bursts", "dormancy_gaps", "ghost_participants", "layout_events", "concurrent_days", "temporal_overlap", "hourly_synchronicity",
+    "correlate_all", "month_index",
+}
 
 
 def add(name: str, make: Callable[[DataFrame], DataFrame], sql: str | None = None, dates: tuple[str, ...] = ()) -> None:
-    """Registers a query over the event table; the SQL goes on after tables ev and m. Dates are compared as text."""
-    QUERIES[name] = lambda spark, sf_dir: make(testbed(spark, sf_dir)).withColumns({c: F.col(c).cast("string") for c in dates})
+    """Registers a query over the event table, without its texts if none is read; the SQL goes on after tables ev and m. Dates are compared as text."""
+    QUERIES[name] = lambda spark, sf_dir: make(testbed(spark, sf_dir, name not in TEXTLESS)).withColumns({c: F.col(c).cast("string") for c in dates})
     if sql:
         replaced = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
         ORACLES[name] = f"SELECT * REPLACE ({replaced}) FROM ({WITH_EV + sql})" if dates else WITH_EV + sql

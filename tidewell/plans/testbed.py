@@ -52,6 +52,12 @@ def numbered(documents: DataFrame) -> DataFrame:
     return own.join(sizes, "_part").selectExpr("_before + _k as k", "text")
 
 
-def testbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The same without content, for reports that read no text: no document is numbered or joined.
+SLIM_SQL = EVENTS_SQL[: EVENTS_SQL.index(",\n       concat(coalesce(d.text")] + " FROM {events} e"
+
+
+def testbed(spark: SparkSession, sf_dir: str, content: bool = True) -> DataFrame:
+    if not content:
+        return spark.sql(SLIM_SQL, events=table(spark, sf_dir, "events"))
     documents = table(spark, sf_dir, "documents")
     return spark.sql(EVENTS_SQL, events=table(spark, sf_dir, "events"), documents=documents, numbered=numbered(documents))
