@@ -249,3 +249,47 @@ def test_trailing_count_over_days(spark):
     ev = spark.createDataFrame([(i, "d", base + dt.timedelta(hours=20 * i)) for i in range(8)], "id long, dataset_id string, ts timestamp")
     got = {x.id: x.recent for x in sequence.trailing_count(ev, 3 * 86_400).collect()}
     assert got == {i: sum(0 <= (i - j) * 20 <= 72 for j in range(i + 1)) for i in range(8)}
+
+
+def _scan_bursts(times, least, window, restart):
+    """The window's events one by one."""
+    out, a = [], 0
+    for z in range(len(times)):
+        while times[z] - times[a] > window:
+            a += 1
+        if z - a + 1 >= least:
+            out.append((times[a], times[z], z - a + 1))
+            a = min(a + restart, z)
+    return out
+
+
+@pytest.mark.parametrize(("least", "restart", "block"), [(4, 10, 7), (25, 10, 40), (5, 2, 16), (3, 1, 64), (6, 6, 1000)])
+def test_greedy_bursts_equal_a_scan_over_blocks(spark, least, restart, block):
+    import random
+    from datetime import datetime, timedelta
+
+    r, base = random.Random(least), datetime(2024, 1, 1)
+    data, want = [], []
+    for name, gaps in {"steady": [7] * 900, "mixed": [r.choice([1, 5, 20, 90, 400]) for _ in range(900)], "bursty": [1 if i % 100 < 60 else 300 for i in range(700)], "same": [0] * 200, "few": [1]}.items():
+        t, times = 0, []
+        for g in gaps:
+            t += g
+            times.append(t)
+        data += [(i, name, "a", base + timedelta(seconds=s)) for i, s in enumerate(times)]
+        want += [(name, base + timedelta(seconds=a), base + timedelta(seconds=z), n) for a, z, n in _scan_bursts(times, least, 300, restart)]
+    ev = spark.createDataFrame(data, "id long, dataset_id string, actor string, ts timestamp").repartition(4)
+    assert sorted(map(tuple, relations.greedy_bursts(ev, least, 300, restart, block).collect())) == sorted(want)
+
+
+def test_order_statistics_equal_sorting(spark):
+    import random
+
+    from tidewell.operators.sequence import order_statistic
+
+    r = random.Random(4)
+    rows = [(g, r.randrange(1 << 12) if g else 5) for g in (0, 1, 2, None) for _ in range(301 if g else 40)] + [(7, 0), (8, 4095), (8, 4095)]
+    got = order_statistic(spark.createDataFrame(rows, "g int, v long"), ["g"], "v", F.floor(F.col("n") / 2) + 1, 12).collect()
+    by = {}
+    for g, v in rows:
+        by.setdefault(g, []).append(v)
+    assert {x.g: (x.n, x.v) for x in got} == {g: (len(v), sorted(v)[len(v) // 2]) for g, v in by.items()}

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import URGENCY_TERMS
 from ..functions.terms import term_names, term_numbers
 from ..functions.text import ellipsize
-from .sequence import top_k_per, trailing_count, with_previous, with_session
+from ..shared import materialize
+from .sequence import top_k_per, trailing_count, with_number, with_previous, with_session
 from .volume import DAY, seconds
 
 HOUR = 3600
@@ -99,30 +102,59 @@ def velocity_bursts(ev: DataFrame, least: int = 25, window_secs: int = 300, crit
     return _earliest(_anomaly(run, "VELOCITY_BURST", sev, F.col("a"), F.col("z.ts"), F.coalesce("z.actor", F.lit("Multiple Participants")), F.col("peak"), F.col("session.id").cast("string")), limit)
 
 
-def greedy_bursts(ev: DataFrame, least: int = 25, window_secs: int = 300, restart: int = 10) -> DataFrame:
+def greedy_bursts(ev: DataFrame, least: int = 25, window_secs: int = 300, restart: int = 10, block: int = 100_000) -> DataFrame:
     """The other reading of a burst: a window that reports as soon as it holds ``least`` events and then starts ``restart`` events later.
 
-    Windows start anew after a gap above ``window_secs``, so each run of events
-    without one is read in order by one Python function; dataset_id, start_ts,
-    end_ts and messages come back.
+    Returns dataset_id, start_ts, end_ts and messages. Where a window may start
+    is told by an event and the one ``least`` - 1 after it; from one report the
+    next is the first such start a few events on. A block of events thus sends
+    each of few places of entry to a place of entry of the next block, and these
+    functions are composed by doubling, so a stream without any pause is as many
+    tasks as it has blocks. ``least`` is 2 or more, ``restart`` 1 or more.
     """
-
-    def scan(pdf):
-        import pandas as pd
-
-        t = pdf.sort_values(["ts", "id"], ignore_index=True)["ts"]
-        us, out, a, z = t.astype("int64").to_numpy() // {"ns": 1000, "us": 1}[t.dt.unit], [], 0, 0
-        while z < len(us):
-            while us[z] - us[a] > window_secs * 1_000_000:
-                a += 1
-            if z - a + 1 >= least:
-                out.append((t[a], t[z], z - a + 1))
-                a = min(a + restart, z)
-            z += 1
-        return pd.DataFrame({"dataset_id": pdf["dataset_id"].iloc[0], "start_ts": pd.Series([x[0] for x in out], dtype=t.dtype), "end_ts": pd.Series([x[1] for x in out], dtype=t.dtype), "messages": pd.Series([x[2] for x in out], dtype="int64")})
-
-    rows = with_session(ev.select("dataset_id", "id", F.col("ts").cast("timestamp").alias("ts")), window_secs)
-    return rows.groupBy("dataset_id", "session").applyInPandas(scan, "dataset_id string, start_ts timestamp, end_ts timestamp, messages long")
+    if least < 2 or restart < 1:
+        raise ValueError("a burst has two events and more, and the next one starts later")
+    size, step, key = max(block, least), min(restart, least - 1), ["dataset_id", "block"]
+    at = F.col("n") - 1
+    own = F.floor(at / size).cast("long")
+    rows = with_number(ev.select("dataset_id", "id", F.col("ts").cast("timestamp").alias("ts")))
+    # A block's last events are followed by the next one's first, which it gets as well.
+    spread = rows.select("dataset_id", "ts", at.alias("at"), F.explode(F.when((at % size < least - 1) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))).alias("block"))
+    ends = spread.withColumn("end", F.lead("ts", least - 1).over(Window.partitionBy(*key).orderBy("at")))
+    hot = ends.where((F.floor(F.col("at") / size) == F.col("block")) & (seconds(F.col("ts"), F.col("end")) <= window_secs))
+    hot = materialize(hot.select(*key, (F.col("at") % size).cast("int").alias("at"), "ts", "end"), "burst-starts")
+
+    def jumps(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts = np.sort(pdf["at"].to_numpy())
+        following = np.searchsorted(starts, starts + step)
+        leave = np.maximum(starts + step - size, 0)
+        for i in range(len(starts) - 1, -1, -1):
+            if following[i] < len(starts):
+                leave[i] = leave[following[i]]
+        entered = np.searchsorted(starts, np.arange(step))
+        out = np.where(entered < len(starts), leave[np.minimum(entered, len(starts) - 1)], 0)
+        return pd.DataFrame({"dataset_id": pdf["dataset_id"].iloc[:1], "block": pdf["block"].iloc[:1], "leads": [out.astype(np.int32)]})
+
+    through = materialize(hot.groupBy(*key).applyInPandas(jumps, "dataset_id string, block long, leads array<int>"), "burst-jumps")
+    last, reach = through.agg(F.max("block")).first()[0], 1
+    while last is not None and reach <= last:
+        before = through.select("dataset_id", (F.col("block") + reach).alias("block"), F.col("leads").alias("earlier"))
+        # A block without any start leads to the next one's first event.
+        earlier = F.coalesce("earlier", F.array_repeat(F.lit(0), step))
+        met = through.join(before, key, "left").select(*key, F.when(F.col("block") < reach, F.col("leads")).otherwise(F.transform(earlier, lambda x: F.get("leads", x))).alias("leads"))
+        through, reach = materialize(met, "burst-jumps"), reach * 2
+    entry = through.select("dataset_id", (F.col("block") + 1).alias("block"), F.get("leads", F.lit(0)).alias("entry"))
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at", ignore_index=True)
+        starts, i, taken = pdf["at"].to_numpy(), int(pdf["entry"].iloc[0]), []
+        while (k := int(np.searchsorted(starts, i))) < len(starts):
+            taken.append(k)
+            i = int(starts[k]) + step
+        return pdf.iloc[taken][["dataset_id", "ts", "end"]].rename(columns={"ts": "start_ts", "end": "end_ts"}).assign(messages=least)
+
+    met = hot.join(entry, key, "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
+    return met.groupBy(*key).applyInPandas(follow, "dataset_id string, start_ts timestamp, end_ts timestamp, messages long")
 
 
 def dormancy_gaps(ev: DataFrame, days: float = 14, warning: float = 45, limit: int | None = 10) -> DataFrame:

@@ -78,3 +78,24 @@ def argmax(df: DataFrame, group: list[str], key: str, n: str, out: str) -> DataF
     """For each group the smallest key of the greatest ``n``: ``out`` and ``n``."""
     best = F.min(F.struct((-F.col(n)).alias("_n"), F.col(key).alias("_k"))).alias("_best")
     return df.groupBy(*group).agg(best).select(*group, F.col("_best._k").alias(out), (-F.col("_best._n")).alias(n))
+
+
+def order_statistic(values: DataFrame, group: list[str], col: str, rank: Column, bits: int) -> DataFrame:
+    """The value of a rank, from 1, in each group: group, n (its rows), ``col``; ``rank`` is an expression over n.
+
+    ``col`` holds whole numbers from 0 below 2**``bits``. Its upper half of bits is
+    counted first, which tells the range that has the rank, and then the lower
+    half of the values in that range: two aggregates with a map side, and windows
+    over 2**(bits / 2) counts at most, however many rows a group has.
+    """
+    low = bits // 2
+    upper = F.shiftright(col, low)
+    parts = values.groupBy(*group, upper.alias("_at")).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(*group)
+    upto = parts.withColumns({"_upto": F.sum("_k").over(w.orderBy("_at")), "n": F.sum("_k").over(w)}).withColumn("_rank", rank)
+    there = upto.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_k") < F.col("_rank")))
+    there = there.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_at").alias("_range"), (F.col("_rank") - F.col("_upto") + F.col("_k")).alias("_left"), "n")
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    met = values.join(there, [*same, upper == F.col("_range")]).groupBy(*group, col).agg(F.count(F.lit(1)).alias("_k"), F.first("_left").alias("_left"), F.first("n").alias("n"))
+    last = met.withColumn("_upto", F.sum("_k").over(w.orderBy(col)))
+    return last.where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_k") < F.col("_left"))).select(*group, "n", col)

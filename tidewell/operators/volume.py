@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import MILESTONES, WEEKDAYS
 from ..functions.text import dow0, ellipsize, utf16_len, word_count
-from .sequence import argmax, top_k_per, with_number, with_previous
+from ..shared import materialize
+from .sequence import argmax, order_statistic, top_k_per, with_number, with_previous
 
 DAY = 86_400.0
 
@@ -132,15 +133,12 @@ def response_samples(ev: DataFrame, max_gap: int = 43_200) -> DataFrame:
 
 
 def response_times(ev: DataFrame, max_gap: int = 43_200) -> DataFrame:
-    """Mean and upper median of an actor's response seconds, rounded, and the number of samples."""
-    s = response_samples(ev, max_gap)
-    w = Window.partitionBy("dataset_id", "actor")
-    ranked = s.withColumns({"rn": F.row_number().over(w.orderBy("secs")), "n": F.count(F.lit(1)).over(w)})
-    return ranked.groupBy("dataset_id", "actor").agg(
-        F.round(F.avg("secs")).cast("long").alias("avg_secs"),
-        F.round(F.max(F.when(F.col("rn") == F.floor(F.col("n") / 2) + 1, F.col("secs")))).cast("long").alias("median_secs"),
-        F.count(F.lit(1)).alias("samples"),
-    )
+    """Mean and upper median of an actor's response seconds, rounded, and the number of samples. No window holds an actor's samples."""
+    key = ["dataset_id", "actor"]
+    samples = materialize(response_samples(ev, max_gap).withColumn("us", F.round(F.col("secs") * 1_000_000).cast("long")), "responses")
+    median = order_statistic(samples, key, "us", F.floor(F.col("n") / 2) + 1, (max_gap * 1_000_000).bit_length())
+    mean = samples.groupBy(*key).agg(F.round(F.avg("secs")).cast("long").alias("avg_secs"), F.count(F.lit(1)).alias("samples"))
+    return mean.join(median, key).select(*key, "avg_secs", F.round(F.col("us") / 1_000_000).cast("long").alias("median_secs"), "samples")
 
 
 def fastest_responder(ev: DataFrame, by: str = "avg", min_samples: int = 1) -> DataFrame:

@@ -13,6 +13,8 @@ from ..functions.times import parse_ts
 from ..operators import documents as d
 from ..operators import search
 from ..operators.normalize import normalize, resolve_entities
+from ..operators.vectors import VectorIndex, recall
+from ..shared import materialize
 from ..sources import ranges, records
 from .reports import quoted
 from .testbed import WITH_EV, table, testbed
@@ -158,6 +160,31 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("nearest_vectors", _nearest, """WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query, vec_id AS neighbour, list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]) AS c FROM q JOIN embeddings ON vec_id <> query)
 SELECT query, neighbour, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, neighbour) AS rank FROM s) WHERE rank <= 10""")
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours from the index, searched exactly."""
+    v = table(spark, sf_dir, "embeddings")
+    return VectorIndex.build(v).search(v.where("vec_id % 20 = 0"), 10, exact=True).select("query", F.col("id").alias("neighbour"), "rank")
+
+
+def _index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What probing the index finds of the exact neighbours."""
+    v = table(spark, sf_dir, "embeddings")
+    queries = v.where("vec_id % 20 = 0")
+    found = recall(VectorIndex.build(v).search(queries, 10), search.nearest(v, queries, 10))
+    return found.select("neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def _similar_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each twentieth document, the ten documents whose hashed vectors are most similar, by the index."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", search.embed("text").alias("v"))
+    rows = materialize(docs, "document-vectors")
+    index = VectorIndex.build(rows, "doc_id", "v")
+    return index.search(rows.where("doc_id % 20 = 0"), 10, exact=True, id_col="doc_id", col="v").select("query", F.col("id").alias("neighbour"), "rank", F.round("similarity", 6).alias("similarity"))
+
+
+add("nearest_indexed", _indexed, ORACLES["nearest_vectors"])
+add("index_recall", _index_recall, "SELECT sum(least(10, (SELECT count(*) FROM embeddings) - 1))::BIGINT AS neighbours, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+add("documents_indexed", _similar_messages)
 add("message_cosine", lambda spark, sf: testbed(spark, sf).select("id", F.round(search.cosine01(search.embed("content"), F.array(*[F.lit(x) for x in search.embedding("urgent server error")])), 4).alias("similarity")))
 add("conversation_lengths", on("conversations", lambda t: t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(text.utf16_len(F.col("text"))).cast("long").alias("units"))),
     r"SELECT conv_id, count(*) AS turns, CAST(sum(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) AS BIGINT) AS units FROM conversations GROUP BY conv_id")
