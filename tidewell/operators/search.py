@@ -171,9 +171,9 @@ def filter_events(ev: DataFrame, start=None, end=None, actors: Iterable[str] | N
 
 
 def search(
-    ev: DataFrame, text: str = "", phrases: Iterable[str] = (), emojis: Iterable[str] = (), mode: str = "exact", order: str = "relevance", page: int = 1, limit: int = 20, candidate_limit: int | None = None, **facets
+    ev: DataFrame, text: str = "", phrases: Iterable[str] = (), emojis: Iterable[str] = (), mode: str = "exact", order: str = "relevance", page: int = 1, limit: int = 20, candidate_limit: int | None = None, with_total: bool = False, **facets
 ) -> DataFrame:
-    """A page of events with score, similarity and snippet.
+    """A page of events with score, similarity and snippet, and ``with_total`` the number of all matches as total.
 
     ``exact`` keeps events with all words, phrases and emojis and ranks by
     relevance; ``hybrid`` keeps those with all phrases and emojis and ranks by
@@ -188,6 +188,7 @@ def search(
         hit = hit.where(F.contains(low, F.lit(t.lower())))
     if candidate_limit:
         hit = hit.orderBy(F.desc("ts"), "id").limit(candidate_limit)
+    total = hit.agg(F.count(F.lit(1)).alias("n")) if with_total else None
     rel = relevance(F.col("content"), words, phrases)
     if mode == "exact":
         scored = hit.withColumns({"similarity": F.lit(None).cast("double"), "score": rel})
@@ -197,12 +198,15 @@ def search(
         scored = scored.withColumn("score", F.col("similarity") * 100 if mode == "semantic" else 0.6 * (F.col("similarity") * 50) + 0.4 * rel)
     by = {"relevance": [F.desc("score"), F.desc("ts"), F.asc("id")], "newest": [F.desc("ts"), F.asc("id")], "oldest": [F.asc("ts"), F.asc("id")]}[order]
     n = max(1, min(limit, 100))
-    return scored.orderBy(*by).offset((max(page, 1) - 1) * n).limit(n).withColumn("snippet", snippet(F.col("content"), [*phrases, *words, *emojis]))
+    shown = scored.orderBy(*by).offset((max(page, 1) - 1) * n).limit(n).withColumn("snippet", snippet(F.col("content"), [*phrases, *words, *emojis]))
+    return shown if total is None else shown.withColumn("total", total.scalar())
 
 
-def page_events(ev: DataFrame, after: tuple | None = None, limit: int = 50, desc: bool = False) -> DataFrame:
-    """The events after a cursor (ts, id), one more than ``limit`` (1 to 100) if there are more."""
+def page_events(ev: DataFrame, after: tuple | None = None, limit: int = 50, desc: bool = False, with_total: bool = False) -> DataFrame:
+    """The events after a cursor (ts, id), one more than ``limit`` (1 to 100) if there are more; ``with_total`` adds the number of all events as total."""
     n = max(1, min(limit, 100))
+    if with_total:
+        ev = ev.withColumn("total", ev.agg(F.count(F.lit(1))).scalar())
     if after is not None:
         at, cursor = F.struct("ts", "id"), F.struct(F.lit(after[0]).cast(ev.schema["ts"].dataType).alias("ts"), F.lit(after[1]).cast(ev.schema["id"].dataType).alias("id"))
         ev = ev.where(at < cursor if desc else at > cursor)

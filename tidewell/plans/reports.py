@@ -251,6 +251,8 @@ add("random_event", lambda ev: s.random_event(ev, 7), END + f"SELECT {_COLS} FRO
 _SCORE = "1.0 + CASE WHEN contains(lower(content), 'server error') THEN 10.0 ELSE 0 END + CASE WHEN contains(lower(content), 'urgent') THEN 2.0 ELSE 0 END + CASE WHEN starts_with(lower(content), 'urgent') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(content), 'the') THEN 2.0 ELSE 0 END + CASE WHEN starts_with(lower(content), 'the') THEN 3.0 ELSE 0 END"
 add("search_exact", lambda ev: s.search(ev, "urgent the", ["server error"], limit=50).select("id", "score"), END + f"SELECT id, CAST({_SCORE} AS DOUBLE) AS score FROM ev WHERE contains(lower(content), 'urgent') AND contains(lower(content), 'the') AND contains(lower(content), 'server error') ORDER BY score DESC, ts DESC, id LIMIT 50")
 add("search_page", lambda ev: s.search(ev, "meeting", order="oldest", page=3, limit=10).select("id"), END + "SELECT id FROM ev WHERE contains(lower(content), 'meeting') ORDER BY ts, id LIMIT 10 OFFSET 20")
+add("search_total", lambda ev: s.search(ev, "meeting", order="oldest", page=2, limit=10, with_total=True).select("id", "total"), END + "SELECT id, count(*) OVER () AS total FROM ev WHERE contains(lower(content), 'meeting') ORDER BY ts, id LIMIT 10 OFFSET 10")
+add("page_total", lambda ev: s.page_events(ev, ("2024-01-10 00:00:00", 0), 20, with_total=True).select("id", "total"), END + "SELECT id, (SELECT count(*) FROM ev) AS total FROM ev WHERE (ts, id) > (TIMESTAMP '2024-01-10', 0) ORDER BY ts, id LIMIT 21")
 add("search_hybrid", lambda ev: s.search(ev, "invoice payment", mode="hybrid", limit=20).select("id", "score", "similarity", "snippet"))
 add("search_semantic", lambda ev: s.search(ev, "server error help", mode="semantic", limit=20).select("id", "score", "similarity", "snippet"))
 
@@ -263,8 +265,10 @@ add("metrics_table", sinks.metrics_table, _METRIC + "SELECT * FROM t")
 add("highlights_table", lambda ev: sinks.highlights_table(topics.insights(ev)), _INSIGHTS + "SELECT dataset_id, title, summary AS description, CAST(CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS DOUBLE) AS score, support AS metadata FROM ins")
 add("list_datasets", lambda ev: sinks.list_datasets(volume.dataset_rollup(ev), sinks.metrics_table(ev)).select("dataset_id", "events", "last_ts", F.col("metrics")["total_words"].alias("total_words")), END + "SELECT dataset_id, count(*) AS events, max(ts) AS last_ts, sum(words)::DOUBLE AS total_words FROM m GROUP BY dataset_id")
 _ROW = "sha256(id || '|' || (epoch_us(ts) // 1000) || '|' || content)"
-_DIGEST = f"dg AS (SELECT dataset_id, CAST(ts AS DATE) AS day, sha256(string_agg({_ROW}, '' ORDER BY ts, id)) AS h FROM ev GROUP BY ALL), dz AS (SELECT dataset_id, sha256(string_agg(h, '' ORDER BY day)) AS sha256 FROM dg GROUP BY dataset_id) "
+_LEVEL = "d{k} AS (SELECT dataset_id, run // 1024 AS run, sha256(string_agg(h, '' ORDER BY run)) AS h FROM d{j} GROUP BY dataset_id, run // 1024), "
+_DIGEST = f"d0 AS (SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY ts, id) - 1 AS run, {_ROW} AS h FROM ev), " + "".join(_LEVEL.format(k=k + 1, j=k) for k in range(sinks.LEVELS)) + f"dz AS (SELECT dataset_id, h AS sha256 FROM d{sinks.LEVELS}) "
 add("content_digest", sinks.content_digest, _DIGEST + "SELECT * FROM dz")
+add("run_digests", sinks.run_digests, _DIGEST + "SELECT * FROM d1")
 _MANIFEST = _DIGEST + """, lg AS (SELECT dataset_id, ts < lag(ts) OVER (PARTITION BY dataset_id ORDER BY {position}) AS back FROM ev), rg AS (SELECT dataset_id, count(*) FILTER (back) AS regressions FROM lg GROUP BY dataset_id)
 SELECT dataset_id, count(*) AS expected, count(*) AS actual, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS duplicates, any_value(regressions) AS regressions, true AS ends_match, any_value(sha256) AS sha256,
   CASE WHEN any_value(regressions) > 0 THEN 'regressions ' || any_value(regressions) ELSE '' END AS diagnostics, CASE WHEN any_value(regressions) > 0 THEN 'FAILED' ELSE 'VERIFIED' END AS status FROM ev JOIN dz USING (dataset_id) JOIN rg USING (dataset_id) GROUP BY dataset_id"""
@@ -273,6 +277,10 @@ add("integrity_manifest_reversed", lambda ev: sinks.integrity_manifest(ev, ev.wi
 _LINE = "'**' || coalesce(actor, 'System') || '** ' || strftime(ts, '%H:%M') || chr(10) || '> ' || replace(content, chr(10), chr(10) || '> ')"
 add("month_pages", lambda ev: sinks.month_pages(ev).select("dataset_id", "month", "messages", F.sha2("text", 256).alias("sha")), f"""pg AS (SELECT dataset_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y-%m-%d') AS day, '## ' || strftime(ts, '%Y-%m-%d') || chr(10) || chr(10) || string_agg({_LINE}, chr(10) || chr(10) ORDER BY ts, id) AS text, count(*) AS n, min(ts) AS a, max(ts) AS z FROM ev GROUP BY dataset_id, strftime(ts, '%Y-%m'), strftime(ts, '%Y-%m-%d'))
 SELECT dataset_id, month, CAST(sum(n) AS BIGINT) AS messages, sha256('---' || chr(10) || 'month: ' || month || chr(10) || 'messages: ' || sum(n) || chr(10) || 'first: ' || strftime(min(a), '%Y-%m-%d %H:%M:%S') || chr(10) || 'last: ' || strftime(max(z), '%Y-%m-%d %H:%M:%S') || chr(10) || '---' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY day)) AS sha FROM pg GROUP BY dataset_id, month""")
+add("month_parts", lambda ev: sinks.month_parts(ev, 500).select("dataset_id", "month", "part", "messages", F.sha2("text", 256).alias("sha")), f"""mr AS (SELECT dataset_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y-%m-%d') AS day, ts, id, {_LINE} AS line FROM ev),
+mn AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, month ORDER BY ts, id) - 1 AS k, row_number() OVER (PARTITION BY dataset_id, day ORDER BY ts, id) AS kd, count(*) OVER p AS total, min(ts) OVER p AS a, max(ts) OVER p AS z FROM mr WINDOW p AS (PARTITION BY dataset_id, month))
+SELECT dataset_id, month, CAST(k // 500 AS INTEGER) AS part, count(*) AS messages, sha256(string_agg(CASE WHEN k = 0 THEN '---' || chr(10) || 'month: ' || month || chr(10) || 'messages: ' || total || chr(10) || 'first: ' || strftime(a, '%Y-%m-%d %H:%M:%S') || chr(10) || 'last: ' || strftime(z, '%Y-%m-%d %H:%M:%S') || chr(10) || '---' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN kd = 1 THEN '## ' || day || chr(10) || chr(10) ELSE '' END || line, chr(10) || chr(10) ORDER BY k)) AS sha FROM mn GROUP BY dataset_id, month, k // 500""")
 add("month_index", sinks.month_index, "ix AS (SELECT dataset_id, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM ev GROUP BY ALL) SELECT dataset_id, '# Index' || chr(10) || chr(10) || string_agg('- [[' || month || ']] ' || n, chr(10) ORDER BY month) AS text FROM ix GROUP BY dataset_id")
 add("case_kpis", lambda ev: sinks.case_report(ev, **ALL)["kpis"], _ALL + ISLANDS + END + "SELECT dataset_id, count(*) AS messages, CAST(sum(words) AS BIGINT) AS words, (SELECT count(*) FROM d WHERE d.dataset_id = m.dataset_id) AS active_days, (SELECT count(*) FROM al WHERE al.dataset_id = m.dataset_id AND severity = 'CRITICAL') AS critical FROM m GROUP BY dataset_id")
 add("case_anomalies", lambda ev: sinks.case_report(ev, **ALL)["anomalies"], _ALL + END + "SELECT dataset_id, type, severity, ts, end_ts, actor, metric, detail, weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY weight DESC, ts DESC, type, detail) AS rank FROM (SELECT *, CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'WARNING' THEN 2 ELSE 1 END AS weight FROM al)) WHERE rank <= 10")

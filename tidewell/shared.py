@@ -41,3 +41,18 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._tidewell_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """The names of the tables below ``path`` whose writing was finished."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(at) if f.isDirectory() and files.exists(hadoop.Path(f.getPath(), "_SUCCESS")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

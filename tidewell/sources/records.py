@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import apple_ts, slack_markup
 from ..functions.times import parse_ts
+from ..shared import materialize
 from .archives import archive_pieces, detect_delimiter
 from .ranges import STRETCH, braced, json_items, json_pieces, lines_of_pieces, text_lines
 
@@ -304,11 +305,21 @@ def cells_to_events(rows: DataFrame, sheet: str | None = None, base: str = "2024
 def rows_to_events(df: DataFrame, order: list[str], sheet: str | None = None, base: str = "2024-01-01 08:00:00", actor_in_content: bool = True) -> DataFrame:
     """Any table's rows as records, as cells_to_events makes them.
 
-    ``order`` numbers the rows, from 1, in one task: a row's time may hang on its number.
+    Rows are numbered from 1 by ``order``, as a row's time may hang on its
+    number. They are dealt out by ranges of it and written once; a range's
+    numbers go on from the rows of the ranges before. Rows of equal order come
+    by a digest of the row.
     """
-    row = F.struct(F.lit(sheet).cast("string").alias("source_file"), F.array(*[F.lit(c) for c in df.columns]).alias("names"), F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("cells"))
-    numbered = df.select(row.alias("_row"), F.row_number().over(Window.orderBy(*order)).alias("line_no"))
-    return cells_to_events(numbered.select("_row.*", "line_no"), sheet, base, actor_in_content)
+    cells = F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    row = F.struct(F.lit(sheet).cast("string").alias("source_file"), F.array(*[F.lit(c) for c in df.columns]).alias("names"), cells.alias("cells"))
+    keys = [f"_k{i}" for i in range(len(order))]
+    placed = df.select(row.alias("_row"), *[F.col(f"`{c}`").alias(k) for c, k in zip(order, keys)], F.xxhash64(cells).alias("_tie"))
+    ranged = placed.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie")
+    written = materialize(ranged.select("_row", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")), "rows")
+    sizes = written.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))  # a row for each range
+    numbered = written.join(starts, F.col("_range") == F.col("_r")).select("_row.*", (F.col("_before") + F.col("_at") + 1).cast("int").alias("line_no"))
+    return cells_to_events(numbered, sheet, base, actor_in_content)
 
 
 def _cells_of(record: Column, sep: str) -> Column:

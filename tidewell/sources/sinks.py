@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relations, topics, volume, words
-from ..operators.sequence import top_k_per, with_previous
+from ..operators.normalize import normalize
+from ..operators.sequence import top_k_per, with_number, with_previous
+from ..shared import materialize, remove
 
 
 def write_events(ev: DataFrame, path: str, mode: str = "append") -> None:
@@ -20,9 +22,26 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def drop_dataset(spark: SparkSession, path: str, dataset_id: str) -> None:
     """Deletes a dataset's events: its folder is replaced by nothing."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/dataset_id={dataset_id}")
-    at.getFileSystem(conf).delete(at, True)
+    remove(spark, f"{path}/dataset_id={dataset_id}")
+
+
+def load(records: DataFrame, dataset_id: str, path: str, default_ts=None) -> tuple[int, int]:
+    """Loads records as a dataset's events below ``path``, rejects beside them: (events, rejects).
+
+    A bad record is counted and kept apart, and the load goes on; a load without
+    one good record is an error and leaves nothing. A second load replaces the first.
+    """
+    spark = records.sparkSession
+    events, rejects = normalize(records, dataset_id, default_ts)
+    good, bad = f"{path}/events/dataset_id={dataset_id}", f"{path}/rejects/dataset_id={dataset_id}"
+    events.drop("dataset_id").sortWithinPartitions("ts").write.mode("overwrite").parquet(good)
+    rejects.write.mode("overwrite").parquet(bad)
+    n, lost = (spark.read.parquet(at).count() for at in (good, bad))
+    if not n:
+        remove(spark, good)
+        remove(spark, bad)
+        raise ValueError(f"{dataset_id}: none of {lost} records could be loaded")
+    return n, lost
 
 
 def metrics_table(ev: DataFrame) -> DataFrame:
@@ -63,16 +82,36 @@ def export_json(ev: DataFrame, path: str) -> None:
     volume.dataset_rollup(ev).write.json(f"{path}/datasets")
 
 
-def month_pages(ev: DataFrame) -> DataFrame:
-    """One Markdown text for each dataset and month: front matter, day headings, quoted messages."""
+#: Messages of a part of a month.
+PART = 5_000
+
+
+def month_parts(ev: DataFrame, size: int = PART) -> DataFrame:
+    """Each month's Markdown in ordered parts of ``size`` messages: dataset_id, month, part (from 0), messages, text.
+
+    The first part begins with the month's front matter, a day's first message
+    with its heading. Joined by blank lines, the parts are the month's page; no
+    part grows with the month or the day.
+    """
     month, day = F.date_format("ts", "yyyy-MM"), F.date_format("ts", "yyyy-MM-dd")
     line = F.concat(F.lit("**"), F.coalesce("actor", F.lit("System")), F.lit("** "), F.date_format("ts", "HH:mm"), F.lit("\n> "), F.replace(F.col("content"), F.lit("\n"), F.lit("\n> ")))
+    key = ["dataset_id", "month"]
     rows = ev.select("dataset_id", month.alias("month"), day.alias("day"), "ts", "id", line.alias("line"))
-    days = rows.groupBy("dataset_id", "month", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "line"))).alias("l"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"))
-    text = F.concat(F.lit("## "), "day", F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n\n"))
-    months = days.select("dataset_id", "month", "day", text.alias("text"), "n", "a", "z").groupBy("dataset_id", "month").agg(F.array_sort(F.collect_list(F.struct("day", "text"))).alias("d"), F.sum("n").alias("messages"), F.min("a").alias("first_ts"), F.max("z").alias("last_ts"))
-    front = F.concat(F.lit("---\nmonth: "), "month", F.lit("\nmessages: "), F.col("messages").cast("string"), F.lit("\nfirst: "), F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("\nlast: "), F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("\n---\n\n"))
-    return months.select("dataset_id", "month", "messages", F.concat(front, F.array_join(F.transform("d", lambda x: x["text"]), "\n\n")).alias("text"))
+    sizes = rows.groupBy(*key, "day").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"))
+    whole, earlier = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    facts = sizes.select(F.col("dataset_id").alias("_d"), F.col("month").alias("_m"), F.col("day").alias("_day"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"), F.min("a").over(whole).alias("first_ts"), F.max("z").over(whole).alias("last_ts"))
+    front = F.concat(F.lit("---\nmonth: "), "month", F.lit("\nmessages: "), F.col("total").cast("string"), F.lit("\nfirst: "), F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("\nlast: "), F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("\n---\n\n"))
+    own = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key, "day").orderBy("ts", "id")))
+    met = own.join(facts, (F.col("dataset_id") == F.col("_d")) & (F.col("month") == F.col("_m")) & (F.col("day") == F.col("_day"))).withColumn("at", F.col("before") + F.col("k") - 1)
+    text = F.concat(F.when(F.col("at") == 0, front).otherwise(F.lit("")), F.when(F.col("k") == 1, F.concat(F.lit("## "), "day", F.lit("\n\n"))).otherwise(F.lit("")), F.coalesce("line", F.lit("")))
+    part = met.groupBy(*key, F.floor(F.col("at") / size).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", text.alias("text")))).alias("l"), F.count(F.lit(1)).alias("messages"))
+    return part.select(*key, "part", "messages", F.array_join(F.transform("l", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def month_pages(ev: DataFrame) -> DataFrame:
+    """One Markdown text for each dataset and month: its parts joined. For months that fit a cell; exports keep the parts."""
+    months = month_parts(ev).groupBy("dataset_id", "month").agg(F.sum("messages").alias("messages"), F.array_sort(F.collect_list(F.struct("part", "text"))).alias("l"))
+    return months.select("dataset_id", "month", "messages", F.array_join(F.transform("l", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def month_index(ev: DataFrame) -> DataFrame:
@@ -82,7 +121,8 @@ def month_index(ev: DataFrame) -> DataFrame:
 
 
 def export_markdown(ev: DataFrame, path: str) -> None:
-    month_pages(ev).select("dataset_id", "month", "text").write.partitionBy("dataset_id", "month").text(f"{path}/months")
+    """Months in files by part, part=0 first, and each dataset's index."""
+    month_parts(ev).select("dataset_id", "month", "part", "text").write.partitionBy("dataset_id", "month", "part").text(f"{path}/months")
     month_index(ev).write.partitionBy("dataset_id").text(f"{path}/index")
 
 
@@ -98,14 +138,37 @@ def case_report(ev: DataFrame, latest: int = 200, top: int = 10, **thresholds) -
     }
 
 
-def content_digest(ev: DataFrame) -> DataFrame:
-    """A digest of each dataset's events in order: of its days' digests, each of its rows' digests."""
+#: Children of a node of the digest tree, and its levels: 1024**4 events a dataset.
+RUN, LEVELS = 1024, 4
+
+
+def run_digests(ev: DataFrame) -> DataFrame:
+    """The digests of each dataset's runs of RUN events in order: dataset_id, run (from 0), h."""
     ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
     row = F.sha2(F.concat_ws("|", F.col("id").cast("string"), ms, "content"), 256)
-    rows = ev.select("dataset_id", F.to_date("ts").alias("day"), "ts", "id", row.alias("h"))
-    join = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["h"]), ""), 256)
-    days = rows.groupBy("dataset_id", "day").agg(join(F.struct("ts", "id", "h")).alias("h"))
-    return days.groupBy("dataset_id").agg(join(F.struct("day", "h")).alias("sha256"))
+    numbered = with_number(ev.select("dataset_id", "ts", "id", row.alias("h")))
+    return _parents(numbered.select("dataset_id", (F.col("n") - 1).alias("run"), "h"))
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    up = nodes.groupBy("dataset_id", F.floor(F.col("run") / RUN).cast("long").alias("up")).agg(F.array_sort(F.collect_list(F.struct("run", "h"))).alias("l"))
+    return up.select("dataset_id", F.col("up").alias("run"), F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ""), 256).alias("h"))
+
+
+def content_digest(ev: DataFrame) -> DataFrame:
+    """A digest of each dataset's events in order: the root of a tree of LEVELS levels, whose nodes have RUN children at most."""
+    nodes = run_digests(ev)
+    for _ in range(LEVELS - 1):
+        nodes = _parents(nodes)
+    return nodes.select("dataset_id", F.col("h").alias("sha256"))
+
+
+def damaged_runs(kept: DataFrame, ev: DataFrame) -> DataFrame:
+    """Runs whose digests (``kept``, as run_digests gave them) aren't those of the events now: dataset_id, run, first_n and last_n."""
+    now = run_digests(ev).select(F.col("dataset_id").alias("_d"), F.col("run").alias("_r"), F.col("h").alias("_h"))
+    met = kept.join(now, (F.col("dataset_id") == F.col("_d")) & (F.col("run") == F.col("_r")), "full").where(~F.col("h").eqNullSafe(F.col("_h")))
+    run = F.coalesce("run", "_r")
+    return met.select(F.coalesce("dataset_id", "_d").alias("dataset_id"), run.alias("run"), (run * RUN + 1).alias("first_n"), ((run + 1) * RUN).alias("last_n"))
 
 
 def integrity_manifest(source: DataFrame, exported: DataFrame) -> DataFrame:
@@ -129,8 +192,8 @@ def integrity_manifest(source: DataFrame, exported: DataFrame) -> DataFrame:
 
 
 def analyze(ev: DataFrame) -> dict[str, DataFrame]:
-    """All reports over one kept minimum of the events."""
-    ev = ev.select("id", "dataset_id", "actor", "ts", "event_type", "content").persist()
+    """All reports over one written minimum of the events."""
+    ev = materialize(ev.select("id", "dataset_id", "actor", "ts", "event_type", "content"), "analyzed")
     reports = {
         "volume": volume.volume_summary(ev), "by_person": volume.by_person(ev), "by_hour": volume.by_hour(ev), "by_weekday": volume.by_weekday(ev), "by_date": volume.by_date(ev),
         "peaks": volume.peaks(ev), "activity": volume.activity_summary(ev), "streak": volume.longest_streak(ev), "gap": volume.longest_gap(ev), "responses": volume.response_times(ev),
