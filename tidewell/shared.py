@@ -36,11 +36,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the files of materialized tables that nothing reads any more, so that disk holds what later steps need."""
+    """Deletes the files of materialized tables that nothing reads any more, so that disk holds what later steps need.
+
+    Shuffle files of finished queries go as well: Spark's cleaner deletes them
+    once the driver's JVM has collected what refers to them.
+    """
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._tidewell_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def finished(spark: SparkSession, path: str) -> list[str]:
