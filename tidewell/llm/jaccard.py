@@ -167,8 +167,8 @@ def sign(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: st
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, SIGNED)
 
 
-def shared(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signatures of two nodes or more: (sig, node) of all their nodes, and the pairs (a, b) of nodes with their hubs.
+def shared(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of two nodes or more: (sig, node) of all their nodes, the pairs (a, b) of nodes with their hubs, and the written table behind both.
 
     Signatures are dealt out once, one row for each batch that has it; a
     signature's hub is the smallest of these nodes, and a batch's other nodes
@@ -182,7 +182,7 @@ def shared(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = signed.where("size(again) > 0").select("node", F.explode(F.arrays_zip("again", "again_head")).alias("x")).select(F.col("x.again").alias("sig"), "node", F.col("x.again_head").alias("hub"))
     both = first.unionByName(again)
     pairs = both.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    return both.select("sig", "node"), pairs
+    return both.select("sig", "node"), pairs, first
 
 
 def may_link(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -400,11 +400,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """
     signed = materialize(sign(docs, width, percent, id_col, text_col), "signed")
     sketches = materialize(signed.where("sketch is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
-    members, stars = shared(signed)
+    members, stars, heads = shared(signed)
+    rows = signed.select("doc_id", "text_key", "n", "node", "checked")
 
     def linked(pairs: DataFrame, label: str) -> DataFrame:
         """The linked ones of pairs that may be; what it takes to tell them is deleted at once."""
-        sets = sets_of(docs, signed, pairs, width, id_col, text_col)
+        sets = sets_of(docs, rows, pairs, width, id_col, text_col)
         found = materialize(verified(pairs, sets, percent), label)
         discard(pairs, sets)
         return found
@@ -412,19 +413,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     links = [linked(materialize(may_link(stars, sketches, percent), "star-near"), "star-links")]
     open_ = _open(members, _first_labels(links[0]), 2)
     large = open_.where(F.col("m") > SMALL)
+    rows = materialize(rows, "rows")
+    discard(signed, heads)  # no signature is read any more
     near = materialize(may_link(_small_pairs(open_.where(F.col("m") <= SMALL)).unionByName(_hub_pairs(large)).distinct(), sketches, percent), "open-near")
     links.append(linked(near, "open-links"))
     label = components(reduce(DataFrame.unionByName, links))
     if not large.isEmpty():
         # Blocks send a node's set once for each signature, so they only get what exact components leave apart.
         sent = materialize(_maybe_linked(_block_pairs(_open(large.select("sig", "node"), label, SMALL)), sketches, percent), "screened")
-        sets = sets_of(docs, signed, sent.selectExpr("node as a", "node as b"), width, id_col, text_col)
+        sets = sets_of(docs, rows, sent.selectExpr("node as a", "node as b"), width, id_col, text_col)
         links.append(materialize(_block_links(sent, sets, percent), "block-links"))
         discard(sent, sets)
         if not links[-1].isEmpty():
             label = components(reduce(DataFrame.unionByName, links))
     discard(open_, sketches)
-    return _result(signed, label)
+    return _result(rows, label)
 
 
 def _result(signed: DataFrame, label: DataFrame) -> DataFrame:
