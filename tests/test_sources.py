@@ -11,7 +11,7 @@ from tidewell.functions import text
 from tidewell.functions.times import parse_ts
 from tidewell.operators import documents, relations
 from tidewell.operators.normalize import normalize, resolve_entities
-from tidewell.sources import records
+from tidewell.sources import records, sinks
 from tidewell.streaming import live
 
 
@@ -206,26 +206,74 @@ def test_streams_equal_batches(spark, stream):
 
 
 def test_stream_ingest(spark, tmp_path):
+    from tidewell.operators.volume import entity_rollup
+
     (tmp_path / "drop").mkdir()
-    put(tmp_path / "drop", "a.ndjson", ['{"sender": "Ann", "timestamp": "2024-01-12T09:05:00Z", "message": "hi"}', '{"sender": "Bob", "timestamp": "2024-01-12T09:06:00Z", "message": "yo"}'])
+    ingest = lambda: live.stream_ingest(spark, f"{tmp_path}/drop", f"{tmp_path}/out", f"{tmp_path}/cp", "d").awaitTermination(120)
+    put(tmp_path / "drop", "a.ndjson", ['{"sender": "Ann", "timestamp": "2024-01-12T09:05:00Z", "message": "hi"}', '{"sender": "Bob", "timestamp": "2024-01-12T09:06:00Z", "message": "yo"}', "{broken"])
+    ingest()
+    ingest()
+    put(tmp_path / "drop", "b.ndjson", ['{"sender": "ann", "timestamp": "2024-01-13T09:05:00Z", "message": "again"}'])
+    put(tmp_path / "drop", "c.ndjson", ['{"sender": "Cyd", "timestamp": "2024-01-11T09:05:00Z", "message": "first"}'])
+    ingest()
+    events = spark.read.parquet(f"{tmp_path}/out/events")
+    assert events.count() == 4 and spark.read.parquet(f"{tmp_path}/out/rejects").count() == 1
+    want = sorted(map(tuple, entity_rollup(events).collect()))
+    state = lambda: sorted(map(tuple, live.read_rollup(spark, f"{tmp_path}/out/rollup").select("dataset_id", "entity", "events", "chars", "first_ts", "last_ts").collect()))
+    assert state() == want and len(want) == 3
+    # A batch that runs again, alone or after a write that broke off, changes nothing.
+    last = max(live._versions(spark, f"{tmp_path}/out/rollup"))
+    (tmp_path / "out" / "rollup" / f"version={last}" / "_SUCCESS").unlink()
     for _ in range(2):
-        live.stream_ingest(spark, f"{tmp_path}/drop", f"{tmp_path}/out", f"{tmp_path}/cp", "d").awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out/events").count() == 2
+        live.merge_batch(spark, f"{tmp_path}/out/rollup", last, entity_rollup(spark.read.parquet(f"{tmp_path}/out/events/batch={last}")))
+        assert state() == want
+    assert live.read_rollup(spark, f"{tmp_path}/nothing") is None
 
 
-def test_stream_responses(spark, stream):
-    from tidewell.operators import volume
+def test_load_keeps_rejects_and_fails_without_a_good_record(spark, tmp_path):
+    path = put(tmp_path, "a.ndjson", ['{"sender": "Ann", "timestamp": "2024-01-12T09:05:00Z", "message": "hi"}', "{broken", '{"sender": "Bob", "message": "no time"}'])
+    for _ in range(2):
+        assert sinks.load(records.read_ndjson(spark, path), "d", f"{tmp_path}/t") == (1, 2)
+    assert [r.actor for r in sinks.read_events(spark, f"{tmp_path}/t/events").where("dataset_id = 'd'").collect()] == ["Ann"]
+    with pytest.raises(ValueError, match="none of 2"):
+        sinks.load(records.read_ndjson(spark, put(tmp_path, "b.ndjson", ["{broken", "more"])), "e", f"{tmp_path}/t")
+    assert {r.dataset_id for r in sinks.read_events(spark, f"{tmp_path}/t/events").collect()} == {"d"}
+    with pytest.raises(ValueError, match="none of 0"):
+        sinks.load(records.read_ndjson(spark, put(tmp_path, "c.ndjson", [""])), "f", f"{tmp_path}/t")
 
-    ev, sdf = stream
+
+@pytest.fixture
+def rocks(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        live_rows = run(spark, live.stream_responses(sdf), "responses_t", "append").collect()
-    finally:
-        spark.conf.set(key, before)
-    batch = volume.response_samples(ev).collect()
-    assert sorted((r.actor, r.secs) for r in live_rows) == sorted((r.actor, r.secs) for r in batch)
+    yield
+    spark.conf.set(key, before)
+
+
+def test_stream_responses_of_shuffled_events_equal_the_batch(spark, tmp_path, rocks):
+    import os
+    import random
+
+    from tidewell.operators import volume
+
+    r, base = random.Random(6), dt.datetime(2024, 1, 1)
+    rows = [(str(i), f"d{i % 2}", r.choice(["a", "b", None, "c"]), base + dt.timedelta(seconds=r.randrange(9000), microseconds=r.randrange(10**6)), "message", "x") for i in range(300)]
+    late = dt.timedelta(days=2)
+    batches = [rows[0::4], rows[1::4], rows[2::4], rows[3::4], [("z", f"d{k}", "z", base + late, "message", "x") for k in (0, 1)], [("zz", "d0", "z", base + 2 * late, "message", "x")]]
+    schema = "id string, dataset_id string, actor string, ts timestamp, event_type string, content string"
+    for k, part in enumerate(batches):
+        r.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/b{k}")
+        (name,) = (tmp_path / f"b{k}").glob("*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        target = tmp_path / "in" / f"{k}.parquet"
+        target.write_bytes(name.read_bytes())
+        os.utime(target, (1_700_000_000 + k, 1_700_000_000 + k))
+    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = run(spark, live.stream_responses(sdf, delay="3 hours"), "responses_t", "append").collect()
+    batch = volume.response_samples(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((x.dataset_id, x.actor, round(x.secs, 6)) for x in found if x.actor != "z") == sorted((x.dataset_id, x.actor, round(x.secs, 6)) for x in batch)
 
 
 def test_custom_reader(spark, tmp_path):
