@@ -293,3 +293,67 @@ def test_order_statistics_equal_sorting(spark):
     for g, v in rows:
         by.setdefault(g, []).append(v)
     assert {x.g: (x.n, x.v) for x in got} == {g: (len(v), sorted(v)[len(v) // 2]) for g, v in by.items()}
+
+
+@pytest.mark.parametrize("tracked", [64, 100_000])
+def test_top_values_equal_full_counts(spark, tracked):
+    from collections import Counter
+
+    from tidewell.operators.heavy import top_values
+
+    r = random.Random(2)
+    rows = [("skewed", f"v{int(r.paretovariate(0.9))}") for _ in range(6000)] + [("flat", f"v{r.randrange(900)}") for _ in range(3000)] + [("few", "a"), ("few", None), (None, "n"), (None, "n"), (None, "m")]
+    got = top_values(spark.createDataFrame(rows, "g string, v string").repartition(5), ["g"], "v", 10, tracked=tracked).collect()
+    want = []
+    for g in {g for g, _ in rows}:
+        c = Counter(v for x, v in rows if x == g and v is not None)
+        want += [(g, v, n, k) for k, (v, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:10], 1)]
+    assert sorted(((x.g, x.v, x.n, x["rank"]) for x in got), key=str) == sorted(want, key=str)
+
+
+def test_term_numbers_are_those_of_searches(spark):
+    import re
+
+    from tidewell.functions.terms import numbers_in, term_names, term_numbers
+
+    terms = ["he", "she", "hers", "urgent", "now", "a b", "", "hers", "né"]
+    texts = ["ushers", "She is URGENT now", "a  b a b", "", None, "hé-né", "nown now", "😂she😂"]
+    for whole in (False, True):
+        for t in texts:
+            want = [] if t is None else [i for i, w in enumerate(terms) if (re.search(rf"(?<!\w){re.escape(w)}(?!\w)", t.lower()) if whole and w else w in t.lower())]
+            assert numbers_in(None if t is None else t.lower(), tuple(terms), whole) == want, (t, whole)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", term_names(term_numbers(F.col("t"), terms), terms).alias("w")).collect()
+    assert all(x.w == ([] if x.t is None else [w for w in terms if w in x.t.lower()]) for x in rows)
+
+
+def test_month_parts_and_the_digest_tree(spark):
+    ev = events(spark, [("Ann", at(day=k // 40, sec=k), f"m{k}\nmore") for k in range(200)])
+    whole = {(r.dataset_id, r.month): r.text for r in sinks.month_pages(ev).collect()}
+    for size in (1, 7, 1000):
+        parts = sinks.month_parts(ev, size).orderBy("dataset_id", "month", "part").collect()
+        joined = {}
+        for p in parts:
+            joined.setdefault((p.dataset_id, p.month), []).append(p.text)
+        assert {k: "\n\n".join(v) for k, v in joined.items()} == whole and max(p.messages for p in parts) <= size
+    big = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.lit("d").alias("dataset_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), F.lit("x").alias("content"))
+    kept = sinks.run_digests(big)
+    bad = big.withColumn("content", F.when(F.col("id") == "1500", "y").otherwise(F.col("content")))
+    assert [tuple(r) for r in sinks.damaged_runs(kept, bad).collect()] == [("d", 1, 1025, 2048)] and sinks.damaged_runs(kept, big).collect() == []
+    assert sinks.content_digest(bad).first() != sinks.content_digest(big).first()
+
+
+def test_similar_documents_with_copies_and_a_hot_token(spark, monkeypatch):
+    r = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(60)]
+    texts = [" ".join(r.sample(vocabulary, r.randrange(1, 25))) for _ in range(120)] + ["hot only"] * 40 + [f"hot alone{i % 9}" for i in range(40)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: set(t.split()) for i, t in enumerate(texts) if t}
+    from tidewell.constants import STOP_WORDS
+
+    sets = {i: {w for w in s if len(w) >= 3 and w not in STOP_WORDS} for i, s in sets.items()}
+    monkeypatch.setattr(documents, "HOT_ROWS", 3)
+    for least in (1, 40, 50, 75, 100):
+        want = {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        got = documents.document_similarity(docs, min_percent=least).collect()
+        assert {(x.a, x.b) for x in got} == want and len(got) == len(want), least
+        assert all(x.percent == int(100 * len(sets[x.a] & sets[x.b]) / len(sets[x.a] | sets[x.b]) + 0.5) for x in got)

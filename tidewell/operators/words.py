@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FREQUENCY_STOP_WORDS, TEXT_STOP_WORDS
 from ..functions.text import emoji_matches, mention_matches, remove_stop_words, url_matches, word_matches
+from .heavy import top_values
 from .sequence import argmax, top_k_per
 from .volume import named
 
@@ -70,8 +71,7 @@ def top_phrases(ev: DataFrame, k: int = 50, min_count: int = 2, stop_words: Iter
     """Pairs of words that follow each other once stop words are gone."""
     kept = ev.select("dataset_id", _surviving(F.col("content"), stop_words).alias("w")).where(F.size("w") > 1)
     pair = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    counts = kept.select("dataset_id", F.explode(pair).alias("phrase")).groupBy("dataset_id", "phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    return top_k_per(counts, ["dataset_id"], k, [F.desc("n"), F.asc("phrase")])
+    return top_values(kept.select("dataset_id", F.explode(pair).alias("phrase")), ["dataset_id"], "phrase", k, min_count)
 
 
 def links(ev: DataFrame) -> DataFrame:
