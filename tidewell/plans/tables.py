@@ -124,8 +124,8 @@ def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = json_text(spark, sf_dir)
     found, broken, _ = ranges.json_items(ranges.braced(pieces), records.CONTAINERS["generic"])
-    v = records.parse_alone(F.col("item"))
-    good = found.select("source_file", F.col("line_no").cast("long").alias("line_no"), F.md5(F.coalesce(F.try_variant_get(v, "$.message", "string"), F.try_variant_get(v, "$[0]", "string"), F.lit("none"))).alias("content"))
+    v = F.col("v")
+    good = records.with_value(found, "item").select("source_file", F.col("line_no").cast("long").alias("line_no"), F.md5(F.coalesce(F.try_variant_get(v, "$.message", "string"), F.try_variant_get(v, "$[0]", "string"), F.lit("none"))).alias("content"))
     return good.unionByName(broken.select("source_file", F.lit(-1).cast("long").alias("line_no"), F.lit("broken").alias("content")))
 
 

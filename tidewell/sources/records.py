@@ -121,11 +121,16 @@ def _pick(v: Column, *paths: str) -> Column:
 _ALONE = "tidewell: nothing follows"
 
 
-def parse_alone(text: Column) -> Column:
-    """A text's JSON value as a variant; null if it isn't one value and nothing else."""
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f'\n,"{_ALONE}"]')))
-    alone = (F.size(F.try_variant_get(pair, "$", "array<variant>")) == 2) & (F.try_variant_get(pair, "$[1]", "string") == _ALONE)
-    return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
+def once(value: Column, name: str) -> Column:
+    """A column that is computed once a row: conditions on it aren't moved to before it, where its text would be parsed for each of its uses."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def with_value(df: DataFrame, text: str) -> DataFrame:
+    """Adds v, a text's JSON value as a variant; null if it isn't one value and nothing else."""
+    pair = df.select("*", once(F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f'\n,"{_ALONE}"]'))), "_pair"))
+    alone = (F.size(F.try_variant_get("_pair", "$", "array<variant>")) == 2) & (F.try_variant_get("_pair", "$[1]", "string") == _ALONE)
+    return pair.select("*", once(F.when(alone, F.try_variant_get("_pair", "$[0]", "variant")), "v")).drop("_pair")
 
 
 def _size(v: Column, path: str) -> Column:
@@ -175,8 +180,8 @@ def _any_record(v: Column, index: Column) -> Column:
 
 def records_from_ndjson(lines: DataFrame) -> DataFrame:
     """One value a line (source_file, line_no, line); a line that isn't one JSON value and nothing else is kept as an unstructured record."""
-    lines = lines.where(F.length(F.trim("line")) > 0).withColumn("v", parse_alone(F.col("line")))
-    made = lines.select("source_file", "line_no", F.when(F.col("v").isNotNull(), _any_record(F.col("v"), F.col("line_no") + 1)).otherwise(_unparsed(F.col("line"))).alias("r"))
+    lines = with_value(lines.where(F.length(F.trim("line")) > 0), "line")
+    made = lines.select("source_file", "line_no", once(F.when(F.col("v").isNotNull(), _any_record(F.col("v"), F.col("line_no") + 1)).otherwise(_unparsed(F.col("line"))), "r"))
     return made.select("source_file", "line_no", "r.*")
 
 
@@ -197,10 +202,10 @@ def records_from_json(pieces: DataFrame, lines: DataFrame, kind: str = "generic"
     such text is one unstructured record, so that no file is lost.
     """
     items, broken, fields = json_items(pieces, CONTAINERS.get(kind, ()))
-    rows = items.withColumn("v", parse_alone(F.col("item")))
+    rows = with_value(items, "item")
     if kind in ("generic", "slack"):
         left = lines.join(broken.select(F.col("source_file").alias("_f")), F.col("source_file") == F.col("_f"), "left_semi").select("source_file", F.col("line_no").cast("long").alias("line_no"), F.col("line").alias("item"))
-        rows = rows.unionByName(left.withColumn("v", parse_alone(F.col("item"))).where(F.schema_of_variant("v").startswith("OBJECT")))
+        rows = rows.unionByName(with_value(left, "item").where(F.schema_of_variant("v").startswith("OBJECT")))
     if kind == "discord":
         value = F.regexp_extract("field", r'(?s)\A\s*"id"\s*:\s*"?([^"]*?)"?\s*\z', 1)
         named = lambda k: F.max(F.when((F.col("key") == k) & F.col("field").rlike(r'\A\s*"id"\s*:'), value)).alias(k)
@@ -208,7 +213,7 @@ def records_from_json(pieces: DataFrame, lines: DataFrame, kind: str = "generic"
         rows = rows.join(ids, F.col("source_file") == F.col("_f"), "left")
     v = F.col("v")
     made = {"generic": lambda: _any_record(v, F.col("line_no") + 1), "discord": lambda: _discord(v), "slack": lambda: _slack(v), "imessage": lambda: _imessage(v)}[kind]()
-    out = rows.select("source_file", "line_no", F.when(v.isNotNull(), made).otherwise(_unparsed(F.col("item"))).alias("r")).where("r is not null").select("source_file", "line_no", "r.*")
+    out = rows.select("source_file", "line_no", once(F.when(v.isNotNull(), made).otherwise(_unparsed(F.col("item"))), "r")).where("r is not null").select("source_file", "line_no", "r.*")
     if kind in ("generic", "slack"):
         return out
     begin = F.min_by(F.substring("value", 1, 1000), F.struct("part", "seq"))
