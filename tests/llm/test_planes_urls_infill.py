@@ -176,3 +176,31 @@ def test_no_documents_and_other_units(spark):
     words = spark.createDataFrame([(i, f"one two  three {i}\nfour") for i in range(50)], "doc_id long, text string")
     made = infill.fill_in_middle(words, unit=r"\s*\S+").withColumn("p", infill.parts(F.col("output"), F.col("form"))).collect()
     assert all(x.n_units == 5 and "".join(x.p) == x.text and all(re.fullmatch(r"(\s*\S+)*", p) for p in x.p) for x in made)
+
+
+# ---------------------------------------------------------------- filters that others share
+
+
+def test_bloom_filters_of_any_size_hold_their_keys(spark):
+    from tidewell.llm.common import bloom_bits, bloom_of, in_bloom
+
+    keys = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64)
+    inside, outside = keys[:4000], keys[4000:]
+    frame = spark.createDataFrame([(int(k),) for k in inside] + [(None,)], "k long")
+    for bits in (bloom_bits(len(inside)), 16, 23, 28):
+        bitmap = bloom_of(frame, "k", bits)
+        assert len(bitmap) * 8 == 1 << bits and in_bloom(bitmap, inside.view(np.uint64)).all()
+        assert in_bloom(bitmap, outside.view(np.uint64)).mean() < (0.1 if bits >= 15 else 1)
+    assert [bloom_bits(n) for n in (0, 1, 10**5, 10**9)] == [16, 16, 20, 28]
+
+
+def test_sets_are_found_in_several_passes(spark, monkeypatch):
+    from tidewell.llm import jaccard
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcdefgh") * 3 for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [t + " tail" for t in texts])], "doc_id long, text string")
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id").collect()))
+    want = key(jaccard.near_duplicates(docs))
+    monkeypatch.setattr(jaccard, "BLOOM_KEYS", 25)
+    assert key(jaccard.near_duplicates(docs)) == want and [c for _, _, c in want] == list(range(60)) * 2
