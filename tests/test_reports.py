@@ -211,7 +211,7 @@ def test_bursts_and_numbers_are_not_one_task(spark):
         z += 1
     got = relations.greedy_bursts(ev, 4)
     assert sorted((x.start_ts, x.end_ts, x.messages) for x in got.collect()) == sorted(want) and len(want) > 20
-    assert "session" in got._jdf.queryExecution().analyzed().toString()
+    assert "block" in got._jdf.queryExecution().analyzed().toString()
 
     lines = [(f, n, "a", at(), "2024", c, "message", False, None) for f in ("t", None) for n, c in [(None, "first"), (3, "x"), (5, None), (70_000, "y"), (65_536, "z"), (9_000_000, "last")]]
     records = spark.createDataFrame(lines, "source_file string, line_no long, actor string, ts timestamp, raw_timestamp string, content string, event_type string, has_media boolean, metadata string")
