@@ -67,11 +67,19 @@ def top_words(ev: DataFrame, k: int = 100, stop_words: Iterable[str] = TEXT_STOP
     return top_k_per(words.groupBy("dataset_id", "word").agg(F.count(F.lit(1)).alias("n")), ["dataset_id"], k, [F.desc("n"), F.asc("word")])
 
 
-def top_phrases(ev: DataFrame, k: int = 50, min_count: int = 2, stop_words: Iterable[str] = TEXT_STOP_WORDS) -> DataFrame:
-    """Pairs of words that follow each other once stop words are gone."""
+def top_phrases(ev: DataFrame, k: int = 50, min_count: int = 2, stop_words: Iterable[str] = TEXT_STOP_WORDS, tracked: int | None = None) -> DataFrame:
+    """Pairs of words that follow each other once stop words are gone.
+
+    ``tracked`` finds them by summaries of so many phrases and a recount, which
+    doesn't shuffle the tail; it costs more time where the tail is short.
+    """
     kept = ev.select("dataset_id", _surviving(F.col("content"), stop_words).alias("w")).where(F.size("w") > 1)
     pair = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return top_values(kept.select("dataset_id", F.explode(pair).alias("phrase")), ["dataset_id"], "phrase", k, min_count)
+    rows = kept.select("dataset_id", F.explode(pair).alias("phrase"))
+    if tracked:
+        return top_values(rows, ["dataset_id"], "phrase", k, min_count, tracked)
+    counts = rows.groupBy("dataset_id", "phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    return top_k_per(counts, ["dataset_id"], k, [F.desc("n"), F.asc("phrase")])
 
 
 def links(ev: DataFrame) -> DataFrame:
