@@ -18,8 +18,9 @@ sketches, and only the others are compared by sets. A signature's nodes are firs
 compared with one of them, its hub. Links merge nodes, and only nodes
 that are still apart are compared further: in a small signature all pairs; in a large
 one (beyond SMALL nodes) first with other hubs, and what then is apart in blocks of
-nodes, first by sketches and then by sets, in a task that returns links alone. Both
-ways are exact, and the size of a signature alone chooses between them. So a group of
+nodes. There sketches join nodes of different components that may be linked to groups
+over all signatures, and a group's blocks are compared by sets, in a task that returns
+links alone. Both ways are exact, and the size of a signature alone chooses between them. So a group of
 copies costs a few comparisons for each node, and no link between two components is
 lost.
 """
@@ -324,25 +325,54 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return placed.join(sides, (F.col("sig") == F.col("_s")) & F.col("own").eqNullSafe(F.col("_o")) & (F.col("block") == F.col("_b"))).select("pair", "node", "comp")
 
 
+def _near(table: pa.Table, percent: int) -> np.ndarray:
+    """Which pairs of a task's nodes, of different components, sketches and sizes don't rule out."""
+    comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
+    sketches = table.column("sketch").to_pylist()
+    size = min(map(len, sketches))
+    # Equal bits less unequal ones, for all pairs at once: a product of signs, of some thousand bits at a time.
+    bits, same = np.array([folded(x, size) for x in sketches]), np.zeros((len(n), len(n)), np.float32)
+    for lo in range(0, size, 512):
+        signs = np.unpackbits(bits[:, lo : lo + 512], axis=1).astype(np.float32) * 2 - 1
+        same += signs @ signs.T
+    apart = (8 * size - same) / 2
+    return (apart * (100 + percent) <= (n[:, None] + n[None, :]) * (100 - percent)) & (comp[:, None] != comp[None, :])
+
+
+def _with_sketches(sent: DataFrame, sketches: DataFrame) -> DataFrame:
+    return sent.join(sketches.select(F.col("node").alias("_n"), "n", "sketch"), F.col("node") == F.col("_n")).select("pair", "node", "comp", "n", "sketch")
+
+
 def _maybe_linked(sent: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The nodes (pair, node, comp) of block pairs that have a partner of another component there, by sketches."""
-    full = sent.join(sketches.select(F.col("node").alias("_n"), "n", "sketch"), F.col("node") == F.col("_n")).select("pair", "node", "comp", "n", "sketch")
 
     def screen(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
-        sketches = table.column("sketch").to_pylist()
-        size = min(map(len, sketches))
-        # Equal bits less unequal ones, for all pairs at once: a product of signs, of some thousand bits at a time.
-        bits, same = np.array([folded(x, size) for x in sketches]), np.zeros((len(n), len(n)), np.float32)
-        for lo in range(0, size, 512):
-            signs = np.unpackbits(bits[:, lo : lo + 512], axis=1).astype(np.float32) * 2 - 1
-            same += signs @ signs.T
-        apart = (8 * size - same) / 2
-        near = (apart * (100 + percent) <= (n[:, None] + n[None, :]) * (100 - percent)) & (comp[:, None] != comp[None, :])
-        return table.select(["pair", "node", "comp"]).filter(pa.array(near.any(axis=1)))
+        return table.select(["pair", "node", "comp"]).filter(pa.array(_near(table, percent).any(axis=1)))
+
+    return _with_sketches(sent, sketches).groupBy("pair").applyInArrow(screen, "pair long, node long, comp long")
+
+
+def _near_groups(sent: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that join what sketches don't rule out in block pairs: fewer rows than a task has nodes.
+
+    Two nodes of a pair here need not be near themselves; a chain of near ones leads from one to the other.
+    """
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, near = table.column("node").to_numpy(), _near(table, percent)
+        least = np.arange(len(node))
+        while True:
+            new = np.minimum(least, np.where(near, least[None, :], len(node)).min(axis=1))
+            new = new[new]
+            if (new == least).all():
+                break
+            least = new
+        more = np.flatnonzero(least < np.arange(len(node)))
+        return pa.table({"a": pa.array(node[more], pa.int64()), "b": pa.array(node[least[more]], pa.int64())})
 
-    return full.groupBy("pair").applyInArrow(screen, "pair long, node long, comp long")
+    return _with_sketches(sent, sketches).groupBy("pair").applyInArrow(join, "a long, b long")
 
 
 def _block_links(sent: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -419,8 +449,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     links.append(linked(near, "open-links"))
     label = components(reduce(DataFrame.unionByName, links))
     if not large.isEmpty():
-        # Blocks send a node's set once for each signature, so they only get what exact components leave apart.
-        sent = materialize(_maybe_linked(_block_pairs(_open(large.select("sig", "node"), label, SMALL)), sketches, percent), "screened")
+        # Of what exact components leave apart, sketches first tell groups that hold all links left: a node has one
+        # group, whatever number of signatures it has, so its set is sent once for each block of that group.
+        near = materialize(_near_groups(_block_pairs(_open(large.select("sig", "node"), label, SMALL)), sketches, percent), "near-groups")
+        groups = _labelled(components(near).select(F.col("label").alias("sig"), "node"), label)
+        sent = materialize(_maybe_linked(_block_pairs(groups), sketches, percent), "screened")
+        discard(near)
         sets = sets_of(docs, rows, sent.selectExpr("node as a", "node as b"), width, id_col, text_col)
         links.append(materialize(_block_links(sent, sets, percent), "block-links"))
         discard(sent, sets)
