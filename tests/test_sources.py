@@ -180,6 +180,11 @@ def test_documents_and_gradebook(spark):
     assert [(r.subject, r.mean) for r in report["weak"].collect()] == [("Math", 55.0), ("English", 60.0)]
 
 
+def test_paragraphs_keep_their_digits(spark):
+    docs = spark.createDataFrame([(1, "a", "0997523947200283 begins with zero\n\n 1 is what this paragraph ends with 1 ")], "doc_id long, source string, text string")
+    assert sorted(e.content for e in documents.documents_to_events(docs).collect()) == ["0997523947200283 begins with zero", "1 is what this paragraph ends with 1"]
+
+
 @pytest.fixture
 def stream(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
