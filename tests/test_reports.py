@@ -120,6 +120,14 @@ def test_integrity(spark):
     assert sinks.integrity_manifest(ev, back).first().regressions == 1
 
 
+def test_json_export_is_packed(spark, tmp_path):
+    ev = events(spark, [("a", at(minute=i), f'say "{i}",\nthen') for i in range(4)])
+    sinks.export_json(ev, f"{tmp_path}/json")
+    files = [f.name for f in tmp_path.glob("json/events/part-*")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert [r.content for r in spark.read.json(f"{tmp_path}/json/events").orderBy("id").collect()] == [r.content for r in ev.orderBy("id").collect()]
+
+
 def test_exports(spark, tmp_path):
     ev = events(spark, [("a", at(minute=i), f'say "{i}",\nthen') for i in range(4)])
     sinks.export_csv(ev, f"{tmp_path}/csv")
