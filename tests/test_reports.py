@@ -128,6 +128,13 @@ def test_json_export_is_packed(spark, tmp_path):
     assert [r.content for r in spark.read.json(f"{tmp_path}/json/events").orderBy("id").collect()] == [r.content for r in ev.orderBy("id").collect()]
 
 
+def test_event_table_is_packed(spark, tmp_path):
+    ev = events(spark, [("a", at(minute=i), f'say "{i}",\nthen') for i in range(4)])
+    sinks.write_events(ev, f"{tmp_path}/ev")
+    files = [f.name for f in tmp_path.glob("ev/*/*.parquet")]
+    assert files and all(".zstd." in f for f in files)
+
+
 def test_exports(spark, tmp_path):
     ev = events(spark, [("a", at(minute=i), f'say "{i}",\nthen') for i in range(4)])
     sinks.export_csv(ev, f"{tmp_path}/csv")
