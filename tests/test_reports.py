@@ -135,6 +135,15 @@ def test_event_table_is_packed(spark, tmp_path):
     assert files and all(".zstd." in f for f in files)
 
 
+def test_csv_export_is_packed(spark, tmp_path):
+    ev = events(spark, [("a", at(minute=i), f'say "{i}",\nthen') for i in range(4)])
+    sinks.export_csv(ev, f"{tmp_path}/csv")
+    files = [f.name for f in tmp_path.glob("csv/part-*")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{tmp_path}/csv")
+    assert sorted(r.content for r in back.collect()) == sorted(r.content for r in ev.collect())
+
+
 def test_exports(spark, tmp_path):
     ev = events(spark, [("a", at(minute=i), f'say "{i}",\nthen') for i in range(4)])
     sinks.export_csv(ev, f"{tmp_path}/csv")
