@@ -141,3 +141,19 @@ def test_broken_archives_are_rejects(spark, tmp_path):
     assert bad.keys() == {"no.zip", "cut.zip"} and bad["no.zip"].startswith("no archive")
     dan = json.loads(df.where("actor = 'dan'").first().metadata)
     assert (dan["entry"]["channelId"], dan["entry"]["guildId"]) == ("c", "g")
+
+
+def test_lines_are_numbered_without_a_shuffle_of_texts(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(2000)))
+    with_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = ranges.text_lines(spark, str(tmp_path))
+        texts = lines._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        assert "Scan text" in texts and "Exchange hashpartitioning" not in texts
+        got = lines.select("source_file", "part", "line_no", "line").collect()
+        assert len({(r.source_file, r.part) for r in got}) > 10
+        assert sorted((r.line[0], r.line_no) for r in got) == [(n, i) for n in "ab" for i in range(2000)] and all(r.line == f"{r.line[0]}{r.line_no}" for r in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_bytes)
