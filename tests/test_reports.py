@@ -381,3 +381,16 @@ def test_similar_documents_with_copies_and_a_hot_token(spark, monkeypatch):
         got = documents.document_similarity(docs, min_percent=least).collect()
         assert {(x.a, x.b) for x in got} == want and len(got) == len(want), least
         assert all(x.percent == int(100 * len(sets[x.a] & sets[x.b]) / len(sets[x.a] | sets[x.b]) + 0.5) for x in got)
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_media_are_classified_once(spark):
+    from tidewell.functions.text import classify_media
+
+    ev = spark.createDataFrame([("see VID-1.mp4 (file attached)",), ("a <image omitted>",), ("AUD-x y.opus",), ("c.docx ( file attached )",), (None,)], "content string")
+    found = ev.select(classify_media(F.col("content"), F.lit(False)).alias("m")).select("m.*")
+    assert [tuple(r) for r in found.collect()] == [(True, "video", "VID-1.mp4"), (True, "image", None), (False, "media", None), (True, "document", "c.docx"), (False, "media", None)]
+    assert _optimized(found).count("file attached\\s") == 6
