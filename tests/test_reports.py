@@ -394,3 +394,10 @@ def test_media_are_classified_once(spark):
     found = ev.select(classify_media(F.col("content"), F.lit(False)).alias("m")).select("m.*")
     assert [tuple(r) for r in found.collect()] == [(True, "video", "VID-1.mp4"), (True, "image", None), (False, "media", None), (True, "document", "c.docx"), (False, "media", None)]
     assert _optimized(found).count("file attached\\s") == 6
+
+
+def test_lengths_are_counted_in_place(spark):
+    ev = events(spark, [("a", at(minute=i), t) for i, t in enumerate(["x_y 𝒳 12", "", "..."])])
+    measured = volume.measured(ev)
+    assert [(r.chars, r.words) for r in measured.orderBy("id").collect()] == [(9, 4), (0, 1), (3, 1)]
+    assert _optimized(measured).count("regexp_extract_all") == 1 and "regexp_replace" not in _optimized(measured)
