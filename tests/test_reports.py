@@ -401,3 +401,11 @@ def test_lengths_are_counted_in_place(spark):
     measured = volume.measured(ev)
     assert [(r.chars, r.words) for r in measured.orderBy("id").collect()] == [(9, 4), (0, 1), (3, 1)]
     assert _optimized(measured).count("regexp_extract_all") == 1 and "regexp_replace" not in _optimized(measured)
+
+
+def test_words_are_filtered_without_patterns(spark):
+    ev = events(spark, [("a", at(minute=i), t) for i, t in enumerate(["httpx wwwx river 123 12a river", "a_b river-boat"])])
+    assert {(r.kind, r.value, r.n) for r in words.frequencies(ev).collect()} == {("word", "river", 3), ("word", "httpx", 1), ("word", "wwwx", 1), ("word", "12a", 1), ("word", "boat", 1)}
+    assert {(r.word, r.n) for r in words.top_words(ev).collect()} == {("river", 3), ("12a", 1), ("boat", 1)}
+    for report in (words.frequencies, words.top_words, words.word_summary, words.top_phrases):
+        assert "RLIKE" not in _optimized(report(ev)) and "split(" not in _optimized(report(ev))
