@@ -268,6 +268,34 @@ def test_embeddings_of_a_batch_equal_those_of_single_texts():
             assert max(abs(a - b) for a, b in zip(got, search.embedding(text))) < 1e-12
 
 
+def test_similarity_in_one_step_equals_that_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(search, "HELD_TEXTS", 2)
+    texts = ["Database connection error", "", None, "a bb ccc dddd dddd", "naïve façade 漢字 𝒳𝒴𝒵𝒳𝒴 ok", "Database connection error", "x" * 400] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(2)
+    query = F.array(*[F.lit(x) for x in search.embedding("error connection")])
+    found = df.select("id", search.similarity(F.col("t"), "error connection").alias("s"), search.cosine01(search.embed("t"), query).alias("c"), search.embed("t").alias("v"))
+    rows = found.orderBy("id").collect()
+    assert [r.s for r in rows] == [r.c for r in rows] and all(max(abs(a - b) for a, b in zip(r.v, search.embedding(texts[r.id]))) < 1e-7 for r in rows)
+    # A search's vectors stay in Python.
+    ev = df.select(F.col("id").cast("string").alias("id"), F.lit("d").alias("dataset_id"), F.current_timestamp().alias("ts"), F.col("t").alias("content"))
+    assert "zip_with" not in _optimized(search.search(ev, "error", mode="semantic"))
+
+
+def test_terms_hold_one_text_of_a_batch_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidewell.functions.terms import numbers_of
+
+    texts = pa.array([f"{i} urgent 😂 " + "x" * 100_000 for i in range(40)] + [None, "", "0 urgent"])
+    tracemalloc.start()
+    found = numbers_of(texts, ("help", "urgent")).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [[1]] * 40 + [[], [], [1]] and peak < 4_000_000  # all strings would be 16 MB
+
+
 def test_trailing_count_over_days(spark):
     base = dt.datetime(2024, 1, 1, 12)
     ev = spark.createDataFrame([(i, "d", base + dt.timedelta(hours=20 * i)) for i in range(8)], "id long, dataset_id string, ts timestamp")
