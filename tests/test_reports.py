@@ -394,6 +394,37 @@ def test_month_parts_and_the_digest_tree(spark):
     assert sinks.content_digest(bad).first() != sinks.content_digest(big).first()
 
 
+def test_months_of_equal_times_and_their_digests(spark):
+    import hashlib
+
+    made = [(str(k % 3 if k < 60 else k), "d", at(day=k // 45, sec=k // 30), f"m{k // 30}é\n\nz" if k % 50 else None) for k in range(120)] + [("x", None, at(), "y"), ("x", "d", None, "y")]
+    ev = spark.createDataFrame(made, "id string, dataset_id string, ts timestamp, content string").withColumn("actor", F.when(F.col("id") != "1", "Ann")).repartition(3)
+    found = {r.month: (r.messages, r.sha256) for r in sinks.month_digests(ev).collect()}
+    for size in (1, 7, 20, 1000):
+        parts = sinks.month_parts(ev, size).orderBy("month", "part").collect()
+        assert [p.part for p in parts] == list(range(len(parts))) and all(p.messages == min(size, 120 - p.part * size) for p in parts)
+        text = "\n\n".join(p.text for p in parts)
+        assert text.count("## 20") == 3 and text.count("---\n") == 2
+    steady = ev.where("id > '1' and id is not null or actor is null").dropDuplicates(["dataset_id", "ts", "id"])
+    tuned = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in tuned.items():
+        spark.conf.set(k, v)
+    digests = sinks.month_digests(steady).collect()
+    for k in tuned:
+        spark.conf.unset(k)
+    assert len(digests) == 1
+    for r in digests:
+        text = "\n\n".join(p.text for p in sinks.month_parts(steady, 7).orderBy("part").collect())
+        assert r.sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert {m: n for m, (n, _) in found.items()} == {parts[0].month: 120}
+
+
+def test_texts_of_months_are_shuffled_once_and_packed(spark):
+    ev = events(spark, [("Ann", at(sec=k), f"m{k}") for k in range(9)])
+    for made in (sinks.month_parts(ev, 2), sinks.month_digests(ev)):
+        assert "collect_list(struct(at" not in _optimized(made) and "_packed" in _optimized(made)
+
+
 def test_similar_documents_with_copies_and_a_hot_token(spark, monkeypatch):
     r = random.Random(3)
     vocabulary = [f"word{i}" for i in range(60)]
