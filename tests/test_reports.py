@@ -442,6 +442,29 @@ def test_similar_documents_with_copies_and_a_hot_token(spark, monkeypatch):
         assert all(x.percent == int(100 * len(sets[x.a] & sets[x.b]) / len(sets[x.a] | sets[x.b]) + 0.5) for x in got)
 
 
+def test_the_most_similar_pair_is_found_without_all_pairs(spark, monkeypatch):
+    asked, nodes = [], documents._similar_nodes
+    monkeypatch.setattr(documents, "_similar_nodes", lambda toks, p: (asked.append(p), nodes(toks, p))[1])
+    base = [f"word{i}" for i in range(20)]
+    cases = {(99,): ["zz1 other", " ".join(base), " ".join(base[::-1]), "zz1 other"], (99, 90): [" ".join(base), " ".join(base[:19]), "zz1 other"]}
+    for steps, texts in cases.items():
+        asked.clear()
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = documents.most_similar_documents(docs, min_percent=50).collect()
+        assert asked == list(steps), texts
+        assert got == documents.most_similar(documents.document_similarity(docs, min_percent=50)).collect()
+
+
+def test_newest_events_are_picked_without_texts(spark):
+    rows = [("d", str(i // 2), at(sec=i // 4), f"t{i}") for i in range(20)] + [(None, None, None, "n"), ("e", "1", None, "z")]
+    ev = spark.createDataFrame(rows, "dataset_id string, id string, ts timestamp_ntz, content string")
+    for n, newest in ((3, True), (5, False), (100, True)):
+        got = volume.head_per_dataset(ev, n, newest)
+        want = sequence.top_k_per(ev, ["dataset_id"], n, [F.desc("ts"), F.desc("id")] if newest else [F.asc("ts"), F.asc("id")])
+        cells = lambda df: sorted((str(r.dataset_id), r["rank"], str(r.id), str(r.ts)) for r in df.collect())
+        assert cells(got) == cells(want) and "LeftSemi" in _optimized(got)
+
+
 def _optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
