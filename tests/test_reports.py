@@ -442,6 +442,26 @@ def test_similar_documents_with_copies_and_a_hot_token(spark, monkeypatch):
         assert all(x.percent == int(100 * len(sets[x.a] & sets[x.b]) / len(sets[x.a] | sets[x.b]) + 0.5) for x in got)
 
 
+def test_similar_documents_by_blocks_and_tiles(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(r.sample([f"word{i}" for i in range(80)], r.randrange(1, 60))) for _ in range(150)]
+    sets = [set(t.split()) for t in texts]
+    monkeypatch.setattr(documents, "BLOCK_NODES", (4, 16))
+    monkeypatch.setattr(documents, "TILE", 3)
+    monkeypatch.setattr(documents, "TILE_BYTES", 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (20, 50):
+        want = {(a, b) for a in range(150) for b in range(a + 1, 150) if 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+        got = [(x.a, x.b) for x in documents.document_similarity(docs, min_percent=least).collect()]
+        assert set(got) == want and len(got) == len(want), least
+    # No pair carries the sets' sketches: they are sent by blocks of nodes.
+    toks = documents._classes(docs, "doc_id")[2]
+    found = documents._near_by_blocks(toks, 50)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [(x.a, x.b) for x in found.collect()]
+    assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+
+
 def test_the_most_similar_pair_is_found_without_all_pairs(spark, monkeypatch):
     asked, nodes = [], documents._similar_nodes
     monkeypatch.setattr(documents, "_similar_nodes", lambda toks, p: (asked.append(p), nodes(toks, p))[1])
