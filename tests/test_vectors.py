@@ -54,6 +54,15 @@ def test_probing_finds_most_and_says_how_much(spark, rows):
     assert few.recall < 1 and index.search(queries, 10, probes=len(index.centroids)).select(F.sum("rank")).first() == exact.select(F.sum("rank")).first()
 
 
+def test_a_query_is_sent_once_for_many_cells(spark, rows):
+    index = VectorIndex.build(table(spark, rows), block=60)
+    queries = table(spark, [x for x in rows if x[0] % 20 == 0])
+    asked = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.lit(None).cast("double").alias("least")).where("size(q) = 12 and not isnan(q[0])")
+    sent = index._sent(asked, len(index.centroids))
+    assert len(index.packs) == index.parts.sum() > 10
+    assert sent.count() == asked.count() and index.rows.select("pack").distinct().count() == 1
+
+
 def test_few_and_no_vectors(spark):
     one = VectorIndex.build(table(spark, [(1, [1.0, 0.0])]))
     assert one.search(table(spark, [(1, [1.0, 0.0])]), exact=True).collect() == []
