@@ -432,6 +432,23 @@ def test_signatures_are_shared_by_all_linked_sets():
                 assert len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)))
 
 
+def test_a_common_passage_gives_no_signature_where_others_suffice():
+    r = np.random.default_rng(6)
+    common = np.unique(r.integers(0, 1 << 63, 30).astype(np.uint64) << np.uint64(1))
+    made = lambda n, base: np.unique(np.concatenate([base, r.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)]))
+    plain = found = 0
+    for _ in range(200):
+        a, b = made(170, common), made(170, common)
+        plain += len(np.intersect1d(jaccard.signatures(a, 80), jaccard.signatures(b, 80)))
+        found += len(np.intersect1d(jaccard.signatures(a, 80, common=common), jaccard.signatures(b, 80, common=common)))
+        near = made(int(r.integers(0, 15)), a[int(r.integers(0, 15)) :])
+        both = len(np.intersect1d(a, near))
+        for known in (common, np.union1d(common, a[::2]), a, np.zeros(0, np.uint64)):
+            if 100 * both >= 80 * (len(a) + len(near) - both):
+                assert len(np.intersect1d(jaccard.signatures(a, 80, common=known), jaccard.signatures(near, 80, common=known)))
+    assert plain > 20 and found <= plain // 10
+
+
 def test_keep_one(spark, docs, none):
     left = jaccard.keep_one(docs)
     assert left.columns == docs.columns and jaccard.keep_one(none).count() == 0

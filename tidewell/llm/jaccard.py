@@ -8,8 +8,10 @@ band and the set's elements there. Of a set's parts only the first k + 1 that ha
 elements sign, with the k of its own size: the first part over which two linked
 sets are equal comes after k others at most, in both. A band has so many parts that
 linked sets can't be equal over empty parts alone; the few sets of which that
-isn't sure sign for empty parts as well. A set signs for its own band, and for the
-next if that can hold a larger partner.
+isn't sure sign for empty parts as well. Parts with none but common elements, as a
+passage of very many sets leaves them, come last: any order that depends on a part and its
+content alone will do, so which elements are called common changes no result. A set signs
+for its own band, and for the next if that can hold a larger partner.
 
 Equal sets are one node from the start. A node carries a sketch, the parity of its
 elements in about as many bits as it has elements: two sketches never differ in more
@@ -79,15 +81,18 @@ def distinct_shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
-def signatures(s: np.ndarray, percent: int = PERCENT, mixed: np.ndarray | None = None) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int = PERCENT, mixed: np.ndarray | None = None, common: np.ndarray | None = None) -> np.ndarray:
     """All signatures of a sorted set of hashes, for its own band and, if a larger set of it can be linked, the next.
 
-    ``mixed`` is the set's mix(s, 7), if that is known.
+    ``mixed`` is the set's mix(s, 7), if that is known. Parts that hold none but
+    ``common`` hashes (sorted) sign only where others don't suffice.
     """
     first, last = bands(percent)
     n = len(s)
     own = int(np.searchsorted(last, n))
-    sums = None
+    sums = rare = None
+    if common is not None and len(common):
+        rare = np.concatenate([[0], np.cumsum(common[np.searchsorted(common[:-1], s)] != s)])
     out = [np.zeros(0, np.uint64)]
     for band in (own, own + 1) if 100 * n >= percent * first[own + 1] else (own,):
         k = differences(n, min(100 * n // percent, int(last[band])), percent)
@@ -101,6 +106,9 @@ def signatures(s: np.ndarray, percent: int = PERCENT, mixed: np.ndarray | None =
         ends = np.concatenate([[0], np.searchsorted(s, starts), [n]])
         full = np.flatnonzero(ends[1:] > ends[:-1])
         count = len(ends) - 1
+        if rare is not None:
+            weak = rare[ends[full + 1]] == rare[ends[full]]
+            full = np.concatenate([full[~weak], full[weak]])
         at = full[: k + 1]
         if count - len(full) > count - k - 1:
             at = np.union1d(at, np.arange(k + 1))
@@ -121,7 +129,28 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(out.reshape(-1, size)) if len(out) > size else out
 
 
-def sign(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: About so many distinct texts are looked through for common shingles; those in this share of them and in MET texts count, and are kept up to a number.
+SAMPLED, SHARE, MET, COMMON = 4096, 1 / 512, 8, 1 << 15
+
+
+def common_shingles(docs: DataFrame, width: int = WIDTH, text_col: str = "text") -> np.ndarray:
+    """The sorted hashes of shingles that many distinct texts of a sample, picked by hash, have; COMMON at most reach the driver."""
+    text = F.col(f"`{text_col}`").cast("string")
+    every = max(1, docs.count() // SAMPLED)
+    texts = docs.select(F.xxhash64(text, F.lit(9)).alias("k"), text.alias("text")).where(F.pmod("k", F.lit(every)) == 0).groupBy("k").agg(F.first("text").alias("text")).select("text")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([distinct_shingles(x.as_py(), width).view(np.int64) for x in batch.column(0)], pa.list_(pa.int64()))], names=["set"])
+
+    sets = materialize(texts.mapInArrow(run, "set array<long>"), "sampled")
+    least = max(MET, int(sets.count() * SHARE))
+    found = sets.select(F.explode("set").alias("h")).groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
+    discard(sets)
+    return np.sort(found["h"].to_numpy().view(np.uint64))
+
+
+def sign(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", common: np.ndarray | None = None) -> DataFrame:
     """Each row's set size, node (a hash of its set; null if empty), second hash, and, once a task, its sketch and signatures.
 
     Of the nodes of a batch that share a signature the first has it in ``heads``;
@@ -147,7 +176,7 @@ def sign(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: st
                     continue
                 seen.add(node)
                 sketches.append(sketch_of(s))
-                found.append(signatures(s, percent, mixed))
+                found.append(signatures(s, percent, mixed, common))
                 signers.append(len(found[-1]))
             flat, owner = np.concatenate(found).view(np.int64), np.repeat(np.arange(len(n)), signers)
             _, at, inverse, times = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
@@ -292,7 +321,8 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     """Each open signature's nodes with HUBS of them, picked by hash, where their labels differ."""
     pick = lambda turn: F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("x"), "node", "comp"))
     hubs = materialize(rows.groupBy(F.col("sig").alias("_s")).agg(F.array(*[pick(turn) for turn in range(HUBS)]).alias("hubs")), "hubs")
-    met = rows.join(hubs, F.col("sig") == F.col("_s")).select("node", "comp", F.explode("hubs").alias("hub")).where("comp <> hub.comp")
+    # Hubs of a node's own component make no row.
+    met = rows.join(hubs, F.col("sig") == F.col("_s")).select("node", F.explode(F.filter("hubs", lambda h: h["comp"] != F.col("comp"))).alias("hub"))
     return met.select(F.greatest("node", F.col("hub.node")).alias("a"), F.least("node", F.col("hub.node")).alias("b")).distinct()
 
 
@@ -428,7 +458,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     component are null and component_id is its doc_id. A null doc_id takes part
     in links, but isn't the smallest unless a component has no other.
     """
-    signed = materialize(sign(docs, width, percent, id_col, text_col), "signed")
+    signed = materialize(sign(docs, width, percent, id_col, text_col, common_shingles(docs, width, text_col)), "signed")
     sketches = materialize(signed.where("sketch is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
     members, stars, heads = shared(signed)
     rows = signed.select("doc_id", "text_key", "n", "node", "checked")
