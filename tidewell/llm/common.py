@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shared import discard, fresh_dir, materialize, shared_dir
 
-__all__ = ["bloom_bits", "bloom_of", "bucketed", "discard", "fresh_dir", "given_names", "in_bloom", "lower_ascii", "materialize", "mix", "read_table", "shared_dir", "shingles", "word_hashes"]
+__all__ = ["bloom_bits", "bloom_of", "bucketed", "discard", "fresh_dir", "given_names", "in_arrow", "in_bloom", "lower_ascii", "materialize", "mix", "read_table", "shared_dir", "shingles", "word_hashes"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,6 +29,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to Python at a time, where the session says nothing else; one row may have more.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, func, schema) -> DataFrame:
+    """``df.mapInArrow``, by batches of BATCH_BYTES.
+
+    Spark's own batches of whole texts take tens of MB on both sides, and an
+    executor that runs stage after stage keeps much of what its largest batches
+    took. The setting stays in the session, as the rows are made when they are
+    asked for; one that the session has already is left alone.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(func, schema)
+
+
 def given_names(columns: list[str], added: list[str]) -> list[str]:
     """The caller's column names beside an operator's own: one that clashes with these gets ``_given`` at its end."""
     taken = {a.lower() for a in added}

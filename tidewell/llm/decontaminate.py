@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, bloom_bits, bloom_of, in_bloom, materialize, shingles, word_hashes
+from .common import NOT_ALNUM, bloom_bits, bloom_of, in_arrow, in_bloom, materialize, shingles, word_hashes
 
 WINDOW, WIDTH = 13, 3
 _WINDOWS = "item_id string, words binary, n int, at int, shingle long"
@@ -41,7 +41,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, width: int = WIDTH, id_
             kinds = [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["item_id", "words", "n", "at", "shingle"])
 
-    return rows.mapInArrow(cut, _WINDOWS)
+    return in_arrow(rows, cut, _WINDOWS)
 
 
 def prefixes(docs: DataFrame, windows: DataFrame, width: int = WIDTH, text_col: str = "text") -> DataFrame:
@@ -67,7 +67,7 @@ def prefixes(docs: DataFrame, windows: DataFrame, width: int = WIDTH, text_col:
             s, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], names=["_s", "k"])
 
-    counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "_s long, k long").groupBy("_s").agg(F.sum("k").alias("k"))
+    counts = in_arrow(docs.select(F.col(f"`{text_col}`").cast("string").alias("text")), count, "_s long, k long").groupBy("_s").agg(F.sum("k").alias("k"))
     rare = windows.join(counts, windows["shingle"] == counts["_s"])
     best = rare.select("item_id", "words", "n", "at", "shingle", "k").groupBy("words", "n").agg(F.min(F.struct("k", "shingle", "at")).alias("best"), F.collect_set("item_id").alias("items"))
     return best.select("words", "n", "best.at", "best.shingle", "items")
@@ -111,7 +111,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, width:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    found = rows.mapInArrow(scan, _FOUND)
+    found = in_arrow(rows, scan, _FOUND)
     p = prefix.select(F.col("shingle").alias("_s"), F.lit(False).alias("_o"), "words", "n", "at", "items")
     # A document's own row meets no window and is kept by the left join; its key only
     # spreads such rows. Length and position: the window starts ``at`` words before

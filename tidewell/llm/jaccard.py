@@ -36,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOOM_KEYS, bloom_bits, bloom_of, discard, in_bloom, materialize, mix, shingles, word_hashes
+from .common import BLOOM_KEYS, bloom_bits, bloom_of, discard, in_arrow, in_bloom, materialize, mix, shingles, word_hashes
 from .components import components
 
 WIDTH, PERCENT = 3, 90
+#: Rows and signatures that a task holds before it puts them out.
+SIGNED_ROWS, SIGNED_SIGS = 10_000, 1 << 20
 SIGNED = "doc_id long, text_key long, n long, node long, checked long, sketch binary, sigs array<long>, heads array<long>, again array<long>, again_head array<long>"
 
 
@@ -143,7 +145,7 @@ def common_shingles(docs: DataFrame, width: int = WIDTH, text_col: str = "text")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([distinct_shingles(x.as_py(), width).view(np.int64) for x in batch.column(0)], pa.list_(pa.int64()))], names=["set"])
 
-    sets = materialize(texts.mapInArrow(run, "set array<long>"), "sampled")
+    sets = materialize(in_arrow(texts, run, "set array<long>"), "sampled")
     least = max(MET, int(sets.count() * SHARE))
     found = sets.select(F.explode("set").alias("h")).groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
     discard(sets)
@@ -153,48 +155,60 @@ def common_shingles(docs: DataFrame, width: int = WIDTH, text_col: str = "text")
 def sign(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", common: np.ndarray | None = None) -> DataFrame:
     """Each row's set size, node (a hash of its set; null if empty), second hash, and, once a task, its sketch and signatures.
 
-    Of the nodes of a batch that share a signature the first has it in ``heads``;
-    the others have it in ``again``, with that first node in ``again_head``. So a
-    signature of very many nodes is dealt out once a batch.
+    Rows are put out by stretches of SIGNED_ROWS rows or SIGNED_SIGS signatures.
+    Of the nodes of a stretch that share a signature the first has it in
+    ``heads``; the others have it in ``again``, with that first node in
+    ``again_head``. So a signature of very many nodes is dealt out once a stretch.
     """
 
+    def put_out(ids, keys, n, nodes, checks, sketches, signers, found):
+        flat, owner = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), np.repeat(np.arange(len(n)), signers)
+        _, at, inverse, times = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+        is_first = np.zeros(len(flat), bool)
+        is_first[at] = True
+        many = times[inverse] > 1
+        key = np.array([x or 0 for x in nodes], np.int64)
+
+        def lists(mask, values):
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[mask], minlength=len(n)))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[mask]))
+
+        cols = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary())]
+        cols += [lists(is_first & ~many, flat), lists(is_first & many, flat), lists(~is_first, flat), lists(~is_first, key[owner[at]][inverse] if len(flat) else flat)]
+        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SIGNED.split(", ")])
+
     def run(batches):
         seen: set[int] = set()
+        held, sigs = tuple([] for _ in range(8)), 0
+        ids, keys, n, nodes, checks, sketches, signers, found = held
         for batch in batches:
-            n, nodes, checks, sketches, found, signers = [], [], [], [], [np.zeros(0, np.uint64)], []
-            for text in batch.column(2).to_pylist():
+            # No slice of a batch is kept, as it would hold the batch's texts.
+            for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = distinct_shingles(text, width)
-                n.append(len(s))
-                if not len(s):
-                    nodes.append(None), checks.append(None), sketches.append(None), signers.append(0)
-                    continue
-                mixed = mix(s, 7)
-                node, check = mix(np.array([mixed.sum(), (mixed * mixed).sum()], np.uint64) + np.uint64(len(s)), 3).view(np.int64).tolist()
-                nodes.append(node), checks.append(check)
-                if node in seen:
-                    sketches.append(None), signers.append(0)
-                    continue
-                seen.add(node)
-                sketches.append(sketch_of(s))
-                found.append(signatures(s, percent, mixed, common))
-                signers.append(len(found[-1]))
-            flat, owner = np.concatenate(found).view(np.int64), np.repeat(np.arange(len(n)), signers)
-            _, at, inverse, times = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-            is_first = np.zeros(len(flat), bool)
-            is_first[at] = True
-            many = times[inverse] > 1
-            key = np.array([x or 0 for x in nodes], np.int64)
-
-            def lists(mask, values):
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[mask], minlength=len(n)))]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[mask]))
-
-            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary())]
-            cols += [lists(is_first & ~many, flat), lists(is_first & many, flat), lists(~is_first, flat), lists(~is_first, key[owner[at]][inverse] if len(flat) else flat)]
-            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SIGNED.split(", ")])
+                node = check = sketch = None
+                signers.append(0)
+                if len(s):
+                    mixed = mix(s, 7)
+                    node, check = mix(np.array([mixed.sum(), (mixed * mixed).sum()], np.uint64) + np.uint64(len(s)), 3).view(np.int64).tolist()
+                    if node not in seen:
+                        seen.add(node)
+                        sketch = sketch_of(s)
+                        found.append(signatures(s, percent, mixed, common))
+                        signers[-1] = len(found[-1])
+                        sigs += signers[-1]
+                for column, value in zip(held, (doc_id, key, len(s), node, check, sketch)):
+                    column.append(value)
+                if len(n) >= SIGNED_ROWS or sigs >= SIGNED_SIGS:
+                    yield put_out(*held)
+                    sigs = 0
+                    for column in held:
+                        column.clear()
+        if n:
+            yield put_out(*held)
 
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, SIGNED)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return in_arrow(rows, run, SIGNED)
 
 
 def shared(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -231,7 +245,7 @@ def may_link(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> D
                 ok[i] = apart * (100 + percent) <= allowed[i]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    return near.mapInArrow(run, "a long, b long")
+    return in_arrow(near, run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, signed: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -269,7 +283,7 @@ def _sets_in(texts: DataFrame, bitmap: bytes, width: int, passes: int, turn: int
                     sets.append(distinct_shingles(texts[i].as_py(), width).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "set"])
 
-    return texts.mapInArrow(run, "text_key long, set array<long>")
+    return in_arrow(texts, run, "text_key long, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

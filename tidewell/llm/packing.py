@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_arrow, materialize
 from .encode import encoder
 
 WINDOW, OPEN, GROUP = 1024, 8, 64
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, slots: int = OPE
         if out:
             yield batch()
 
-    pieces = materialize(rows.mapInArrow(place, PIECES), "pieces")
+    pieces = materialize(in_arrow(rows, place, PIECES), "pieces")
     left = pieces.where("is_open").groupBy("part", "sequence_id").agg(F.sum("length").cast("long").alias("used"))
 
     def merge(pdf):

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_arrow
+
 # The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -346,7 +348,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "base", "spans"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(find, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("base", span), T.StructField("spans", span)]))
+    return in_arrow(rows, find, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("base", span), T.StructField("spans", span)]))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -375,4 +377,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # Columns go by their places, so that any name will do.
     places = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*places)
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return in_arrow(plain, run, plain.schema).toDF(*docs.columns)

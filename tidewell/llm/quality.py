@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import given_names, materialize
+from .common import given_names, in_arrow, materialize
 
 SYMBOLS = re.compile("[#*$%&|<>]")
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -86,7 +86,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     at = docs.select(F.col(f"`{text_col}`").cast("string").alias("_tw_text"), *[F.col(f"`{c}`") for c in kept])
-    return at.mapInArrow(count, T.StructType(fields))
+    return in_arrow(at, count, T.StructType(fields))
 
 
 def measured(counted: DataFrame) -> DataFrame:
