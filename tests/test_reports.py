@@ -144,6 +144,15 @@ def test_csv_export_is_packed(spark, tmp_path):
     assert sorted(r.content for r in back.collect()) == sorted(r.content for r in ev.collect())
 
 
+def test_csv_export_keeps_every_sign(spark, tmp_path):
+    texts = [" see you", "see you ", "\n\nlead", "\ttab", "a\r\n", "\r\nb", "a\rb\r", 'nul\0"', "\0", "\x01 x", '"', '","', "\\", "#c", "null", None, "\x85x"]
+    rows = [(i, at(minute=i), " who " if i % 2 else None, "message", t) for i, t in enumerate(texts)]
+    ev = spark.createDataFrame(rows, "id long, ts timestamp_ntz, actor string, event_type string, content string")
+    sinks.export_csv(ev, f"{tmp_path}/csv")
+    got = {int(r.id): (r.actor, r.content) for r in sinks.read_csv(spark, f"{tmp_path}/csv").collect()}
+    assert got == {i: (actor, t) for i, _, actor, _, t in rows}
+
+
 def test_exports(spark, tmp_path):
     ev = events(spark, [("a", at(minute=i), f'say "{i}",\nthen') for i in range(4)])
     sinks.export_csv(ev, f"{tmp_path}/csv")
