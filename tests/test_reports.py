@@ -471,6 +471,21 @@ def test_similar_documents_by_blocks_and_tiles(spark, monkeypatch):
     assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
 
 
+def test_all_pairs_that_share_a_token_by_counts(spark, monkeypatch, tmp_path):
+    from tidewell.plans import tables
+
+    r = random.Random(8)
+    texts = [" ".join(r.sample([f"word{i}" for i in range(90)], r.randrange(1, 30))) for _ in range(90)] + ["hot only"] * 9 + ["alone"] * 2 + [None, "", "single"]
+    sets = {i: set(t.split()) - {"only"} for i, t in enumerate(texts) if t}
+    for name, value in {"BLOCK_NODES": (4, 16), "COPIES": 4, "MATCHES": 50, "PAIRS": 7}.items():
+        monkeypatch.setattr(documents, name, value)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((a, b, int(100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) + 0.5)) for a in sets for b in sets if a < b and sets[a] & sets[b])
+    assert sorted(map(tuple, tables.QUERIES["document_similarity"](spark, str(tmp_path)).collect())) == want
+    assert any(percent < 50 for _, _, percent in want) and "s >= 50" not in tables.ORACLES["document_similarity"]
+
+
 def test_the_most_similar_pair_is_found_without_all_pairs(spark, monkeypatch):
     asked, nodes = [], documents._similar_nodes
     monkeypatch.setattr(documents, "_similar_nodes", lambda toks, p: (asked.append(p), nodes(toks, p))[1])
