@@ -158,6 +158,32 @@ def test_normalize(spark, tmp_path):
     assert resolve_entities(events).count() == 1 and events.select("id").distinct().count() == 2
 
 
+def _normalized(spark, lines, **more):
+    rows = [(f, n, "a", dt.datetime(2024, 1, 1), "2024", f"{f}{n} https://x.y" if n != 4 else None, None, None, None) for f, n in lines]
+    made = spark.createDataFrame(rows, "source_file string, line_no long, actor string, ts timestamp, raw_timestamp string, content string, event_type string, has_media boolean, metadata string")
+    return normalize(made, "d", **more)[0]
+
+
+def test_texts_nobody_asks_for_are_not_numbered(spark):
+    events = _normalized(spark, [("f", n) for n in (3, 1, 4, 2)])
+    asked = events.select("id", "sequence_num", "char_length", "has_urls")
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(asked._jdf.queryExecution(), "formatted")
+    moved = [line for node, line in zip(plan.split("\n"), plan.split("\n")[1:]) if ") Exchange" in node and line.startswith("Input")]
+    assert moved and not any("content#" in line for line in moved)
+    assert [(r.sequence_num, r.has_urls) for r in asked.orderBy("sequence_num").collect()] == [(1, True), (2, True), (3, True)]
+
+
+def test_counted_lines_equal_sorted_ones(spark):
+    usual = [(f, n) for f in ("a", "b", None) for n in (0, 1, 2, 4, 7, 8, 9, 63, 64, 32_766, 32_767, 32_768, 65_536, 9_000_000)]
+    for lines, native in ((usual, True), (usual + [("c", 5), ("c", -2)], False), (usual + [("c", 5), ("c", 5)], False), (usual + [("c", None)], False), ([], True)):
+        counted, sorted_ = (_normalized(spark, lines, count_lines=x) for x in (True, False))
+        key = lambda df: sorted((str(r.source_file), r.sequence_num, r.content) for r in df.collect())
+        if ("c", 5) not in lines or ("c", -2) in lines:
+            assert key(counted) == key(sorted_)
+        assert [x[:2] for x in key(counted)] == [x[:2] for x in key(sorted_)]
+        assert ("row_number" not in counted._jdf.queryExecution().optimizedPlan().toString()) == native
+
+
 def test_scalar_functions(spark):
     t = spark.createDataFrame([("😂 🎉", 1.0), ("a😂", 90.0), ("", 7200.0)], "s string, n double")
     assert [r[0] for r in t.select(text.is_pure_emoji(F.col("s"))).collect()] == [True, False, False]
