@@ -535,3 +535,14 @@ def test_words_are_filtered_without_patterns(spark):
     assert {(r.word, r.n) for r in words.top_words(ev).collect()} == {("river", 3), ("12a", 1), ("boat", 1)}
     for report in (words.frequencies, words.top_words, words.word_summary, words.top_phrases):
         assert "RLIKE" not in _optimized(report(ev)) and "split(" not in _optimized(report(ev))
+
+
+def test_phrases_of_equal_texts_are_found_once(spark, monkeypatch):
+    said = ["river boat sails", "river boat sails", None, "river boat", "river boat sails", "x"]
+    ev = events(spark, [("a", at(minute=i), t) for i, t in enumerate(said)]).coalesce(1)
+    for held in (words.HELD, 20):
+        monkeypatch.setattr(words, "HELD", held)
+        rows = sorted(map(tuple, words.repeated_texts(ev).collect()))
+        assert held == 20 or rows == [("d", "river boat", 1), ("d", "river boat sails", 3), ("d", "x", 1)]
+        assert [(r.phrase, r.n) for r in words.top_phrases(ev).orderBy("rank").collect()] == [("river boat", 4), ("boat sails", 3)]
+    assert "MapInArrow" in _optimized(words.top_phrases(ev))
