@@ -63,6 +63,21 @@ def test_a_query_is_sent_once_for_many_cells(spark, rows):
     assert sent.count() == asked.count() and index.rows.select("pack").distinct().count() == 1
 
 
+def test_queries_are_looked_for_in_rounds_that_leave_nothing(spark, rows, monkeypatch):
+    from tidewell.operators import vectors
+
+    made, spent, write = [], [], vectors.materialize
+    monkeypatch.setattr(vectors, "materialize", lambda df, label: (made.append(label), write(df, label))[1])
+    monkeypatch.setattr(vectors, "discard", lambda *tables: spent.extend(tables))
+    monkeypatch.setattr(vectors, "ROUND", 15)
+    monkeypatch.setattr(vectors, "QUERIES", 4)
+    queries = [x for x in rows if x[0] % 20 == 0]
+    got = VectorIndex.build(table(spark, rows)).search(table(spark, queries), 10, probes=2, exact=True).collect()
+    assert sorted((x.query, x.id, x["rank"]) for x in got) == brute(rows, queries, 10)
+    rounds = made.count("found")
+    assert rounds > 1 and made.count("asked") == 2 * rounds and len(spent) == 3 * rounds
+
+
 def test_few_and_no_vectors(spark):
     one = VectorIndex.build(table(spark, [(1, [1.0, 0.0])]))
     assert one.search(table(spark, [(1, [1.0, 0.0])]), exact=True).collect() == []
