@@ -546,3 +546,17 @@ def test_phrases_of_equal_texts_are_found_once(spark, monkeypatch):
         assert held == 20 or rows == [("d", "river boat", 1), ("d", "river boat sails", 3), ("d", "x", 1)]
         assert [(r.phrase, r.n) for r in words.top_phrases(ev).orderBy("rank").collect()] == [("river boat", 4), ("boat sails", 3)]
     assert "MapInArrow" in _optimized(words.top_phrases(ev))
+
+
+def test_digests_of_months_in_rounds_of_days(spark, monkeypatch):
+    spent, discard = [], sinks.discard
+    monkeypatch.setattr(sinks, "discard", lambda *tables: (spent.extend(tables), discard(*tables)))
+    rows = [(f"d{i % 3}", i // 2, at(minute=i * 977), f"text {i}\nline" if i % 7 else None, "u" if i % 2 else None) for i in range(150)] + [(None, 1, at(), "n", "u"), ("d1", 1, None, "z", "u")]
+    ev = spark.createDataFrame(rows, "dataset_id string, id long, ts timestamp_ntz, content string, actor string")
+    days = sinks._rounds(ev, 7)
+    assert len(days) > 10 and all(a <= z for a, z in days) and all(z < a for (_, z), (a, _) in zip(days, days[1:]))
+    got = sorted(map(tuple, sinks.month_digests(ev, 40).collect()))
+    assert spent and got == sorted(map(tuple, sinks.month_digests(ev).collect()))
+    import hashlib
+
+    assert got == sorted((r.dataset_id, r.month, r.messages, hashlib.sha256(r.text.encode()).hexdigest()) for r in sinks.month_pages(ev).collect())
